@@ -1,0 +1 @@
+"""Intentionally empty: every input in scope is a bounded table, so there is no streaming operator."""
