@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tastegrid.session import checkpoint_dir
+
 # White space between words: blank, and code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -31,3 +36,26 @@ def remainder(key: Column, divisor: int) -> Column:
 def word_array(text: Column) -> Column:
     """Words of a non-null text."""
     return F.array_remove(F.split(text, SPACE), "")
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back: lineage ends here, columns stay prunable."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    """Delete what ``store`` wrote, if the session still lives when the program ends."""
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the gateway is gone: the folder is the cluster's to clear
+            return
+
+
+_written: list[tuple] = []
+atexit.register(_clean)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import chat, quality
+from tastegrid.llm import chat, minhash, quality
 
 QUERIES = {
     "op2_chat": chat.query,
     "op4_quality": quality.query,
+    "op10_minhash": minhash.query,
 }
 
 ORACLES = {
     "op2_chat": chat.ORACLE,
     "op4_quality": quality.ORACLE,
+    "op10_minhash": minhash.ORACLE,
 }
