@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tastegrid.llm.common import column
 from tastegrid.llm.sketch import slices
@@ -202,7 +203,7 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "text", path: str | None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, into])
 
-    return df.mapInArrow(run, df.schema.add(into, "string"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(into, StringType())]))
 
 
 def query(spark, folder: str) -> DataFrame:
