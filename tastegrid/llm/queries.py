@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, minhash, quality
+from tastegrid.llm import bpe, chat, minhash, pii, quality
 
 QUERIES = {
     "op2_chat": chat.query,
     "op4_quality": quality.query,
+    "op5_pii": pii.query,
     "op6_bpe": bpe.query,
     "op10_minhash": minhash.query,
 }
