@@ -1,5 +1,63 @@
-"""Corpus pipeline over the documents table."""
-STAGES = []
+"""Corpus pipeline over ``documents``: filter, deduplicate, redact, mix and encode.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
+``docs``. All stages but the last return the columns of ``documents``. No stage but the last changes the set of columns, and
+each works on all rows that its predecessor kept. An empty table passes through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tastegrid.llm import bpe, minhash, mixing, pii, quality
+from tastegrid.llm.common import store
+
+#: 80 % of the words that are left, by the weights of the production mix, no text twice.
+MIX = mixing.Plan(budget_percent=80, max_epochs=1)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the production policy of the quality rules keeps."""
+    return quality.keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates."""
+    return minhash.keep_one(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts replaced by placeholders; ``n_chars`` counts the new text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents chosen to the target weights of domains, languages and sources."""
+    return mixing.choose(docs, MIX)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens and ids (little-endian unsigned 32-bit integers)."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality", filter_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("tokens", encode_tokens),
+]
+
+#: SQL can express neither the personal data's parsers nor the encoding; tests hold the rows against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, minhash, pii, quality
+from tastegrid.llm import bpe, chat, minhash, mixing, pii, quality
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_chat": chat.query,
     "op4_quality": quality.query,
     "op5_pii": pii.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_mixing": mixing.oracle(),
     "op2_chat": chat.ORACLE,
     "op4_quality": quality.ORACLE,
     "op10_minhash": minhash.ORACLE,
