@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, minhash, mixing, pii, quality
+from tastegrid.llm import bpe, chat, hmm, minhash, mixing, pii, quality
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.query,
     "op5_pii": pii.query,
     "op6_bpe": bpe.query,
+    "op7_hmm": hmm.query,
     "op10_minhash": minhash.query,
 }
 
