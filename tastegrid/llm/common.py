@@ -46,15 +46,32 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored() -> int:
+    """How many tables ``store`` holds: a mark for ``finish``."""
+    return len(_written)
+
+
+def finish(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """``df`` stored, and every table stored since the mark deleted: nothing reads them any more."""
+    out = store(df, name)
+    kept = _written.pop()
+    _delete(_written[mark:])
+    _written[mark:] = [kept]
+    return out
+
+
+def _delete(tables: list[tuple]) -> None:
+    for spark, path in tables:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clean() -> None:
     """Delete what ``store`` wrote, if the session still lives when the program ends."""
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the gateway is gone: the folder is the cluster's to clear
-            return
+    try:
+        _delete(_written)
+    except Exception:  # the gateway is gone: the folder is the cluster's to clear
+        return
 
 
 _written: list[tuple] = []

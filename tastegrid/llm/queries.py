@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, hmm, minhash, mixing, pii, quality
+from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, pii, quality
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_chat": chat.query,
+    "op3_langid": langid.query,
     "op4_quality": quality.query,
     "op5_pii": pii.query,
     "op6_bpe": bpe.query,
