@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import column, store
+from tastegrid.llm.common import column, finish, store, stored
 from tastegrid.llm.graph import components
 from tastegrid.llm.sketch import WordHashes, bands, fast_sketches, jaccard_at_least, shingle_set, slices
 
@@ -189,6 +189,7 @@ def _candidates(members: DataFrame, labels: DataFrame, sketches: DataFrame, leas
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
                     size: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``df``."""
+    mark = stored()
     texts = df.select(column(key).alias("id"), column(text).cast("string").alias("text"))
     schema = "id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
     sketched = store(texts.mapInArrow(_sketch(size), schema), "sketches")
@@ -222,8 +223,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     out = sketched.select("id", "n_shingles").join(copies.dropDuplicates(["id"]), "id", "left")
     out = out.withColumn("rep", F.coalesce("rep", "id")).join(labels, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("label", "rep")
-    return out.select("id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = out.select("id", "n_shingles", component.alias("component_id"),
+                     F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return finish(out, "groups", mark)
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tastegrid.llm.common import column, fresh, store
+from tastegrid.llm.common import column, finish, fresh, store, stored
 
 LEVELS = ("domain", "language", "source")
 # The domains that stand in for a curated map of sources, as ``documents`` names none.
@@ -108,6 +108,7 @@ def cutoffs(sizes: DataFrame, plan: Plan) -> tuple[DataFrame, int]:
     ``sizes`` has (key, domain, language, source, n_tokens). Every document is chosen ``epochs`` times, and once more if its
     key in epoch number ``epochs`` is at most ``cutoff``.
     """
+    mark = stored()
     sizes = store(sizes, "sizes")
     by = [*LEVELS]
     leaves = budgets(sizes.groupBy(*by).agg(F.sum("n_tokens").alias("tokens")), plan)
@@ -135,7 +136,7 @@ def cutoffs(sizes: DataFrame, plan: Plan) -> tuple[DataFrame, int]:
     inside = inside.groupBy(*by).agg(F.max("place").alias("inside"))
     ends = full.unionByName(inside.withColumnRenamed("inside", "full")).groupBy(*by).agg(F.max("full").alias("cutoff"))
     out = leaves.join(ends, by, "left").select(*by, "epochs", F.coalesce("cutoff", F.lit("")).alias("cutoff"), "budget")
-    return store(out, "cutoffs"), n
+    return finish(out, "cutoffs", mark), n
 
 
 def select(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text", source: str = "source",
