@@ -181,8 +181,7 @@ def _candidates(members: DataFrame, labels: DataFrame, sketches: DataFrame, leas
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     found = rows.mapInArrow(_compare(least, best), "a bigint, b bigint, same bigint")
     if best:
-        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
-        found = both.groupBy("a").agg(F.max(F.struct("same", F.col("b").alias("b"))).alias("top")).select("a", "top.b")
+        found = found.groupBy("a").agg(F.max(F.struct("same", F.col("b").alias("b"))).alias("top")).select("a", "top.b")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

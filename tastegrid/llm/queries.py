@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, pii, quality
+from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, pii, quality
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.query,
     "op6_bpe": bpe.query,
     "op7_hmm": hmm.query,
+    "op8_neighbours": neighbours.query,
     "op10_minhash": minhash.query,
 }
 
@@ -19,5 +20,6 @@ ORACLES = {
     "op1_mixing": mixing.oracle(),
     "op2_chat": chat.ORACLE,
     "op4_quality": quality.ORACLE,
+    "op8_neighbours": neighbours.ORACLE,
     "op10_minhash": minhash.ORACLE,
 }
