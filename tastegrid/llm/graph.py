@@ -23,6 +23,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, label) after one step of joining along links (a, b) of ids: every label takes the least one it meets.
+
+    A step need not join all that is connected; what gets one label always is.
+    """
+    of = lambda name, as_: labels.select(F.col("id").alias(name), F.col("label").alias(as_))
+    met = links.join(of("a", "x"), "a").join(of("b", "y"), "b").filter("x != y")
+    hook = store(met.groupBy(F.greatest("x", "y").alias("label")).agg(F.min(F.least("x", "y")).alias("to")), "hooks")
+    further = hook.select(F.col("label").alias("to"), F.col("to").alias("next"))
+    hook = hook.join(further, "to", "left").select("label", F.coalesce("next", "to").alias("to"))
+    return labels.join(hook, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the least node that it reaches.
 
@@ -38,6 +51,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        edges = store(_small_star(_large_star(edges).distinct()).distinct(), "links")
+        edges = store(_small_star(_large_star(edges)).distinct(), "links")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

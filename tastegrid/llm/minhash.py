@@ -8,7 +8,7 @@ Links are found without listing a bucket's pairs:
 
 1. every class is checked against the least member of its buckets, one pair per class;
 2. buckets that still hold several components are compared blockwise by their sketches; each class is checked against its
-   most similar partner of another component, round after round until no round joins components;
+   most similar partner of another component, round after round while a quarter or more of these pairs are links;
 3. all partners of other components whose sketches don't rule out the threshold (more than 5 standard deviations below it)
    are checked.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.common import column, finish, store, stored
-from tastegrid.llm.graph import components
+from tastegrid.llm.graph import components, joined
 from tastegrid.llm.sketch import WordHashes, bands, fast_sketches, jaccard_at_least, shingle_set, slices
 
 SHINGLE = 5
@@ -170,7 +170,7 @@ def _compare(least: int, best: bool):
 
 def _candidates(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: int, best: bool) -> DataFrame:
     """Pairs of one bucket and different components, by their sketches: each one's best partner, or all."""
-    labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    labelled = members.join(labels, "id").select("key", "id", "label")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
     mixed = mixed.filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = labelled.join(mixed, "key").join(sketches, "id")
@@ -195,27 +195,31 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     classes = sketched.filter("digest is not null and id is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count("*").alias("n"))
-    copies = sketched.select("id", "digest").join(classes.filter("n > 1"), "digest").select("id", "rep").distinct()
-    copies = store(copies, "copies")
+    classes = store(classes.filter("n > 1").select("digest", "rep"), "classes")
+    copies = store(sketched.select("id", "digest").join(classes, "digest").select("id", "rep"), "copies")
     alone = sketched.filter("digest is not null and id is not null").join(
         copies.filter("id != rep").select("id"), "id", "left_anti")
 
     banded = alone.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     members = store(banded.join(buckets, "key").select("key", "id", "least"), "members")
-    wanted = members.select("id").distinct()
+    wanted = store(members.select("id").distinct(), "wanted")
     sets = store(texts.join(wanted, "id").mapInArrow(_sets(size), "id bigint, shingles binary"), "sets")
     sketches = store(sketched.select("id", "sketch").join(wanted, "id"), "compared")
 
     least = least_matches(percent)
     first = members.filter("least < id").groupBy("id").agg(F.min("least").alias("b")).select(F.col("id").alias("a"), "b")
     links = _verified(first, sets, percent, "star")
+    labels = store(joined(wanted.select("id", F.col("id").alias("label")), links), "labels")
     while True:
-        labels = store(components(links), "labels")
-        more = _verified(_candidates(members, labels, sketches, least, True), sets, percent, "best")
-        if more.isEmpty():
+        asked = store(_candidates(members, labels, sketches, least, True), "asked")
+        more = _verified(asked, sets, percent, "best")
+        found, tried = more.count(), asked.count()
+        if found:
+            links = links.unionByName(more)
+            labels = store(joined(labels, more), "labels")
+        if 4 * found <= tried:  # most of what is left is below the threshold
             break
-        links = links.unionByName(more)
     links = links.unionByName(_verified(_candidates(members, labels, sketches, least, False), sets, percent, "rest"))
     labels = store(components(links), "labels")
 
