@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, pii, quality
+from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, pii, quality, wrapper
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe": bpe.query,
     "op7_hmm": hmm.query,
     "op8_neighbours": neighbours.query,
+    "op9_wrapper": wrapper.query,
     "op10_minhash": minhash.query,
 }
 
