@@ -7,6 +7,7 @@ seeded hash of ``row_id`` is what makes a draw random yet reproducible. Group si
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.functions.hashing import hash_key
 from tastegrid.operators.ranking import not_after, nth_key, rank_within, small, top_k
+from tastegrid.session import cut
 
 SEED = 42
 _BIG = "decimal(19,0)"
@@ -40,42 +42,43 @@ def _cut_at(df: DataFrame, levels: Sequence[Column], key: Sequence[Column], n: i
     return df.withColumn("split", F.when(not_after(key, boundary), F.lit(first)).otherwise(F.lit(second)))
 
 
-def largest_remainder(strata: DataFrame, count: str, total: Column, out: str) -> DataFrame:
+def largest_remainder(strata: DataFrame, count: str, total: int, out: str) -> DataFrame:
     """Share ``total`` over the strata in proportion to ``count``; left-over units go to the largest
-    remainders, ties by stratum. Needs the columns ``stratum`` and ``count``."""
-    whole = strata.agg(F.sum(count)).scalar()
-    units = F.col(count).cast(_BIG) * total.cast(_BIG)
-    parts = (strata.withColumn("_whole", whole)
-             .withColumn("_floor", F.floor(units / F.col("_whole").cast(_BIG)).cast("bigint"))
-             .withColumn("_rem", (units % F.col("_whole").cast(_BIG)).cast("bigint")))
+    remainders, ties by stratum. Needs the columns ``stratum`` and ``count``; ``strata`` should be
+    materialised, as it is read for its sums before it is read for the result."""
+    whole = strata.agg(F.sum(count)).first()[0] or 0
+    if not whole:
+        return strata.withColumn(out, F.lit(0).cast("bigint"))
+    units = F.col(count).cast(_BIG) * F.lit(total).cast(_BIG)
+    parts = (strata.withColumn("_floor", F.floor(units / F.lit(whole).cast(_BIG)).cast("bigint"))
+             .withColumn("_rem", (units % F.lit(whole).cast(_BIG)).cast("bigint")))
+    spare = total - parts.agg(F.sum("_floor")).first()[0]
     # Hex key rising as the remainder falls, so that even a very long strata list ranks in parts.
-    gap = (F.lit(1.0) - F.col("_rem") / F.col("_whole")) * F.lit(float(1 << 40))
-    parts = parts.withColumn("_key", F.lpad(F.hex(F.floor(gap).cast("bigint")), 11, "0"))
+    gap = (F.lit(1.0) - F.col("_rem") / F.lit(float(whole))) * F.lit(float((1 << 40) - 1))
+    parts = parts.withColumn("_key", F.lpad(F.hex(F.floor(gap).cast("bigint")), 10, "0"))
     ranked = rank_within(parts, [], "_key", [F.col("_rem").desc(), F.col("stratum")], "_place", "_strata")
-    spare = total - parts.agg(F.coalesce(F.sum("_floor"), F.lit(0))).scalar()
     return (ranked.withColumn(out, F.col("_floor") + F.when(F.col("_place") <= spare, 1).otherwise(0))
             .select(*strata.columns, out))
 
 
-def _stratified_two_way(df: DataFrame, seed: int, head_total: Callable[[Column], Column],
+def _stratified_two_way(df: DataFrame, seed: int, head_total: Callable[[int], int],
                         tail_share: float | None, strata_count: int) -> DataFrame:
     """Rank rows inside ``stratum`` and attach quotas.
 
     ``head_total(n)`` rows go to the front slice overall; of these, ``tail_share`` (rounded up) is
-    what remains after the middle slice. Adds n_front and n_middle per row's stratum.
+    what remains after the middle slice. Adds n_front and n_middle per row's stratum. The strata
+    table is small and materialised once; its totals are single numbers.
     """
-    sizes = df.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows"))
-    total = sizes.agg(F.sum("rows")).scalar()
-    front = head_total(total)
+    sizes = cut(df.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows")))
+    front = head_total(sizes.agg(F.sum("rows")).first()[0] or 0)
     quotas = largest_remainder(sizes, "rows", front, "n_front")
     if tail_share is None:
         quotas = quotas.withColumn("n_middle", F.col("n_front"))
     else:
-        middle = front - F.ceil(front * F.lit(tail_share))
-        quotas = largest_remainder(quotas, "n_front", middle, "n_middle")
+        quotas = largest_remainder(cut(quotas), "n_front", front - math.ceil(front * tail_share), "n_middle")
     keyed = df.withColumn("_key", hash_key("row_id", seed=seed))
     ranked = rank_within(keyed, ["stratum"], "_key", [F.col("_key"), F.col("row_id")])
-    quotas = small(quotas.select("stratum", "n_front", "n_middle"), strata_count)
+    quotas = small(cut(quotas.select("stratum", "n_front", "n_middle")), strata_count)
     return ranked.join(quotas, "stratum").drop("_key")
 
 
@@ -99,7 +102,7 @@ def column_stratified_split(df: DataFrame, train_ratio: float = 0.7, val_ratio:
     smallest, count = _strata_shape(strata)
     if smallest < 2:
         raise ValueError("the least populated stratum has fewer than 2 rows")
-    quoted = _stratified_two_way(strata, seed, lambda n: n - F.ceil(n * F.lit(train_ratio)),
+    quoted = _stratified_two_way(strata, seed, lambda n: n - math.ceil(n * train_ratio),
                                  test_ratio / (val_ratio + test_ratio), count)
     label = (F.when(F.col("rn") <= F.col("n_middle"), "val")
              .when(F.col("rn") <= F.col("n_front"), "test").otherwise("train"))
@@ -139,7 +142,7 @@ def stratified_temporal_split(df: DataFrame, train_ratio: float = 0.7, val_ratio
     if smallest < 2:
         strata, count = strata.withColumn("stratum", F.lit("")), 1
     share = test_ratio / (val_ratio + test_ratio)
-    quoted = _stratified_two_way(strata, seed, lambda n: n - F.ceil(n * F.lit(share)), None, count)
+    quoted = _stratified_two_way(strata, seed, lambda n: n - math.ceil(n * share), None, count)
     labelled = quoted.withColumn("split", F.when(F.col("rn") <= F.col("n_front"), "val").otherwise("test"))
     return train.unionByName(labelled.select(*train.columns))
 
@@ -294,7 +297,7 @@ def time_edges(df: DataFrame, bins: int = 10, timestamp: str = "timestamp") -> D
               .join(minutes.drop("day"), "minute").join(days, "day")
               .withColumn("lo", F.col("before_day") + F.col("before_minute") + F.col("before_us"))
               .withColumn("hi", F.col("lo") + F.col("c") - 1))
-    n = df.agg(F.count(F.lit(1))).scalar()
+    n = F.lit(df.count())
     edges = []
     for i in range(1, bins):
         position = (n - 1) * F.lit(i / bins)
@@ -311,16 +314,18 @@ def training_subsets(df: DataFrame, fractions: Sequence[float] = (0.5, 0.4, 0.25
     Each fraction is taken of the subset before it. One random order per bin serves all levels,
     since the front of a random order is itself a random draw.
     """
-    edges = time_edges(df, bins, timestamp).scalar()
+    edges = F.array(*[F.lit(e) for e in time_edges(df, bins, timestamp).first()["edges"]])
     micros = F.unix_micros(F.col(timestamp).cast("timestamp"))
     binned = df.withColumn("_edges", edges).withColumn(
         "stratum", F.lpad(F.size(F.filter("_edges", lambda e: e < micros)).cast("string"), 3, "0")).drop("_edges")
-    quotas = binned.groupBy("stratum").agg(F.count(F.lit(1)).alias("q0"))
+    quotas = cut(binned.groupBy("stratum").agg(F.count(F.lit(1)).alias("q0")))
+    size = quotas.agg(F.sum("q0")).first()[0] or 0
     for i, fraction in enumerate(fractions):
         # the kept slice is rounded up overall; the other slice is shared out and subtracted
-        size = quotas.agg(F.sum(f"q{i}")).scalar()
-        quotas = largest_remainder(quotas, f"q{i}", size - F.ceil(size * F.lit(fraction)), "_left")
-        quotas = quotas.withColumn(f"q{i + 1}", F.col(f"q{i}") - F.col("_left")).drop("_left")
+        kept = math.ceil(size * fraction)
+        quotas = largest_remainder(quotas, f"q{i}", size - kept, "_left")
+        quotas = cut(quotas.withColumn(f"q{i + 1}", F.col(f"q{i}") - F.col("_left")).drop("_left"))
+        size = kept
     keyed = binned.withColumn("_key", hash_key("row_id", seed=seed))
     ranked = rank_within(keyed, ["stratum"], "_key", [F.col("_key"), F.col("row_id")]).join(small(quotas, bins), "stratum")
     level = sum(((F.col("rn") <= F.col(f"q{i + 1}")).cast("int") for i in range(len(fractions))), F.lit(0))

@@ -435,7 +435,8 @@ def _(v):
 @query("split_statistics")
 def _(v):
     rows, column = splits.attach_stratum(v.purchases, v.items, "tag")
-    return splits.split_statistics(splits.stratified_temporal_split(rows, 0.7, 0.15, 0.15, stratify_by=column))
+    done = splits.stratified_temporal_split(rows, 0.7, 0.15, 0.15, stratify_by=column)
+    return splits.split_statistics(cut(done.select("user_id", "item_id", "split")))
 
 
 @query("training_subsets")
@@ -465,7 +466,8 @@ def _(v):
 @query("leakage_check")
 def _(v):
     rows, column = splits.attach_stratum(v.purchases, v.items, "tag")
-    return splits.leakage_check(splits.stratified_temporal_split(rows, 0.7, 0.15, 0.15, stratify_by=column))
+    done = splits.stratified_temporal_split(rows, 0.7, 0.15, 0.15, stratify_by=column)
+    return splits.leakage_check(cut(done.select("user_id", "timestamp", "split")))
 
 
 # ---------------------------------------------------------------- sampling
