@@ -10,7 +10,7 @@ Links are found without listing a bucket's pairs:
 2. buckets that still hold several components are compared blockwise by their sketches; each class is checked against its
    most similar partner of another component, round after round while a quarter or more of these pairs are links;
 3. all partners of other components whose sketches don't rule out the threshold (more than 5 standard deviations below it)
-   are checked.
+   are checked; for this, sketches have ``BITS`` coordinates of one bit each.
 
 Each check compares full shingle sets. After step 3 every candidate pair lies inside one component, was checked, or is
 ruled out by its sketches.
@@ -37,13 +37,14 @@ from tastegrid.llm.sketch import WordHashes, bands, fast_sketches, jaccard_at_le
 SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS = 5, 64
+BITS = 3072
 BLOCK = 1024
 _DEVIATIONS = 5.0
 
 
-def least_matches(percent: int = PERCENT, coordinates: int = ROWS * BANDS) -> int:
-    """Equal one-byte coordinates below which a pair is ruled out."""
-    p = percent / 100
+def least_matches(percent: int = PERCENT, coordinates: int = BITS) -> int:
+    """Equal one-bit coordinates below which a pair is ruled out; unequal coordinates agree in their bit half the time."""
+    p = (1 + percent / 100) / 2
     return int(coordinates * p - _DEVIATIONS * (coordinates * p * (1 - p)) ** 0.5)
 
 
@@ -57,15 +58,13 @@ def _sketch(size: int):
                 sizes = np.array([len(s) for s in sets])
                 sketch = fast_sketches(np.concatenate(sets), sizes, ROWS * BANDS)
                 keys = bands(sketch, ROWS)
-                small = (sketch & np.uint64(0xFF)).astype(np.uint8)
                 offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(a, b - a), pa.array(sizes, pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                              pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
-                    pa.array([row.tobytes() for row in small], pa.binary()),
-                ], names=["id", "n_shingles", "digest", "bands", "sketch"])
+                ], names=["id", "n_shingles", "digest", "bands"])
     return run
 
 
@@ -74,11 +73,13 @@ def _sets(size: int):
         hashes = WordHashes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a),
-                    pa.array([shingle_set(t, hashes, size).tobytes() for t in texts[a:b]], pa.binary())],
-                    names=["id", "shingles"])
+            for a, b in slices(texts, 1 << 20):
+                sets = [shingle_set(t, hashes, size) for t in texts[a:b]]
+                sketch = fast_sketches(np.concatenate(sets), np.array([len(s) for s in sets]), BITS)
+                bits = np.packbits((sketch & np.uint64(1)).astype(np.uint8), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()),
+                     pa.array([row.tobytes() for row in bits], pa.binary())], names=["id", "shingles", "sketch"])
     return run
 
 
@@ -114,7 +115,7 @@ def _compare(least: int, best: bool):
             others = others[labels[others] != labels[row]]
             if not len(others):
                 continue
-            same = (sketches[others] == sketches[row]).sum(axis=1)
+            same = BITS - np.bitwise_count(sketches[others] ^ sketches[row]).sum(axis=1, dtype=np.int64)
             good = same >= least
             if not good.any():
                 continue
@@ -156,7 +157,7 @@ def _compare(least: int, best: bool):
     def _run(batch) -> Iterator[pa.RecordBatch]:
         heads = _heads(batch)
         i, j, block, ids, labels = (batch.column(c).to_numpy() for c in range(1, 6))
-        sketches = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        sketches = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
         found = []
         for a, b in zip(heads, np.r_[heads[1:], batch.num_rows]):
             found += group(block[a:b], ids[a:b], labels[a:b], sketches[a:b], i[a], j[a])
@@ -190,7 +191,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     """(id, n_shingles, component_id, kept) per row of ``df``."""
     mark = stored()
     texts = df.select(column(key).alias("id"), column(text).cast("string").alias("text"))
-    schema = "id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
+    schema = "id bigint, n_shingles bigint, digest binary, bands array<bigint>"
     sketched = store(texts.mapInArrow(_sketch(size), schema), "sketches")
 
     classes = sketched.filter("digest is not null and id is not null").groupBy("digest").agg(
@@ -204,8 +205,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     buckets = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     members = store(banded.join(buckets, "key").select("key", "id", "least"), "members")
     wanted = store(members.select("id").distinct(), "wanted")
-    sets = store(texts.join(wanted, "id").mapInArrow(_sets(size), "id bigint, shingles binary"), "sets")
-    sketches = store(sketched.select("id", "sketch").join(wanted, "id"), "compared")
+    sets = store(texts.join(wanted, "id").mapInArrow(_sets(size), "id bigint, shingles binary, sketch binary"), "sets")
+    sketches = sets.select("id", "sketch")
 
     least = least_matches(percent)
     first = members.filter("least < id").groupBy("id").agg(F.min("least").alias("b")).select(F.col("id").alias("a"), "b")
