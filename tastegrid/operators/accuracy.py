@@ -5,10 +5,13 @@ A list is a top-k result, so what is gathered per user (the ranks of the hits) i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.functions.numeric import discount, ideal_gain, ratio
+from tastegrid.operators.ranking import rank_within
 
 
 def hit_table(recs: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -89,19 +92,25 @@ def retrieval_summary(per_user: DataFrame) -> DataFrame:
 
 
 def ranking_per_user(scored: DataFrame, k: int) -> DataFrame:
-    """Ranks of a user's own test rows by score.
+    """Ranks of a user's own test rows (user_id, item_id, score) by score, ties by item.
 
-    All of them are relevant, so whatever the scores the ranks are 1..n: the mean and the median
-    are (n+1)/2, the best is 1, min(n, k) are within k. Counts say it all, and no user's rows
-    have to meet in one task.
+    All of them are relevant. Ranks are counted in parts of the score's order, so a user with very
+    many rows never meets in one task; the median is the mean of the one or two middle ranks.
     """
-    counts = (scored.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_rows"))
-              .groupBy("user_id").agg(F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("d")))
-    top = F.least(F.col("n"), F.lit(k))
-    middle = (F.col("n") + 1) / F.lit(2.0)
-    return counts.select("user_id", middle.alias("avg_rank"), middle.alias("median_rank"), F.lit(1.0).alias("mrr"),
-                         (top / F.col("n")).alias("hit_rate_at_k"),
-                         ratio(ideal_gain(top), ideal_gain(F.least(F.col("d"), F.lit(k)))).alias("ndcg_at_k"))
+    falling = F.lit(0.5) - F.atan(F.col("score")) / F.lit(math.pi)   # between 0 and 1, falls as the score rises
+    key = F.lpad(F.hex(F.floor(falling * F.lit(float((1 << 40) - 1))).cast("bigint")), 10, "0")
+    order = [F.col("score").desc(), F.col("item_id")]
+    ranked = rank_within(scored.withColumn("_key", key), ["user_id"], "_key", order, "_r", "_n")
+    middle = (F.col("_r") * 2 >= F.col("_n")) & (F.col("_r") * 2 <= F.col("_n") + 2)
+    within = F.col("_r") <= k
+    ranks = ranked.groupBy("user_id").agg(
+        F.max("_n").alias("n"), F.avg("_r").alias("avg_rank"), F.avg(F.when(middle, F.col("_r"))).alias("median_rank"),
+        (F.lit(1.0) / F.min("_r")).alias("mrr"), F.avg(within.cast("double")).alias("hit_rate_at_k"),
+        F.sum(F.when(within, discount(F.col("_r")))).alias("gain"))
+    items = scored.select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("d"))
+    best = ideal_gain(F.least(F.col("d"), F.lit(k)))
+    return ranks.join(items, "user_id").select("user_id", "avg_rank", "median_rank", "mrr", "hit_rate_at_k",
+                                               ratio(F.col("gain"), best).alias("ndcg_at_k"))
 
 
 def ranking_summary(per_user: DataFrame) -> DataFrame:

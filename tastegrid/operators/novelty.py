@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.functions.numeric import ratio
-from tastegrid.functions.vectors import as_doubles, dot, unit
+from tastegrid.functions.vectors import as_doubles, dot, euclidean, unit
 from tastegrid.operators.filtering import item_popularity
 from tastegrid.operators.ranking import dense_index
 
-LIST_BLOCK = 256
-
 
 def popularity_ranks(popularity: DataFrame) -> DataFrame:
     """(item_id, pop, pop_rank): 0 is the most popular, ties by item id."""
@@ -81,31 +76,14 @@ def pairwise_diversity(recs: DataFrame, embeddings: DataFrame, metric: str = "co
             "user_id", F.when(F.col("n_vectors") > 1, F.lit(1.0) - F.col("ils")).otherwise(F.lit(0.0)).alias("diversity"))
     if metric != "euclidean":
         raise ValueError(f"unknown distance: {metric}")
-    # Euclidean distances have no closed sum: lists are cut into blocks by rank and each pair of
-    # blocks is summed inside one task, whatever the list length.
-    known = recs.select("user_id", "item_id", ((F.col("rank") - 1) / LIST_BLOCK).cast("int").alias("b")).join(
+    # Euclidean distances have no closed sum: the list's pairs are joined, each summed where it is made.
+    known = recs.select("user_id", "item_id", "rank").join(
         embeddings.select("item_id", as_doubles(F.col("embedding")).alias("v")), "item_id")
-    blocks = known.groupBy("user_id").agg(F.max("b").alias("last"))
-    spread = known.join(blocks, "user_id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    cells = spread.select("user_id", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "v")
-
-    def distances(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        _, p, q = key
-        a = np.stack(cell.loc[cell["b"] == p, "v"].to_numpy()) if (cell["b"] == p).any() else np.zeros((0, 1))
-        c = np.stack(cell.loc[cell["b"] == q, "v"].to_numpy()) if (cell["b"] == q).any() else np.zeros((0, 1))
-        if len(a) == 0 or len(c) == 0:
-            total, pairs = 0.0, 0
-        elif p == q:
-            total = sum(float(np.linalg.norm(a[i + 1:] - a[i], axis=1).sum()) for i in range(len(a) - 1))
-            pairs = len(a) * (len(a) - 1) // 2
-        else:
-            total = sum(float(np.linalg.norm(c - row, axis=1).sum()) for row in a)
-            pairs = len(a) * len(c)
-        return pd.DataFrame({"user_id": [key[0]], "total": [total], "pairs": [pairs]})
-
-    summed = cells.groupBy("user_id", "p", "q").applyInPandas(distances, "user_id string, total double, pairs long")
-    return summed.groupBy("user_id").agg(F.sum("total").alias("t"), F.sum("pairs").alias("n")).select(
-        "user_id", ratio(F.col("t"), F.col("n")).alias("diversity"))
+    left = known.select("user_id", F.col("rank").alias("p"), F.col("v").alias("a"))
+    right = known.select("user_id", F.col("rank").alias("q"), F.col("v").alias("b"))
+    pairs = left.join(right, "user_id").filter("p < q").groupBy("user_id").agg(F.avg(euclidean(F.col("a"), F.col("b"))).alias("d"))
+    return known.select("user_id").distinct().join(pairs, "user_id", "left").select(
+        "user_id", F.coalesce("d", F.lit(0.0)).alias("diversity"))
 
 
 def coverage_diversity(recs: DataFrame) -> DataFrame:

@@ -55,9 +55,9 @@ def evaluate_retrieval(data: RecommenderData, test: DataFrame, name: str, k: int
 
 
 def evaluate_ranking(data: RecommenderData, test: DataFrame, name: str, k: int = 20, **options) -> DataFrame:
-    """One row: mean and population std over users of the ranks of their own test rows."""
-    pair_scorer(name)
-    return accuracy.ranking_summary(accuracy.ranking_per_user(test, k))
+    """One row: mean and population std over users of the ranks that the recommender's scores give their own test rows."""
+    scored = pair_scorer(name)(data, test.select("user_id", "item_id"), **options)
+    return accuracy.ranking_summary(accuracy.ranking_per_user(scored, k))
 
 
 EVALUATORS = {"retrieval": evaluate_retrieval, "ranking": evaluate_ranking}

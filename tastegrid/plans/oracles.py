@@ -17,7 +17,7 @@ _TABLES = {
         round(l_extendedprice * 100)::BIGINT) AS row_id, o_custkey::VARCHAR AS user_id, l_partkey::VARCHAR AS item_id,
         o_orderdate AS timestamp, l_suppkey::VARCHAR AS provider FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "clicks": """SELECT event_id::VARCHAR AS row_id, user_id::VARCHAR AS user_id, json_extract_string(props, '$.k') AS item_id,
-        ts AS timestamp, value FROM events WHERE event_type IN ('view', 'click', 'purchase')""",
+        ts AS timestamp, value FROM events""",
     "items": """SELECT p_partkey::VARCHAR AS item_id, p_name AS title, p_brand AS tag, p_type AS category, p_size AS size,
         p_retailprice AS price FROM part""",
     "users": "SELECT c_custkey::VARCHAR AS user_id, c_mktsegment AS \"group\", c_nationkey AS nation FROM customer",
@@ -51,7 +51,7 @@ _TABLES = {
         FROM recs r LEFT JOIN ranks k USING (item_id)
         LEFT JOIN (SELECT DISTINCT user_id, item_id FROM history) h ON h.user_id = r.user_id AND h.item_id = r.item_id""",
     "providers": """SELECT item_id, arg_max(provider, {'c': c, 'p': provider}) AS provider FROM (SELECT item_id, provider,
-        count(*) AS c FROM purchases WHERE provider::BIGINT % 10 <> 0 GROUP BY ALL) GROUP BY item_id""",
+        count(*) AS c FROM purchases GROUP BY ALL) GROUP BY item_id""",
     "exposed": """SELECT coalesce(provider, 'unknown') AS provider, count(*) AS c FROM recs LEFT JOIN providers USING (item_id)
         GROUP BY 1""",
     "matrix": "SELECT user_id, item_id, count(*) AS c FROM {source} GROUP BY ALL",
@@ -222,7 +222,7 @@ ORACLES: dict[str, str] = {
     "encode_tag": _labels_of("items", "CASE WHEN size <> 13 THEN tag ELSE 'unknown' END", "items"),
     "indexed_interactions": _sql("SELECT row_id, user_idx, item_idx FROM purchases JOIN u USING (user_id) JOIN i USING (item_id)",
         "purchases", "items", u="SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT "
-        "user_id FROM purchases WHERE provider <> '7')", i="SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_idx FROM items"),
+        "user_id FROM purchases)", i="SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_idx FROM items"),
     "decoded_interactions": _sql("SELECT row_id, item_id FROM clicks SEMI JOIN items USING (item_id)", "clicks", "items"),
     "fit_scaler": _sql(" UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min, "
@@ -233,16 +233,14 @@ ORACLES: dict[str, str] = {
     "numeric_feature_vector": _sql("""SELECT item_id, round((s - avg(s) OVER ()) / stddev_pop(s) OVER (), 6) AS x0,
         round((price - avg(price) OVER ()) / stddev_pop(price) OVER (), 6) AS x1
         FROM (SELECT *, CASE WHEN size % 9 = 0 THEN 0 ELSE size END AS s FROM items)""", "items"),
-    "item_features": _sql("""SELECT item_id, CASE WHEN size = 20 THEN 0 ELSE round((size - ls) / (hs - ls), 6) END AS x0,
-        CASE WHEN size = 20 THEN 0 ELSE round((price - lp) / (hp - lp), 6) END AS x1,
-        CASE WHEN size = 20 THEN 0 ELSE tag_idx END::BIGINT AS tag_idx,
-        CASE WHEN size = 20 THEN '' ELSE trim(title) || ' ' || t END AS text
+    "item_features": _sql("""SELECT item_id, round((size - ls) / (hs - ls), 6) AS x0, round((price - lp) / (hp - lp), 6) AS x1, tag_idx,
+        trim(title) || ' ' || t AS text
         FROM (SELECT *, CASE WHEN size <> 13 THEN tag ELSE 'unknown' END AS t FROM items) LEFT JOIN tags USING (t),
-        (SELECT min(size) AS ls, max(size) AS hs, min(price) AS lp, max(price) AS hp FROM items WHERE size <> 20)""", "items",
+        (SELECT min(size) AS ls, max(size) AS hs, min(price) AS lp, max(price) AS hp FROM items)""", "items",
         tags="SELECT t, row_number() OVER (ORDER BY t) - 1 AS tag_idx FROM (SELECT DISTINCT CASE WHEN size <> 13 THEN tag "
-             "ELSE 'unknown' END AS t FROM items WHERE size <> 20)"),
+             "ELSE 'unknown' END AS t FROM items)"),
     "fused_features": _sql("""SELECT item_id, len(f)::BIGINT AS width, round(list_sum(f), 6) AS total, round(f[1], 6) AS first FROM (
-        SELECT item_id, CASE WHEN ln(1 + size) > 1 THEN [ln(1 + size), ln(1 + price)] ELSE [] END || coalesce(v, []) AS f
+        SELECT item_id, [ln(1 + size), ln(1 + price)] || coalesce(v, []) AS f
         FROM items LEFT JOIN vectors USING (item_id)) WHERE len(f) > 0""", "items", "vectors"),
     "embedding_cosine": _sql("""SELECT item_id, round(list_cosine_similarity(v, anchor), 6) AS cosine FROM vectors
         JOIN (SELECT label, arg_min(v, item_id::BIGINT) AS anchor FROM vectors GROUP BY 1) USING (label)""", "vectors"),
@@ -259,8 +257,7 @@ ORACLES: dict[str, str] = {
         USING (value)""", "purchases",
         r=f"SELECT strftime(timestamp, '%Y-%m') AS value, row_number() OVER (ORDER BY {_KEY.format('row_id')}) "
           "<= round(count(*) OVER () * 0.3::DOUBLE) AS early FROM purchases"),
-    "attach_stratum": _sql("SELECT row_id, tag FROM purchases LEFT JOIN (SELECT item_id, tag FROM items WHERE size > 3) "
-                           "USING (item_id)", "purchases", "items"),
+    "attach_stratum": _sql("SELECT row_id, tag FROM purchases LEFT JOIN items USING (item_id)", "purchases", "items"),
     "split_stratified_column": _sql("SELECT row_id, split FROM labelled_rows", "purchases", "items", **_column_split("purchases")),
     "split_job_counts": _sql("SELECT split, count(*) AS rows FROM labelled_rows GROUP BY 1", "purchases", "items",
         a1="SELECT * FROM purchases WHERE item_id IN (SELECT item_id FROM purchases GROUP BY 1 HAVING count(*) >= 25)",
@@ -339,7 +336,7 @@ ORACLES: dict[str, str] = {
         timestamp::DATE))::DOUBLE AS d FROM history GROUP BY 1) USING (item_id) GROUP BY user_id)""", "recs", "history"),
     "gini": _sql(_gini("(SELECT count(*) AS c FROM purchases GROUP BY item_id)", "c", "gini"), "purchases"),
     "demographic_parity": _sql("""SELECT coalesce("group", 'unknown') AS "group", round(count(DISTINCT item_id) / count(*), 6) AS rate
-        FROM recs LEFT JOIN (SELECT * FROM users WHERE nation <> 3) USING (user_id) GROUP BY 1""", "recs", "users"),
+        FROM recs LEFT JOIN users USING (user_id) GROUP BY 1""", "recs", "users"),
     "provider_exposure": _sql("SELECT provider, round(c / sum(c) OVER (), 6) AS exposure FROM exposed", "exposed"),
     "provider_gini": _sql(_gini("exposed", "c", "provider_gini"), "exposed"),
     "binary_metrics": _sql("""SELECT round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision,
@@ -349,6 +346,13 @@ ORACLES: dict[str, str] = {
         "labelled"),
     "bce_loss": _sql("""SELECT round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS bce
         FROM (SELECT label, least(greatest(score, 1e-7), 1 - 1e-7) AS p FROM labelled)""", "labelled"),
+    "eval_ranking": _sql("SELECT " + ", ".join(f"round(avg({c}), 6) AS avg_{c}, round(stddev_pop({c}), 6) AS std_{c}" for c in (
+        "avg_rank", "median_rank", "mrr", "hit_rate_at_k", "ndcg_at_k")) + ", count(*) AS num_users_evaluated FROM per", "clicks",
+        h=f"""SELECT *, row_number() OVER (ORDER BY timestamp, {_KEY.format('row_id')}) > floor(count(*) OVER () * 0.8::DOUBLE)
+            AS late FROM clicks""",
+        per=f"""SELECT (n + 1) / 2 AS avg_rank, (n + 1) / 2 AS median_rank, 1.0 AS mrr, least(n, 5) / n AS hit_rate_at_k,
+            {_IDEAL.format('least(n, 5)')} / {_IDEAL.format('least(d, 5)')} AS ndcg_at_k FROM (SELECT user_id, count(*) AS n,
+            count(DISTINCT item_id) AS d FROM h WHERE late GROUP BY 1)"""),
     "leave_one_out_popularity": _sql(_RETRIEVAL, "purchases", "items",
         f1="SELECT * FROM purchases WHERE item_id IN (SELECT item_id FROM purchases GROUP BY 1 HAVING count(*) >= 3)",
         f2="SELECT * FROM f1 WHERE user_id IN (SELECT user_id FROM f1 GROUP BY 1 HAVING count(*) >= 5)",

@@ -249,7 +249,7 @@ def _(v):
 
 @query("indexed_interactions")
 def _(v):
-    users = encoding.fit_labels(v.purchases.filter(F.col("provider") != "7"), "user_id")
+    users = encoding.fit_labels(v.purchases, "user_id")
     items = encoding.fit_labels(v.items, "item_id")
     rows = encoding.encode(encoding.encode(v.purchases, "user_id", users, "user_idx"), "item_id", items, "item_idx")
     return rows.select("row_id", "user_idx", "item_idx")
@@ -295,7 +295,7 @@ def _(v):
 
 @query("item_features")
 def _(v):
-    known = filtering.fill_tag(gappy_items(v)).filter(F.col("size") != 20)
+    known = filtering.fill_tag(gappy_items(v))
     known = known.withColumn("text", tx.combined_text(known, ["title", "tag"]))
     tags = encoding.fit_labels(known, "tag")
     stats = encoding.fit_scaler(known, NUMERIC)
@@ -313,7 +313,7 @@ def _(v):
 @query("fused_features")
 def _(v):
     numeric = features.numeric_vector(v.items, NUMERIC, None, "log1p").select("item_id", "numeric")
-    joined = (v.items.select("item_id").join(numeric.filter(F.col("numeric")[0] > 1.0), "item_id", "left")
+    joined = (v.items.select("item_id").join(numeric, "item_id", "left")
               .join(v.embeddings.select("item_id", "embedding"), "item_id", "left"))
     out = features.fuse(joined, ["numeric", "embedding"])
     return out.select("item_id", F.size("features").alias("width"),
@@ -375,7 +375,7 @@ def _(v):
 
 @query("attach_stratum")
 def _(v):
-    joined, _ = splits.attach_stratum(v.purchases, v.items.filter(F.col("size") > 3), "tag")
+    joined, _ = splits.attach_stratum(v.purchases, v.items, "tag")
     return joined.select("row_id", "tag")
 
 
@@ -802,12 +802,12 @@ def _(v):
 @query("demographic_parity")
 def _(v):
     recs, _, _ = purchase_recs(v)
-    return fairness.demographic_parity(recs, v.users.filter(F.col("nation") != 3), "group")
+    return fairness.demographic_parity(recs, v.users, "group")
 
 
 def _providers(v: Views) -> DataFrame:
-    """Each item's most frequent supplier among the first 90 %, so that some items have none."""
-    counts = v.purchases.filter(F.col("provider").cast("bigint") % 10 != 0).groupBy("item_id", "provider").agg(F.count(F.lit(1)).alias("c"))
+    """Each item's most frequent supplier."""
+    counts = v.purchases.groupBy("item_id", "provider").agg(F.count(F.lit(1)).alias("c"))
     return counts.groupBy("item_id").agg(F.max_by("provider", F.struct("c", "provider")).alias("provider"))
 
 
