@@ -1,7 +1,7 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products inside cells, one representative per group.
 
-Equal vectors form a class; one of each class is compared. Centres are fitted on at most ``SAMPLE`` vectors, by their own
-hash; every vector is assigned. A vector is at home in the cell of its nearest centre and also visits every cell whose border
+Equal vectors form a class; one of each class is compared. Centres are fitted on about ``SAMPLE`` vectors, chosen by
+their own hash, all where there are fewer; every vector is assigned. A vector is at home in the cell of its nearest centre and also visits every cell whose border
 (the plane between the two centres) lies within ``MARGIN``; so a pair is met in a home of one of its two. Products are taken
 in double precision between blocks of at most ``BLOCK`` vectors; a block emits a count per vector and one link per vector
 that joins it to others of its block, never its pairs. A pair is counted in one cell only: that where one of it is at home,
@@ -183,12 +183,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     total = one.count()
     cells = max(1, min(MOST_CELLS, math.ceil(total / CELL)))
-    picked = one.select("vector").orderBy(F.sha2("vector", 224)).limit(SAMPLE).collect() if total else []
-    if not picked:
+    place = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30)
+    picked = sorted(bytes(r["vector"]) for r in one.filter(place < SAMPLE / max(total, 1)).select("vector").collect())
+    if not total:
         links = store(table.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "links")
         counts = table.select("id", F.lit(0).cast("bigint").alias("n")).limit(0)
     else:
-        x = unit(np.stack([np.frombuffer(r["vector"], np.float32) for r in picked]))
+        x = unit(np.stack([np.frombuffer(r, np.float32) for r in picked or [bytes(one.first()["vector"])]]))
         centres = spark.sparkContext.broadcast(spherical_centres(x, min(cells, len(x))))
         assigned = store(one.mapInArrow(
             _assign(centres), "cell int, home int, id bigint, times bigint, vector binary, visits binary"), "cells")
