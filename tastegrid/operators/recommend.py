@@ -20,7 +20,7 @@ from tastegrid.functions.vectors import as_doubles, dot
 from tastegrid.operators.filtering import drop_seen, item_popularity, user_history
 from tastegrid.operators.product import sparse_product
 from tastegrid.operators.ranking import dense_index, top_k
-from tastegrid.operators.sampling import index_catalog, take_from_catalog
+from tastegrid.operators.sampling import enumerate_open, index_catalog, take_from_catalog
 from tastegrid.operators.similarity import count_matrix, item_similarity, user_neighbors, user_similarity
 from tastegrid.session import cut
 
@@ -248,12 +248,19 @@ def score_user_knn(data: RecommenderData, pairs: DataFrame, k_neighbors: int = 5
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def recommend_model(data: RecommenderData, users: DataFrame, candidates: DataFrame, scorer: Scorer, k: int = 10,
-                    filter_seen: bool = True) -> DataFrame:
+def recommend_model(data: RecommenderData, users: DataFrame, k: int = 10, filter_seen: bool = True,
+                    candidates: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
     """Top k of the candidates by any scorer, a function adding ``score`` to (user_id, item_id).
 
-    Users and items must be known; pairs the scorer leaves null score 0.
+    Users and items must be known; pairs the scorer leaves null score 0. Without candidates every
+    user's whole catalog is scored, which is as many pairs as users times items: for a dot product
+    ``dot_top_k`` finds the same lists block by block.
     """
+    if scorer is None:
+        raise ValueError("a model recommender needs a scorer")
+    if candidates is None:
+        candidates = enumerate_open(users.select("user_id"), index_catalog(data.items),
+                                    data.seen.limit(0)).select("user_id", "item_id")
     known_users = users.select("user_id").join(data.interactions.select("user_id").distinct(), "user_id", "left_semi")
     pool = (candidates.select("user_id", "item_id").distinct().join(known_users, "user_id", "left_semi")
             .join(data.items.select("item_id").distinct(), "item_id", "left_semi"))

@@ -632,7 +632,7 @@ def _(v):
         scored = vectors.select("item_id", model(F.col("_v")).alias("score"))
         return pairs.join(scored, "item_id", "left")
 
-    return rec.recommend_model(data, test.select("user_id").distinct(), pool, score, K)
+    return rec.recommend_model(data, test.select("user_id").distinct(), K, candidates=pool, scorer=score)
 
 
 @query("score_pairs")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.operators.ranking import top_k
@@ -12,15 +12,20 @@ from tastegrid.operators.ranking import top_k
 EXTENSIONS = (".jpg", ".jpeg", ".png")   # fixed values: accepted endings, first one wins
 
 
+def _local(path: str) -> Column:
+    """One spelling of local paths: the two readers write ``file:/`` and ``file:///``."""
+    return F.regexp_replace(path, "^file:/+", "file:/").alias("path")
+
+
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of every file; the bytes are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_local("path"), "length")
 
 
 def decode_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, width, height); files that do not decode have width -1."""
     images = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
-    return images.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"),
+    return images.select(_local("image.origin"), F.col("image.width").alias("width"),
                          F.col("image.height").alias("height"))
 
 
