@@ -178,7 +178,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         for batch in batches:
             encoder = encoder or Encoder(Model(file.value))
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 21):
                 ids = encoder.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()),
