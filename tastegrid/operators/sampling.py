@@ -1,7 +1,7 @@
 """Drawing catalog items per user without pairing every user with every item.
 
-Uniform draws walk the catalog in a per-user random order (an affine step modulo a prime), so the
-first m + #excluded steps are enough to find m items: the rows made are linear in the output and
+Uniform draws walk the catalog in a per-user random order (a keyed permutation of its positions), so
+the first m + #excluded steps are enough to find m items: the rows made are linear in the output and
 the exclusions. Weighted draws invert the running weight; a user the draws leave short is
 completed exactly by exponential keys over what is left of the catalog.
 """
@@ -20,14 +20,27 @@ SEED = 42
 _CHUNK = 1024
 
 
-def next_prime(n: int) -> int:
-    """Smallest prime that is n or more."""
+def cubing_prime(n: int) -> int:
+    """Smallest prime that is n or more and 2 modulo 3: cubing permutes the numbers below it."""
     candidate = max(n, 2)
-    while any(candidate % d == 0 for d in range(2, int(candidate ** 0.5) + 1)):
+    while candidate % 3 != 2 or any(candidate % d == 0 for d in range(2, int(candidate ** 0.5) + 1)):
         candidate += 1
     return candidate
 
 
+def permuted(step: Column, key: Column, span: int) -> Column:
+    """Place of ``step`` in a permutation of 0..span-1 chosen by a hex key: two rounds of
+    x -> (a + b x) ^ 3 modulo ``span``, with a and b from the key's digits. Products stay exact up
+    to a span of 2 ** 31."""
+    p = F.lit(span)
+    x = step
+    for start in (1, 17):
+        a, b = F.pmod(hex_number(key, start, 8), p), F.lit(1) + F.pmod(hex_number(key, start + 8, 8), F.lit(max(span - 1, 1)))
+        y = F.pmod(a + F.pmod(x * b, p), p)
+        x = F.pmod(F.pmod(y * y, p) * y, p)
+    return x
+
+
 def index_catalog(items: DataFrame) -> DataFrame:
     """(item_id, pos): catalog in id order, numbered from 0."""
     return dense_index(items.select("item_id").distinct(), [F.col("item_id")], "pos")
@@ -57,7 +70,7 @@ def take_from_catalog(need: DataFrame, catalog: DataFrame, excluded: DataFrame,
     ``excluded`` holds distinct (user_id, item_id). Returns (user_id, item_id, step, rank).
     """
     n = catalog.count()
-    span = next_prime(n) if random else n
+    span = cubing_prime(n) if random else n
     barred = excluded.join(catalog, "item_id").select("user_id", "pos")
     barred_count = barred.groupBy("user_id").agg(F.count(F.lit(1)).alias("_e"))
     key = hash_key("user_id", seed=seed)
@@ -65,11 +78,8 @@ def take_from_catalog(need: DataFrame, catalog: DataFrame, excluded: DataFrame,
             .join(barred_count, "user_id", "left")
             .withColumn("_len", F.when(F.col("_m") <= 0, F.lit(0)).otherwise(
                 F.least(F.lit(span), F.col("_m") + F.coalesce("_e", F.lit(0)) + (span - n))).cast("bigint")))
-    if random:
-        walk = (walk.withColumn("_a", F.pmod(hex_number(key, 1, 12), F.lit(span)))
-                .withColumn("_b", F.lit(1) + F.pmod(hex_number(key, 13, 12), F.lit(max(span - 1, 1)))))
-    walked = steps(walk, "_len", "step")
-    pos = F.pmod(F.col("_a") + F.col("step") * F.col("_b"), F.lit(span)) if random else F.col("step")
+    walked = steps(walk.withColumn("_k", key), "_len", "step")
+    pos = permuted(F.col("step"), F.col("_k"), span) if random else F.col("step")
     open_steps = (walked.withColumn("pos", pos).filter(F.col("pos") < n)
                   .join(barred, ["user_id", "pos"], "left_anti"))
     taken = _first(open_steps, [F.col("step")], (F.col("step") / TASK_ROWS).cast("bigint"), F.col("_len"), "_m", "rank")

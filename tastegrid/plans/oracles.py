@@ -147,6 +147,34 @@ def _cosines(source: str, a: str, via: str) -> dict[str, str]:
     }
 
 
+def _walk(need: str, excluded: str) -> dict[str, str]:
+    """Uniform draws: per (user_id, m) the first m catalog items, in the user's permutation, that aren't excluded."""
+    digits = lambda start: f"('0x' || substr({_KEY.format('user_id')}, {start}, 8))::BIGINT"
+    turn = lambda x, a, b: f"(({digits(a)}) % p + ({x}) * (1 + ({digits(b)}) % (p - 1)) % p) % p"
+    cube = lambda y: f"(({y}) * ({y}) % p) * ({y}) % p"
+    return {
+        "cat": "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM (SELECT DISTINCT item_id FROM items)",
+        "span": """SELECT min(c) AS p FROM (SELECT n + i AS c FROM (SELECT count(*) AS n FROM cat), range(0, 2000) r(i))
+            WHERE c >= 2 AND c % 3 = 2 AND len(list_filter(range(2, floor(sqrt(c))::BIGINT + 1), lambda d: c % d = 0)) = 0""",
+        "need": need, "excluded": excluded,
+        "w1": f"SELECT user_id, m, step, p, {turn('step', 1, 9)} AS y FROM need, span, range(0, 100000) r(step) WHERE step < p",
+        "w2": f"SELECT user_id, m, step, p, {turn(cube('y'), 17, 25)} AS z FROM w1",
+        "drawn": f"""SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY step) AS rank
+            FROM (SELECT user_id, m, step, {cube('z')} AS pos FROM w2) JOIN cat USING (pos)
+            ANTI JOIN excluded USING (user_id, item_id) QUALIFY rank <= m""",
+    }
+
+
+def _reordered(tables: dict[str, str]) -> dict[str, str]:
+    """The exclusions before the needs, which count them."""
+    first = ("cat", "span", "excluded", "need")
+    return {n: tables[n] for n in (*first, *(n for n in tables if n not in first))}
+
+
+_POSITIVES = "SELECT DISTINCT user_id, item_id FROM {0} WHERE item_id IN (SELECT item_id FROM items)"
+_NEGATIVES = "SELECT user_id, least((SELECT count(*) FROM cat) - count(*), floor(count(*) * {0}))::BIGINT AS m FROM excluded GROUP BY 1"
+_LATE_CLICKS = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY timestamp, {_KEY.format('row_id')})
+    > floor(count(*) OVER () * 0.8::DOUBLE) AS late FROM clicks) WHERE late"""
 _GAIN = "sum(1 / log2(rank + 1)) FILTER (rank <= {0})"
 _IDEAL = "list_sum(list_transform(range(1, {0} + 1), lambda i: 1 / log2(i + 1)))"
 _AP = "coalesce(sum(place / rank), 0) / any_value(n_rel)"
@@ -300,6 +328,20 @@ ORACLES: dict[str, str] = {
         strftime(timestamp, '%Y-%m') AS month, count(*) AS n FROM levels, (VALUES (1), (2), (3)) v(level)
         WHERE levels.level >= v.level GROUP BY 1, 2)) k
         ON k.level = g.level AND k.month = g.month GROUP BY g.level""", "clicks", **_subsets("clicks")),
+    "negatives_random": _sql("SELECT user_id, item_id, rank FROM drawn", "purchases", "items",
+                             **_reordered(_walk(_NEGATIVES.format("1.0"), _POSITIVES.format("purchases")))),
+    "negatives_rejection": _sql("SELECT user_id, item_id, rank FROM drawn", "clicks", "items",
+                                **_reordered(_walk(_NEGATIVES.format("2.5"), _POSITIVES.format("clicks")))),
+    "train_samples": _sql(f"""SELECT user_id, item_id, label, {_KEY.format("(user_id || '|' || item_id || '|' || label)")} AS order_key
+        FROM (SELECT user_id, item_id, 1::BIGINT AS label FROM purchases WHERE item_id IN (SELECT item_id FROM items) UNION ALL
+        SELECT user_id, item_id, 0 FROM drawn)""", "purchases", "items",
+        **_reordered(_walk(_NEGATIVES.format("0.5"), _POSITIVES.format("purchases")))),
+    "eval_candidates": _sql("SELECT user_id, item_id, 1::BIGINT AS positive FROM positives UNION ALL SELECT user_id, item_id, 0 FROM drawn",
+        "clicks", "items", late=_LATE_CLICKS, positives="SELECT DISTINCT user_id, item_id FROM late",
+        **_reordered(_walk("""SELECT user_id, least(30, (SELECT count(*) FROM cat) - count(c.item_id))::BIGINT AS m
+            FROM positives LEFT JOIN cat c USING (item_id) GROUP BY 1""", "SELECT * FROM positives"))),
+    "rec_random": _sql(f"SELECT user_id, item_id, round({_PAIR}, 6) AS score, rank FROM drawn", "test", "history", "items",
+        **_reordered(_walk("SELECT DISTINCT user_id, 10 AS m FROM test", "SELECT DISTINCT user_id, item_id FROM history"))),
     "item_similarity": _sql("SELECT a, b, round(sim, 6) AS sim FROM sim", "purchases", **_cosines("purchases", "item_id", "user_id")),
     "item_similarity_clicks": _sql("SELECT a, b, round(sim, 6) AS sim FROM sim", "clicks", **_cosines("clicks", "item_id", "user_id")),
     "user_similarity": _sql("SELECT a, b, round(sim, 6) AS sim FROM sim", "clicks", **_cosines("clicks", "user_id", "item_id")),

@@ -89,3 +89,19 @@ def test_evaluation_candidates(spark, rows):
     items = spark.createDataFrame([(f"i{n}",) for n in range(60)], "item_id string")
     got = sampling.eval_candidates(rows, items, 10).groupBy("user_id").agg(F.sum("positive").alias("p"), F.count("*").alias("n"))
     assert all(r.n == r.p + 10 for r in got.collect())
+
+
+def test_uniform_draws_cover_items_and_pairs_evenly(spark):
+    """3,000 users draw 3 of 11 items: each item and each pair of items about equally often."""
+    items = spark.createDataFrame([(f"i{n:02}",) for n in range(11)], "item_id string")
+    need = spark.createDataFrame([(f"u{n}", 3) for n in range(3_000)], "user_id string, m int")
+    none = spark.createDataFrame([], "user_id string, item_id string")
+    drawn = {}
+    for r in sampling.take_from_catalog(need, sampling.index_catalog(items), none, random=True).collect():
+        drawn.setdefault(r.user_id, set()).add(r.item_id)
+    assert {len(s) for s in drawn.values()} == {3}
+    single = Counter(i for s in drawn.values() for i in s)
+    pairs = Counter(frozenset((a, b)) for s in drawn.values() for a in s for b in s if a < b)
+    assert all(abs(c - 3_000 * 3 / 11) < 130 for c in single.values())
+    assert len(pairs) == 55 and all(abs(c - 3_000 * 6 / 110) < 75 for c in pairs.values())
+    assert len({frozenset(s) for s in drawn.values()}) > 120
