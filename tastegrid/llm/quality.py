@@ -116,9 +116,16 @@ def ledger(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep(df: DataFrame, text: str = "text", policy: str = PRODUCTION) -> DataFrame:
-    """The rows that the policy keeps, with their own columns only."""
+    """The rows that the policy keeps, with their own columns only.
+
+    The row number keeps the optimiser from moving the filter below the measurements, where it would repeat them for each
+    of their uses.
+    """
     out, name = assess(df, text)
-    return out.filter(verdict(F.col(name)["failed_bits"], policy)).select(*[column(c) for c in df.columns])
+    row = fresh(out, "__row")
+    out = out.withColumn(row, F.monotonically_increasing_id())
+    kept = verdict(F.col(name)["failed_bits"], policy) & (F.col(row) >= 0)
+    return out.filter(kept).select(*[column(c) for c in df.columns])
 
 
 def ablations(entries: DataFrame, policy: str = PRODUCTION) -> DataFrame:
