@@ -85,6 +85,8 @@ def _first_of_runs(at: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 def encode_pieces(pieces: list[bytes], model: Model) -> list[bytes]:
     """Token ids (little-endian, 32 bits) of pieces, none of them empty, by the pair occurrence index."""
+    if not pieces:
+        return []
     lengths = np.array([len(p) for p in pieces])
     symbols = model.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
     n = len(symbols)
@@ -132,7 +134,7 @@ def encode_pieces(pieces: list[bytes], model: Model) -> list[bytes]:
                 index[r] = [p]
                 heapq.heappush(active, r)
     alive = symbols >= 0
-    counts = np.add.reduceat(alive, ends - lengths) if len(pieces) else np.empty(0, int)
+    counts = np.add.reduceat(alive, ends - lengths)
     data = symbols[alive].astype("<u4").tobytes()
     stops = (np.cumsum(counts) * 4).tolist()
     return [data[a:b] for a, b in zip([0, *stops], stops)]

@@ -306,7 +306,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             columns[at] = pa.array(clean, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names with dots can't be passed on as they are
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -24,6 +24,12 @@ def test_random_texts(library):
         assert np.frombuffer(ours, "<u4").tolist() == theirs.ids
 
 
+def test_slices_without_new_pieces():
+    encoder = bpe.Encoder(bpe.Model(open(bpe.default_path(), "rb").read()))
+    assert encoder.encode([]) == [] and encoder.encode(["", ""]) == [b"", b""]
+    assert encoder.encode(["a b"]) == encoder.encode(["a b"])
+
+
 def test_odd_cases_and_round_trip(spark, library):
     texts = [r[1] or "" for r in rows()]
     out = bpe.decode(bpe.encode(documents(spark))).collect()
