@@ -101,9 +101,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
 
 
 def _compare(least: int, best: bool):
-    """Candidates inside runs of rows with one (key, i, j); rows are (key, i, j, block, id, label, sketch)."""
+    """Candidates inside runs of rows with one (key, i, j): (a, b, equal coordinates, key).
 
-    def group(block, ids, labels, sketches, i, j) -> list[tuple[np.ndarray, ...]]:
+    Rows are (key, i, j, block, id, label, sketch, band, bands). A pair counts only in the bucket of the first band it
+    shares, so it comes up once however many buckets it meets in.
+    """
+
+    def group(block, ids, labels, sketches, bands, band, i, j) -> list[tuple[np.ndarray, ...]]:
         if len(ids) < 2:
             return []
         own = np.flatnonzero(block == i) if i != j else np.arange(len(ids))
@@ -117,9 +121,11 @@ def _compare(least: int, best: bool):
                 continue
             same = BITS - np.bitwise_count(sketches[others] ^ sketches[row]).sum(axis=1, dtype=np.int64)
             good = same >= least
-            if not good.any():
-                continue
             others, same = others[good], same[good]
+            first = (bands[others] == bands[row]).argmax(axis=1) == band
+            others, same = others[first], same[first]
+            if not len(others):
+                continue
             if not best:
                 found.append((np.full(len(others), ids[row]), ids[others], same))
                 continue
@@ -158,32 +164,36 @@ def _compare(least: int, best: bool):
         heads = _heads(batch)
         i, j, block, ids, labels = (batch.column(c).to_numpy() for c in range(1, 6))
         sketches = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        key, band = batch.column(0).to_numpy(), batch.column(7).to_numpy()
+        bands = batch.column(8).flatten().to_numpy().reshape(batch.num_rows, -1)
         found = []
         for a, b in zip(heads, np.r_[heads[1:], batch.num_rows]):
-            found += group(block[a:b], ids[a:b], labels[a:b], sketches[a:b], i[a], j[a])
+            pairs = group(block[a:b], ids[a:b], labels[a:b], sketches[a:b], bands[a:b], band[a], i[a], j[a])
+            found += [(*p, np.full(len(p[0]), key[a])) for p in pairs if len(p[0])]
         if found:
-            a, b, same = (np.concatenate(c) for c in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same.astype(np.int64))],
-                                             names=["a", "b", "same"])
+            a, b, same, key = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same.astype(np.int64)), pa.array(key)],
+                                             names=["a", "b", "same", "key"])
 
     return run
 
 
 def _candidates(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: int, best: bool) -> DataFrame:
-    """Pairs of one bucket and different components, by their sketches: each one's best partner, or all."""
-    labelled = members.join(labels, "id").select("key", "id", "label")
+    """(a, b, same, key): pairs of one bucket and different components, by their sketches: best partners, or all."""
+    labelled = members.join(labels, "id").select("key", "band", "id", "label")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
     mixed = mixed.filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = labelled.join(mixed, "key").join(sketches, "id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id",
-                       "label", "sketch")
+                       "label", "sketch", "band", "bands")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    found = rows.mapInArrow(_compare(least, best), "a bigint, b bigint, same bigint")
-    if best:
-        found = found.groupBy("a").agg(F.max(F.struct("same", F.col("b").alias("b"))).alias("top")).select("a", "top.b")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(_compare(least, best), "a bigint, b bigint, same bigint, key bigint")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
@@ -201,19 +211,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     alone = sketched.filter("digest is not null and id is not null").join(
         copies.filter("id != rep").select("id"), "id", "left_anti")
 
-    banded = alone.select("id", F.explode("bands").alias("key"))
+    banded = alone.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    members = store(banded.join(buckets, "key").select("key", "id", "least"), "members")
+    members = store(banded.join(buckets, "key").select("key", "band", "id", "least"), "members")
     wanted = store(members.select("id").distinct(), "wanted")
     sets = store(texts.join(wanted, "id").mapInArrow(_sets(size), "id bigint, shingles binary, sketch binary"), "sets")
-    sketches = sets.select("id", "sketch")
+    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")
+    sketches = store(sketched.select("id", short).join(wanted, "id").join(sets.select("id", "sketch"), "id"), "compared")
 
     least = least_matches(percent)
     first = members.filter("least < id").groupBy("id").agg(F.min("least").alias("b")).select(F.col("id").alias("a"), "b")
     links = _verified(first, sets, percent, "star")
     labels = store(joined(wanted.select("id", F.col("id").alias("label")), links), "labels")
     while True:
-        asked = store(_candidates(members, labels, sketches, least, True), "asked")
+        close = store(_candidates(members, labels, sketches, least, True), "close")
+        asked = close.groupBy("a").agg(F.max(F.struct("same", "b")).alias("top")).select("a", "top.b")
+        asked = store(_ordered(asked), "asked")
+        members = store(members.join(close.select("key").distinct(), "key"), "members")  # no pair is left in the others
         more = _verified(asked, sets, percent, "best")
         found, tried = more.count(), asked.count()
         if found:
@@ -221,7 +235,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
             labels = store(joined(labels, more), "labels")
         if 4 * found <= tried:  # most of what is left is below the threshold
             break
-    links = links.unionByName(_verified(_candidates(members, labels, sketches, least, False), sets, percent, "rest"))
+    rest = _ordered(_candidates(members, labels, sketches, least, False))
+    links = links.unionByName(_verified(rest, sets, percent, "rest"))
     labels = store(components(links), "labels")
 
     out = sketched.select("id", "n_shingles").join(copies.dropDuplicates(["id"]), "id", "left")
