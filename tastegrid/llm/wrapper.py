@@ -2,10 +2,13 @@
 
 Every page becomes a DOM tree; neighbouring siblings of one label count as one repeated node. Trees of the same host are
 aligned by simple tree matching into one template per host, in every task first and then between tasks: a template node knows
-on how many pages it occurred and whether its own text was the same on all of them. Nodes with constant text are template.
-Varying slots are content, apart from those whose tag or class names them as something else (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments). Plain headings and paragraphs of an article are never template, as
-copies of an article may stand on one host many times; where a host's pages have an article, slots outside it are not content.
+on which pages it occurred and whether its own text was the same on all of them. Nodes with constant text are template, and
+so is a block among like siblings whose text stands on at least half of the host's pages that have such blocks; in both cases
+on ``SUPPORT`` distinct pages or more. Varying slots are content, inside an article element or not, apart from those whose tag
+or class names them as something else (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
+
+Copies of an article may stand on one host many times under other adverts and menus: pages count as one if they have the same
+text in their root, which is the article or main element that holds most of the text outside named parts, else the whole page.
 
 All pages take part in their host's template. A template is as large as the union of its pages' skeletons, whose repeated
 nodes count once; at most ``TEMPLATES`` are held by a task before they are handed on. Partial templates of a host are merged
@@ -18,6 +21,7 @@ extracted each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -43,7 +47,6 @@ RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe",
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section "
                   "summary table tbody td tfoot th thead tr ul".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre dl dt dd table tbody tr td th figure figcaption".split())
 CLOSES_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
                  "th": ("td", "th"), "option": ("option",)}
 KEEPS_ITEMS = frozenset("ul ol dl table menu".split())
@@ -73,6 +76,12 @@ class Node:
         self.kids: list = []
 
 
+def hashed(*parts: str) -> int:
+    """A signed 64-bit hash, the same in every process."""
+    whole = "\0".join(parts).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big", signed=True)
+
+
 def parse(page: str) -> Node:
     """The DOM tree; texts are raw strings among the children."""
     root = Node("#page")
@@ -130,26 +139,28 @@ def parse(page: str) -> Node:
 class Shape:
     """A node of a page's skeleton: one or more like siblings."""
 
-    __slots__ = ("label", "prose", "text", "kids", "nodes")
+    __slots__ = ("label", "text", "kids", "nodes", "owns")
 
     def __init__(self, nodes: list[Node]):
         self.nodes, self.label = nodes, nodes[0].label
-        self.prose = self.label in PROSE
         self.text = 0
+        self.owns: list[str] = []  # the own text of each node
         kids: list[list[Node]] = []
         for node in nodes:
+            own: list[str] = []
             for kid in node.kids:
                 if isinstance(kid, str):
-                    own = kid.strip()
-                    if own:
-                        self.text = zlib.crc32(own.encode("utf-8", "surrogatepass"), self.text)
+                    own.append(kid)
                 elif kid.tag in BLOCK or kid.other:
                     if kids and kids[-1][0].label == kid.label:
                         kids[-1].append(kid)
                     else:
                         kids.append([kid])
                 else:  # inline elements belong to the text around them
-                    self.text = zlib.crc32(_inner(kid).encode("utf-8", "surrogatepass"), self.text)
+                    own.append(_inner(kid))
+            self.owns.append(" ".join("".join(own).split()))
+            if self.owns[-1]:
+                self.text = zlib.crc32(self.owns[-1].encode("utf-8", "surrogatepass"), self.text)
         self.kids = [Shape(k) for k in kids]
 
 
@@ -157,8 +168,44 @@ def _inner(node: Node) -> str:
     return "".join(k if isinstance(k, str) else _inner(k) for k in node.kids)
 
 
-def template(shape: Shape) -> dict:
-    return {"l": shape.label, "n": 1, "t": shape.text, "k": [template(k) for k in shape.kids]}
+def _texts(node: Node, out: list[str], roots: list[tuple[int, int]], inside: bool = False) -> None:
+    """The texts outside named parts, and where among them those of outermost article and main elements begin and end."""
+    top, first = node.tag in ("article", "main") and not inside, len(out)
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if kid and not kid.isspace():
+                out.append(" ".join(kid.split()))
+        elif not kid.other:
+            _texts(kid, out, roots, inside or top)
+    if top:
+        roots.append((first, len(out)))
+
+
+def identity(root: Node) -> int:
+    """Equal for pages with the same text in their root."""
+    texts: list[str] = []
+    roots: list[tuple[int, int]] = []
+    _texts(root, texts, roots)
+    size = sum(map(len, texts))
+    for a, b in roots:
+        if 2 * sum(map(len, texts[a:b])) > size:
+            return hashed(*texts[a:b])
+    return hashed(*texts)
+
+
+def template(shape: Shape, page: int = 0) -> dict:
+    """A page's template; "n" are the least identities of the pages, at most ``SUPPORT``."""
+    return {"l": shape.label, "n": [page], "t": shape.text, "k": [template(k, page) for k in shape.kids]}
+
+
+def blocks_of(shape: Shape, path: str = "") -> Iterator[tuple[str, str, Node]]:
+    """(path, own text, node) of every node with text."""
+    path = f"{path}/{shape.label}"
+    for node, own in zip(shape.nodes, shape.owns):
+        if own:
+            yield path, own, node
+    for kid in shape.kids:
+        yield from blocks_of(kid, path)
 
 
 def _label(x) -> str:
@@ -214,33 +261,28 @@ def merge(into: dict, other: dict) -> dict:
     for i, j in aligned(into["k"], other["k"]):
         kids.append(into["k"][i] if j is None else other["k"][j] if i is None else merge(into["k"][i], other["k"][j]))
     same = into["t"] if into["t"] == other["t"] else None
-    return {"l": into["l"], "n": into["n"] + other["n"], "t": same, "k": kids}
+    return {"l": into["l"], "n": sorted({*into["n"], *other["n"]})[:SUPPORT], "t": same, "k": kids}
 
 
-def constant(shape: Shape, known: dict | None, inside: bool, out: set[int]) -> None:
+def constant(shape: Shape, known: dict | None, out: set[int]) -> None:
     """Collect the nodes of a page that are template by its host's template."""
-    inside = inside or shape.nodes[0].tag in ("article", "main")
     if known is None:
         return
-    if known["n"] >= SUPPORT and known["t"] is not None and shape.text and not (inside and shape.prose):
+    if len(known["n"]) >= SUPPORT and known["t"] is not None and shape.text:
         out.update(map(id, shape.nodes))
     for i, j in aligned(shape.kids, known["k"]):
         if i is not None:
-            constant(shape.kids[i], known["k"][j] if j is not None else None, inside, out)
+            constant(shape.kids[i], known["k"][j] if j is not None else None, out)
 
 
-def has_article(known: dict) -> bool:
-    """Whether a slot that varies, or that no other page shows, lies in an article."""
-    return known["l"].split(".")[0] in ("article", "main") or any(has_article(k) for k in known["k"])
-
-
-def extract(page: str, known: dict | None) -> str:
+def extract(page: str, known: dict | None, repeated: frozenset = frozenset()) -> str:
     """The page's content blocks, joined by line feeds."""
     root = parse(page)
     shape = Shape([root])
     fixed: set[int] = set()
-    constant(shape, known, False, fixed)
-    within = has_article(known if known is not None else template(shape)) and has_article(template(shape))
+    constant(shape, known, fixed)
+    if repeated:
+        fixed.update(id(node) for path, own, node in blocks_of(shape) if hashed(path, own) in repeated)
     blocks: list[str] = []
     pieces: list[str] = []
 
@@ -250,7 +292,7 @@ def extract(page: str, known: dict | None) -> str:
             blocks.append(text)
         pieces.clear()
 
-    def walk(node: Node, inside: bool) -> None:
+    def walk(node: Node, inside: bool, above: bool) -> None:
         inside = inside or node.tag in ("article", "main")
         if node.other or node.tag == "header" and not inside:
             close()
@@ -258,19 +300,19 @@ def extract(page: str, known: dict | None) -> str:
         block = node.tag in BLOCK
         if block:
             close()
-        shown = (inside or not within) and id(node) not in fixed
+        shown = id(node) not in fixed and (block or above)
         for kid in node.kids:
             if not isinstance(kid, str):
                 if kid.tag == "br":
                     pieces.append(" ")
                 else:
-                    walk(kid, inside)
-            elif shown or not block and pieces:
+                    walk(kid, inside, shown)  # an inline element follows the block around it
+            elif shown:
                 pieces.append(kid)
         if block:
             close()
 
-    walk(root, False)
+    walk(root, False, True)
     close()
     return "\n".join(blocks)
 
@@ -292,7 +334,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            new = template(Shape([parse(page.as_py() or "")]))
+            root = parse(page.as_py() or "")
+            new = template(Shape([root]), identity(root))
             held[host] = merge(held[host], new) if host in held else new
             if len(held) >= TEMPLATES:
                 yield flush()
@@ -300,6 +343,22 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, slot, block, page) of each text block of a page; block is null once for each slot."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            root = parse(page.as_py() or "")
+            same, found = identity(root), set()
+            for path, own, _ in blocks_of(Shape([root])):
+                slot = hashed(path)
+                found |= {(slot, None), (slot, hashed(path, own))}
+            rows += [(host, slot, block, same) for slot, block in found]
+        columns = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3))],
+                                         names=["host", "slot", "block", "page"])
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One template for each run of rows of one host."""
     host, held = None, None
@@ -321,14 +380,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, dict] = {}
+    repeated: dict[str, frozenset] = {}
     for batch in batches:
         texts = []
-        for page, host, text in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
+        for page, host, text, texts_of in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
             if host not in known:
                 if len(known) >= TEMPLATES:
                     known.clear()
+                    repeated.clear()
                 known[host] = json.loads(text.as_py()) if text.is_valid else None
-            texts.append(extract(page.as_py() or "", known[host]))
+                repeated[host] = frozenset(texts_of.as_py() or ())
+            texts.append(extract(page.as_py() or "", known[host], repeated[host]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                          names=["key", "url", "text"])
 
@@ -343,16 +405,29 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     return parts.repartition("host").sortWithinPartitions("host").mapInArrow(_merged, kind)
 
 
+def repeated_blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, repeated): texts, each with its path, on ``SUPPORT`` distinct pages and on half of those with that path."""
+    rows = pages.select(host_of(column(url).cast("string")).alias("host"), column(html).cast("string").alias("html"))
+    found = rows.mapInArrow(_blocks, "host string, slot bigint, block bigint, page bigint").dropDuplicates()
+    found = store(found.groupBy("host", "slot", "block").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT), "blocks")
+    slots = found.filter("block is null").select("host", "slot", F.col("n").alias("whole"))
+    often = found.filter("block is not null").join(slots, ["host", "slot"]).filter("2 * n >= whole")
+    return often.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("repeated"))
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text) per row of ``pages``."""
     mark = stored()
-    known = finish(templates(pages, url, html), "templates", mark)
-    hosts, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("template")), F.lit(0))).first()
+    known = templates(pages, url, html).join(repeated_blocks(pages, url, html), "host", "left")
+    known = finish(known, "templates", mark)
+    size_of = F.octet_length("template") + F.coalesce(8 * F.size("repeated"), F.lit(0))
+    hosts, size = known.agg(F.count("*"), F.coalesce(F.sum(size_of), F.lit(0))).first()
     if hosts <= BROADCAST_HOSTS and size <= BROADCAST_BYTES:
         known = F.broadcast(known)
     rows = pages.select(column(key).alias("key"), column(url).cast("string").alias("url"),
                         column(html).cast("string").alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("key", "url", "html", "host", "template")
+    rows = rows.withColumn("host", host_of(F.col("url"))).join(known, "host", "left")
+    rows = rows.select("key", "url", "html", "host", "template", "repeated")
     kind = f"key {rows.schema['key'].dataType.simpleString()}, url string, text string"
     return rows.mapInArrow(_extracted, kind).withColumnRenamed("key", key).withColumnRenamed("url", url)
 

@@ -50,3 +50,30 @@ def test_odd_cases(spark):
             (8, ("word " * 200_000).strip())]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert wrapper.main_text(df.limit(0)).count() == 0
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.example/x", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r.text for r in wrapper.main_text(df).orderBy("page_id").collect()]
+
+
+def test_story_beside_teaser_articles_is_content(spark):
+    pages = [f'<body><div id="story"><h1>Title {i}</h1><p>Story {i} is long enough</p></div><aside><article class="card"><p>a {i}'
+             f'</p></article></aside><article class="card"><p>Same teaser</p></article></body>' for i in range(5)]
+    assert extracted(spark, pages) == [f"Title {i}\nStory {i} is long enough" for i in range(5)]
+
+
+def test_constant_notice_in_the_article_is_template(spark):
+    pages = [f"<body><article><h1>Title {i}</h1><p>First {i}</p><p>Support <b>our</b> work</p><p>Last {i}</p></article>"
+             f"<div>Beside {i}</div></body>" for i in range(5)]
+    assert extracted(spark, pages) == [f"Title {i}\nFirst {i}\nLast {i}\nBeside {i}" for i in range(5)]
+
+
+def test_copies_of_an_article_are_one_page(spark):
+    pages = [f'<body><div class="ad">{i}</div><article><h1>Title</h1><p>One</p><p>Two</p></article></body>' for i in range(6)]
+    assert extracted(spark, pages) == ["Title\nOne\nTwo"] * 6
+
+
+def test_pages_without_article(spark):
+    pages = [f"<body><div><p>Welcome to the site</p><p>Story {i}</p></div><div><p>Imprint</p></div></body>" for i in range(5)]
+    assert extracted(spark, pages) == [f"Story {i}" for i in range(5)]
