@@ -2,13 +2,15 @@
 
 Equal vectors form a class; one of each class is compared. Centres are fitted on about ``SAMPLE`` vectors, chosen by
 their own hash, all where there are fewer; every vector is assigned. A vector is at home in the cell of its nearest centre and also visits every cell whose border
-(the plane between the two centres) lies within ``MARGIN``; so a pair is met in a home of one of its two. Products are taken
-in double precision between blocks of at most ``BLOCK`` vectors; a block emits a count per vector and one link per vector
+(the plane between the two centres) lies within ``MARGIN``, half the distance of two unit vectors of cosine 0.9. A pair with
+homes of its own each crosses the border between them, so at least one of it is that near and meets the other in its home: no
+pair is missed, whatever the centres. Products are taken in double precision, tile by tile, between blocks of about ``BLOCK``
+vectors; a block emits a count per vector and one link per vector
 that joins it to others of its block, never its pairs. A pair is counted in one cell only: that where one of it is at home,
 and the smaller one if both visit each other.
 
-A pair of cosine 0.98 or more is missed practically never; at exactly 0.9 the margin is some 1.4 standard deviations of the
-distance to a border, so most such pairs are met too. No pair below the threshold is ever linked.
+Cells are large, since a vector of many dimensions without clusters visits most of them: what is shipped grows with the number
+of cells, and the products are fast.
 
 Defined cases: a vector that is null, empty, zero, holds a null or non-finite number, or has another length than most
 vectors (the smaller length, of equally frequent ones) links with nothing; repeated rows are vectors of their own that are
@@ -30,10 +32,11 @@ from tastegrid.llm.graph import components
 
 THRESHOLD = 0.9
 SAMPLE = 20_000
-CELL = 512            # vectors to a cell, on the average, as long as there are enough centres
+CELL = 8_192            # vectors to a cell, on the average, as long as there are enough centres
 MOST_CELLS = 1_024
-MARGIN = 0.08
-BLOCK = 1_024
+MARGIN = math.sqrt(2 - 2 * THRESHOLD) / 2 + 1e-4  # exact, and a little for rounding
+BLOCK = 16_384
+TILE = 1_024          # vectors on a side of one product
 ROUNDS = 8
 
 
@@ -148,22 +151,32 @@ def _block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     right = left if i == j else np.flatnonzero(part == j)
     if not len(left) or not len(right):
         return
-    x = unit(_matrix(batch.column(7)))
-    met = np.argwhere(x[left] @ x[right].T >= THRESHOLD)
-    a, b = left[met[:, 0]], right[met[:, 1]]
-    if i == j:
-        a, b = a[a < b], b[a < b]
-    else:  # a is at home here; if b is a visitor whose home a visits as well, the smaller cell counts the pair
+    x = _matrix(batch.column(7))
+    bits = None
+    if i != j:
         bits = np.unpackbits(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
-        ours = (home[b] == cell) | (bits[a, home[b]] == 0) | (home[b] > cell)
-        a, b = a[ours], b[ours]
-    if not len(a):
+    counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for l in range(0, len(left), TILE):
+        mine = left[l:l + TILE]
+        rows = unit(x[mine])
+        for r in range(l if i == j else 0, len(right), TILE):
+            theirs = right[r:r + TILE]
+            met = np.argwhere(rows @ unit(x[theirs]).T >= THRESHOLD)
+            a, b = mine[met[:, 0]], theirs[met[:, 1]]
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            else:  # a is at home here; if b is a visitor whose home a visits as well, the smaller cell counts the pair
+                ours = (home[b] == cell) | (bits[a, home[b]] == 0) | (home[b] > cell)
+                a, b = a[ours], b[ours]
+            if len(a):
+                np.add.at(counts, a, times[b])
+                np.add.at(counts, b, times[a])
+                root = _roots(len(ids), np.r_[a, np.arange(len(ids))], np.r_[b, root])
+    if not counts.any():
         return
-    counts = np.bincount(a, times[b], len(ids)) + np.bincount(b, times[a], len(ids))
     seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(counts[seen].astype(np.int64)),
+    yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(counts[seen]),
                                       pa.nulls(len(seen), pa.int64())], names=["id", "n", "other"])
-    root = _roots(len(ids), a, b)
     joined = np.flatnonzero(root != np.arange(len(ids)))
     yield pa.RecordBatch.from_arrays([pa.array(ids[joined]), pa.nulls(len(joined), pa.int64()),
                                       pa.array(ids[root[joined]])], names=["id", "n", "other"])
@@ -191,8 +204,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     else:
         x = unit(np.stack([np.frombuffer(r, np.float32) for r in picked or [bytes(one.first()["vector"])]]))
         centres = spark.sparkContext.broadcast(spherical_centres(x, min(cells, len(x))))
-        assigned = store(one.mapInArrow(
-            _assign(centres), "cell int, home int, id bigint, times bigint, vector binary, visits binary"), "cells")
+        assigned = one.mapInArrow(  # found twice, as storing it takes a copy of the vectors for each visit
+            _assign(centres), "cell int, home int, id bigint, times bigint, vector binary, visits binary")
         at_home = F.col("home") == F.col("cell")
         sizes = assigned.groupBy("cell").agg(
             F.ceil(F.sum(at_home.cast("int")) / BLOCK).cast("int").alias("own"),

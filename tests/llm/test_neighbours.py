@@ -48,6 +48,26 @@ def test_recall_on_the_tables(spark):
     assert (found <= true).all() and found.sum() >= 0.99 * true.sum()
 
 
+@pytest.mark.parametrize("size", [4, 16, 64])
+def test_planted_pairs_over_many_cells(spark, monkeypatch, size):
+    monkeypatch.setattr(neighbours, "CELL", 16)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    rng = np.random.default_rng(size)
+    base = neighbours.unit(rng.normal(size=(700, size)))
+    aside = rng.normal(size=base.shape)
+    aside = neighbours.unit(aside - (aside * base).sum(axis=1, keepdims=True) * base)
+    cos = rng.uniform(0.9001, 0.95, size=(700, 1))
+    x = np.r_[base, cos * base + np.sqrt(1 - cos ** 2) * aside].astype(np.float32)
+    exact = neighbours.unit(x)
+    links = exact @ exact.T >= 0.9
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    out = {r.id: r for r in neighbours.near_duplicates(df).collect()}
+    true = links.sum(axis=1) - 1
+    assert true.sum() >= 1_400 and [out[i].n_links for i in range(len(x))] == true.tolist()
+    assert all(out[int(a)].component_id == out[int(b)].component_id for a, b in np.argwhere(links))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert neighbours.near_duplicates(df).count() == 0
