@@ -5,7 +5,8 @@ a small deterministic parser expands to the boundaries of one kind and validates
 
 * email, ip, card, phone: the base kinds, leftmost and non-overlapping within a kind; a failing match is dropped and the
   search goes on behind it;
-* login: a URL that carries a user and a password; secret: an access key or the value given to a token, key or password; account: an IBAN
+* login: a URL that carries a user and a password; secret: an access key or the value given to a token, key or password, of
+  any length from 8 on, the name in upper or lower case and alone or in a longer one (``AWS_SECRET_ACCESS_KEY``); account: an IBAN
   (mod 97) or a social security number; address: a house number with a street name.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start and then kind as in ``KINDS``.
@@ -35,11 +36,14 @@ _LABEL = DIGITS | _LETTERS | frozenset("-")
 _CAPITALS = DIGITS | frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _PHONE = DIGITS | frozenset(" ().-")
 # Cue words before a secret, before an account, and after a street's name.
-SECRET_CUES = ("token", "password", "passwd", "api_key", "apikey", "secret", "Token", "Password", "API_KEY", "SECRET",
-               "access_key", "private_key")
+SECRET_CUES = ("token", "password", "passwd", "api_key", "apikey", "secret", "access_key", "accesskey", "private_key",
+               "privatekey")  # in any case; the others as written
 ACCOUNT_CUES = ("IBAN", "iban", "SSN", "ssn")
 STREET_CUES = (" Street", " Avenue", " Road", " Lane", " Boulevard", " Drive", " St.", " Ave.", " Rd.")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
+EXACT = {"key": ("AKIA",), "account": ACCOUNT_CUES, "street": STREET_CUES, "scheme": SCHEMES}
+_NAME = DIGITS | _LETTERS | frozenset("_-")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}  # keeps lengths, unlike str.lower
 
 
 def anchors() -> ahocorasick.Automaton:
@@ -48,10 +52,9 @@ def anchors() -> ahocorasick.Automaton:
         found.add_word(d, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
-    found.add_word("AKIA", ("key", 4))
-    for kind, words in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("street", STREET_CUES), ("scheme", SCHEMES)):
+    for kind, words in {"secret": SECRET_CUES, **EXACT}.items():
         for word in words:
-            found.add_word(word, (kind, len(word)))
+            found.add_word(word.translate(_LOWER), (kind, len(word)))
     found.make_automaton()
     return found
 
@@ -144,21 +147,45 @@ def login_at(text: str, start: int, behind: int) -> int | None:
     return end
 
 
-def secret_at(text: str, behind: int) -> tuple[int, int] | None:
-    """The value of ``cue = "value"`` or ``cue: value``: 8 to 512 characters, with a digit among them."""
-    at, size = behind, len(text)
-    while at < size and text[at] in " \"'":
-        at += 1
-    if at >= size or text[at] not in "=:":
-        return None
-    at += 1
-    while at < size and text[at] in " \"'":
+class Secrets:
+    """Values of ``cue = "value"`` or ``cue: value`` in one text: 8 characters or more, with a digit or assigned in quotes.
+
+    Cues come from left to right; a name and a run of value characters are read once, so that all of them take linear time.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.name_end = self.tried = self.run_end = self.digit = -1
+
+    def at(self, behind: int) -> tuple[int, int] | None:
+        text, at, size = self.text, behind, len(self.text)
+        if at < size and text[at] in _NAME:
+            if not (text[at] in "_-" or text[at] in _CAPITALS and "a" <= text[at - 1] <= "z"):
+                return None
+            if self.name_end < at:
+                self.name_end = _run(text, at, _NAME)
+            at = self.name_end
+        if at == self.tried:
+            return None
+        self.tried = at
+        while at < size and text[at] in " \"'":
+            at += 1
+        if at >= size or text[at] not in "=:":
+            return None
+        assigned = text[at] == "="
         at += 1
-    end = at
-    while end < size and end - at <= 512 and not text[end].isspace() and text[end] not in "\"',;<>":
-        end += 1
-    value = text[at:end]
-    return (at, end) if 8 <= len(value) <= 512 and any(c in DIGITS for c in value) else None
+        while at < size and text[at] in " \"'":
+            at += 1
+        if self.run_end < at:
+            end, self.digit = at, -1
+            while end < size and not text[end].isspace() and text[end] not in "\"',;<>":
+                if text[end] in DIGITS:
+                    self.digit = end
+                end += 1
+            self.run_end = end
+        end = self.run_end
+        quoted = assigned and text[at - 1] in "\"'" and text[end:end + 1] == text[at - 1]
+        return (at, end) if end - at >= 8 and (self.digit >= at or quoted) else None
 
 
 def access_key_at(text: str, at: int) -> tuple[int, int] | None:
@@ -224,8 +251,11 @@ def find(text: str, automaton) -> list[tuple[str, int, int]]:
                 spans.append((kind, at, got[0]))
 
     ip_seen = 0
-    for last, (anchor, width) in automaton.iter(text):
+    secrets = Secrets(text)
+    for last, (anchor, width) in automaton.iter(text.translate(_LOWER)):
         at = last - width + 1
+        if anchor in EXACT and text[at:last + 1] not in EXACT[anchor]:
+            continue
         if anchor == "digit":
             if at >= free["card"]:
                 checked("card", at, card_at(text, at))
@@ -251,7 +281,7 @@ def find(text: str, automaton) -> list[tuple[str, int, int]]:
             elif kind == "address":
                 got = address_at(text, at, last + 1)
             else:
-                got = (secret_at if kind == "secret" else account_at)(text, last + 1)
+                got = secrets.at(last + 1) if kind == "secret" else account_at(text, last + 1)
             if got:
                 spans.append((kind, *got))
                 free[kind] = got[1]
