@@ -5,7 +5,9 @@ aligned by simple tree matching into one template per host, in every task first
 on which pages it occurred and whether its own text was the same on all of them. Nodes with constant text are template, and
 so is a block among like siblings whose text stands on at least half of the host's pages that have such blocks; in both cases
 on ``SUPPORT`` distinct pages or more. Varying slots are content, inside an article element or not, apart from those whose tag
-or class names them as something else (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
+or class names them as something else (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). A class or id does so if all of its words are such names: ``cookie-notice``
+but not ``content-with-sidebar``. Never dropped by name are the body, an article or main element, what holds the page's main
+element, first heading or article (a form around the page), and headers inside an article.
 
 Copies of an article may stand on one host many times under other adverts and menus: pages count as one if they have the same
 text in their root, which is the article or main element that holds most of the text outside named parts, else the whole page.
@@ -43,7 +45,7 @@ BROADCAST_BYTES = 8 << 20
 
 # Elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section "
                   "summary table tbody td tfoot th thead tr ul".split())
@@ -51,6 +53,8 @@ CLOSES_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("
                  "th": ("td", "th"), "option": ("option",)}
 KEEPS_ITEMS = frozenset("ul ol dl table menu".split())
 OTHER_TAGS = frozenset("nav footer aside form menu dialog head".split())
+HEADERS = frozenset("header banner masthead".split())
+ASIDE = frozenset("nav footer aside menu dialog head".split())  # never around the main content
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored sidebar side "
                         "menu nav navbar navigation breadcrumb breadcrumbs header masthead footer notice notices cookie "
@@ -64,15 +68,16 @@ HOST = r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Node:
-    __slots__ = ("tag", "label", "other", "kids")
+    __slots__ = ("tag", "label", "top", "other", "kids")
 
     def __init__(self, tag: str, attributes: str = ""):
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
         names = sorted({*found.get("class", "").split(), *found.get("id", "").split()})
         self.tag = tag
         self.label = ".".join([tag, *names])
-        words = {w for n in names for w in re.split(r"[-_\d]+", n.lower())}
-        self.other = tag in OTHER_TAGS or bool(words & OTHER_NAMES) or found.get("role", "") in OTHER_ROLES
+        named = [words for n in names if (words := {*re.split(r"[-_\d]+", n.lower())} - {""}) and words <= OTHER_NAMES]
+        self.top = any(words <= HEADERS for words in named) or found.get("role", "") == "banner" or tag == "header"
+        self.other = tag in OTHER_TAGS or bool(named) or found.get("role", "") in OTHER_ROLES
         self.kids: list = []
 
 
@@ -133,9 +138,46 @@ def parse(page: str) -> Node:
         stack[-1].kids.append(node)
         if tag not in VOID:
             stack.append(node)
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Take back "other" where it can't hold: around the main content, and for headers inside an article."""
+    found: dict[str, list[Node]] = {}
+
+    def walk(node: Node, above: list[Node], inside: bool, top: bool) -> None:
+        if node.tag in ("html", "body", "main", "article"):
+            node.other = False
+        elif inside and node.top:
+            node.other = node.tag in OTHER_TAGS
+        inside = inside or node.tag in ("main", "article")
+        top = top or node.top and not inside
+        above = [*above, node]
+        if node.tag in ("main", "article") or node.tag == "h1" and not top:
+            first = found.setdefault(node.tag, above)
+            if any(n.other for n in first) and not any(n.other for n in above):
+                found[node.tag] = above  # rather the first that stands in no named part
+        for kid in node.kids:
+            if not isinstance(kid, str) and kid.tag not in ASIDE:
+                walk(kid, above, inside, top)
+
+    walk(root, [], False, False)
+    for tag in ("main", "h1", "article"):
+        if tag in found:
+            for node in found[tag]:
+                node.other = False
+            return
+    node = root  # without any of them, a part that holds all text
+    while True:
+        kids = [k for k in node.kids if (k if isinstance(k, str) else "" if k.tag in ASIDE else _inner(k)).strip()]
+        if len(kids) != 1 or isinstance(kids[0], str):
+            return
+        node = kids[0]
+        if node.tag in ("form", "body", "html"):
+            node.other = False
+
+
 class Shape:
     """A node of a page's skeleton: one or more like siblings."""
 

@@ -77,3 +77,23 @@ def test_copies_of_an_article_are_one_page(spark):
 def test_pages_without_article(spark):
     pages = [f"<body><div><p>Welcome to the site</p><p>Story {i}</p></div><div><p>Imprint</p></div></body>" for i in range(5)]
     assert extracted(spark, pages) == [f"Story {i}" for i in range(5)]
+
+
+def test_names_do_not_drop_the_main_content():
+    story = "<h1>Head</h1><p>Story</p>"
+    for page in (f'<body class="right-sidebar">{story}</body>', f'<body class="sidebar">{story}</body>',
+                 f'<div id="content-with-sidebar">{story}</div>', f'<article class="share-enabled">{story}</article>',
+                 f'<article class="related">{story}</article>', f"<form>{story}</form>", f'<div class="widget">{story}</div>',
+                 f'<form role="form"><main>{story}</main></form>', "<form><p>Head</p><p>Story</p></form>",
+                 '<article><header class="entry-header"><h1>Head</h1></header><p>Story</p></article>',
+                 '<article><div class="article-header"><h1>Head</h1></div><p>Story</p></article>',
+                 '<article><div class="header"><h1>Head</h1></div><p>Story</p></article>',
+                 f'<div class="popup"><h1>Subscribe</h1></div>{story}',
+                 f'<div class="banner"><h1>Site</h1></div>{story}<div class="related"><article>Teaser</article></div>'
+                 '<div class="cookie-notice">We use</div><section class="comments"><p>c</p></section><form>go</form>'):
+        assert wrapper.extract(page, None) == "Head\nStory", page
+
+
+def test_formulas_and_object_texts_stay():
+    page = "<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds</p><object data=x><p>instead</p></object>"
+    assert wrapper.extract(page, None) == "So a=1 holds\ninstead"
