@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, pii, quality, wrapper
+from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, order_sketch, pii, quality, wrapper
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_neighbours": neighbours.query,
     "op9_wrapper": wrapper.query,
     "op10_minhash": minhash.query,
+    "op11_order_minhash": order_sketch.query,
 }
 
 ORACLES = {
