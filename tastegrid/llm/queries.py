@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, order_sketch, pii, quality, wrapper
+from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, order_sketch, pii, quality, repair, wrapper
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_wrapper": wrapper.query,
     "op10_minhash": minhash.query,
     "op11_order_minhash": order_sketch.query,
+    "op12_repair": repair.query,
 }
 
 ORACLES = {
