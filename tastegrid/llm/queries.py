@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, order_sketch, pii, quality, repair, wrapper
+from tastegrid.llm import bpe, chat, hmm, langid, minhash, mixing, neighbours, order_sketch, pii, quality, repair, variants, wrapper
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash": minhash.query,
     "op11_order_minhash": order_sketch.query,
     "op12_repair": repair.query,
+    "op13_variants": variants.query,
 }
 
 ORACLES = {
