@@ -26,4 +26,5 @@ ORACLES = {
     "op4_quality": quality.ORACLE,
     "op8_neighbours": neighbours.ORACLE,
     "op10_minhash": minhash.ORACLE,
+    "op13_variants": variants.ORACLE,
 }

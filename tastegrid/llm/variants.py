@@ -273,3 +273,42 @@ def group(vocabulary: DataFrame) -> DataFrame:
 def query(spark, folder: str) -> DataFrame:
     """Variants of all words of all documents."""
     return group(store(words(spark.read.parquet(f"{folder}/documents.parquet")), "vocabulary"))
+
+
+# The same in DuckDB SQL: words that are equal without one letter are near, or a word and the other without a letter.
+# 3988292384 and 4294967295 are the fixed values of the public crc32.
+ORACLE = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))),
+runs AS (
+  SELECT translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, coalesce(doc_id::VARCHAR, '') AS k, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents) GROUP BY ALL),
+bytes AS (
+  SELECT run, times, hex(encode(k || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+           lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h
+  FROM bytes, crc),
+vocabulary AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cuts AS (
+  SELECT word, n, 0 AS p, word AS rest FROM vocabulary
+  UNION ALL SELECT word, n, p, word[:p - 1] || word[p + 1:] FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM vocabulary)),
+links AS (
+  SELECT DISTINCT a.word AS a, a.n AS n, b.word AS b, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.word <> b.word
+  WHERE a.p = b.p OR a.p = 0 OR b.p = 0),
+near AS (
+  SELECT a AS word, count(*) AS n_near, max(m) AS top, first(b ORDER BY m DESC, b) AS best FROM links GROUP BY a),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN best END AS form,
+         CASE WHEN top >= 10 * v.n THEN top END AS form_n
+  FROM vocabulary v LEFT JOIN near USING (word)),
+chain AS (
+  SELECT word, word AS root FROM forms WHERE form IS NULL
+  UNION ALL SELECT f.word, c.root FROM chain c JOIN forms f ON f.form = c.word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
+"""
