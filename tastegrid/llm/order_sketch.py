@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from tastegrid.llm.common import column, store
 
 K, PICKED, COORDINATES = 8, 2, 128
-SPARE = 8          # a coordinate first looks at about SPARE * PICKED candidates
-BLOCK = 2_048      # k-mers whose order is computed at a time, for all coordinates
+BLOCK = 4_096  # k-mers whose order is computed at a time, for all coordinates
 SEED = 20_177
 
 
@@ -75,29 +74,18 @@ class Sketcher:
 
     def _least(self, items: np.ndarray) -> np.ndarray:
         """Positions of each coordinate's least items, in text order: coordinates x min(picked, items)."""
-        n, take = len(items), min(self.picked, len(items))
-        bound = np.uint32(min((1 << 32) - 1, (1 << 32) * SPARE * take // n))
-        low = (items >> np.uint64(32)).astype(np.uint32)
-        rows, places, values = [], [], []
-        for start in range(0, n, BLOCK):
-            order = low[None, start:start + BLOCK] * self.factor + self.shift
-            flat = np.flatnonzero(order <= bound)
-            row, at = np.divmod(flat, order.shape[1])
-            rows.append(row)
-            places.append(at + start)
-            values.append(order.ravel()[flat])
-        row, at, value = np.concatenate(rows), np.concatenate(places), np.concatenate(values)
-        found = np.bincount(row, minlength=self.coordinates)
-        for short in np.flatnonzero(found < take):  # fewer candidates than hoped for: all items count for this coordinate
-            order = low * self.factor[short] + self.shift[short]
-            keep = row != short
-            row = np.r_[row[keep], np.full(n, short)]
-            at, value = np.r_[at[keep], np.arange(n)], np.r_[value[keep], order]
-        sorting = np.lexsort((items[at], value, row))
-        row, at = row[sorting], at[sorting]
-        counts = np.bincount(row, minlength=self.coordinates)
-        starts = np.cumsum(counts) - counts
-        return np.sort(at[starts[:, None] + np.arange(take)], axis=1)
+        low, row, found = (items >> np.uint64(32)).astype(np.uint32), np.arange(self.coordinates), []
+        for start in range(0, len(items), BLOCK):
+            order = low[None, start:start + BLOCK] * self.factor
+            order += self.shift
+            for i in range(min(self.picked, order.shape[1])):
+                if i:
+                    order[row, at] = 0xFFFFFFFF
+                at = order.argmin(axis=1)
+                found.append(order[row, at].astype(np.uint64) << np.uint64(32) | (at + start).astype(np.uint64))
+        found = np.stack(found, axis=1)
+        found.sort(axis=1)  # by value, then by position
+        return np.sort((found[:, :self.picked] & np.uint64(0xFFFFFFFF)).astype(np.int64), axis=1)
 
     def sketch(self, text: str) -> np.ndarray:
         """One unsigned 16-bit value per coordinate; zero only for the empty text."""
