@@ -29,6 +29,11 @@ def u01(*cols, seed: int = 42) -> Column:
     return hex_number(hash_key(*cols, seed=seed)) / F.lit(_SPAN)
 
 
-def exponential(*cols, seed: int = 42) -> Column:
-    """Exp(1) draw; the argument of the logarithm is kept above zero."""
-    return -F.log((hex_number(hash_key(*cols, seed=seed)) + F.lit(0.5)) / F.lit(_SPAN))
+def unit_of(key: Column, start: int = 1) -> Column:
+    """Uniform double in [0, 1) from 13 digits of a hex key."""
+    return hex_number(key, start) / F.lit(_SPAN)
+
+
+def exponential_of(key: Column, start: int = 1) -> Column:
+    """Exp(1) draw from 13 digits of a hex key; the argument of the logarithm is kept above zero."""
+    return -F.log((hex_number(key, start) + F.lit(0.5)) / F.lit(_SPAN))

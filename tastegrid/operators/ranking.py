@@ -5,6 +5,7 @@
                      buckets along its order, each ranked alone and shifted by the rows before it.
 * ``nth_key``        key of the n-th row in a global order by narrowing histograms: the rows
                      themselves are never moved.
+* ``bucketed_sum``   running total in a group of any size, bucket by bucket.
 * ``dense_index``    0..n-1 numbering by a global order, from one range-partitioned sort.
 """
 
@@ -50,6 +51,24 @@ def bucketed_rank(df: DataFrame, group: Sequence[str], bucket: str, order: Seque
             .drop("_before"))
 
 
+def bucketed_sum(df: DataFrame, group: Sequence[str], bucket: str, order: str, value: Column, split: Column, large: bool,
+                 out: str) -> DataFrame:
+    """Running total of ``value`` by ``order`` in ``group``, where ``bucket`` rises along ``order``.
+
+    As with ``bucketed_rank``, only the rows that ``split`` marks are summed for the shift; ``large`` tells whether it marks any.
+    """
+    w = Window.partitionBy(*group, bucket).orderBy(order)
+    valued = df.withColumn("_value", value)
+    running = valued.withColumn(out, F.sum("_value").over(w)).drop("_value")
+    if not large:
+        return running
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    shift = (valued.filter(split).groupBy(*group, bucket).agg(F.sum("_value").alias("_total"))
+             .withColumn("_before", F.sum("_total").over(before)).select(*group, bucket, "_before"))
+    return (running.join(shift, [*group, bucket], "left")
+            .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before"))
+
+
 def rank_within(df: DataFrame, group: Sequence[str], key: str, order: Sequence[Column] | None = None,
                 rank: str = "rn", size: str = "n", task_rows: int | None = None) -> DataFrame:
     """Rank and group size by ``order`` (default: ``key``), for groups of any size.

@@ -20,7 +20,7 @@ from tastegrid.functions.vectors import as_doubles, dot
 from tastegrid.operators.filtering import drop_seen, item_popularity, user_history
 from tastegrid.operators.product import sparse_product
 from tastegrid.operators.ranking import dense_index, top_k
-from tastegrid.operators.sampling import enumerate_open, index_catalog, take_from_catalog
+from tastegrid.operators.sampling import index_catalog, steps, take_from_catalog
 from tastegrid.operators.similarity import count_matrix, item_similarity, user_neighbors, user_similarity
 from tastegrid.session import cut
 
@@ -259,8 +259,9 @@ def recommend_model(data: RecommenderData, users: DataFrame, k: int = 10, filter
     if scorer is None:
         raise ValueError("a model recommender needs a scorer")
     if candidates is None:
-        candidates = enumerate_open(users.select("user_id"), index_catalog(data.items),
-                                    data.seen.limit(0)).select("user_id", "item_id")
+        catalog = index_catalog(data.items)
+        walked = steps(users.select("user_id", F.lit(catalog.count()).alias("_len")), "_len", "pos")
+        candidates = walked.join(catalog, "pos").select("user_id", "item_id")
     known_users = users.select("user_id").join(data.interactions.select("user_id").distinct(), "user_id", "left_semi")
     pool = (candidates.select("user_id", "item_id").distinct().join(known_users, "user_id", "left_semi")
             .join(data.items.select("item_id").distinct(), "item_id", "left_semi"))

@@ -1,44 +1,65 @@
 """Drawing catalog items per user without pairing every user with every item.
 
-Uniform draws walk the catalog in a per-user random order (a keyed permutation of its positions), so
-the first m + #excluded steps are enough to find m items: the rows made are linear in the output and
-the exclusions. Weighted draws invert the running weight; a user the draws leave short is
-completed exactly by exponential keys over what is left of the catalog.
+Uniform draws walk the catalog in a per-user random order (a keyed permutation of its positions), so the first
+m + #excluded steps are enough to find m items: the rows made are linear in the output and the exclusions.
+
+Weighted draws without replacement take the m open items that arrive first, where an item of weight w arrives after an
+Exp(1)/w wait of its own for each user. The waits aren't made item by item: items fall into classes by the binary exponent of
+their weight, and inside a class the ordered waits at the class's top rate come one after another (each gap is an exponential
+over the items left), dealt to the items in the user's permutation. An item of less than the top weight accepts its wait with
+its share of the top and else waits on by its own rate, which is the same distribution. So the first steps of every class
+hold all early arrivals, whatever the skew of the weights, and how far a user walks changes nothing in what is drawn.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.functions.hashing import exponential, hash_key, hex_number, u01
+from tastegrid.functions.hashing import exponential_of, hash_key, hex_number, unit_of
 from tastegrid.operators.filtering import item_popularity, user_history
-from tastegrid.operators.ranking import TASK_ROWS, bucketed_rank, dense_index
+from tastegrid.operators.ranking import TASK_ROWS, bucketed_rank, bucketed_sum, dense_index
 from tastegrid.session import cut
 
 SEED = 42
 _CHUNK = 1024
+_PRIME = (1 << 31) - 1
+
+
+def grid(n: int) -> tuple[int, int]:
+    """Rows and columns of a nearly square grid with room for n cells and as few others as possible."""
+    q = math.isqrt(max(n, 1) - 1) + 1
+    columns = min(range(q, 2 * q + 1), key=lambda s: (-(-n // s) * s, s))
+    return -(-max(n, 1) // columns), columns
+
 
+def scattered(df: DataFrame, rows: Column, columns: Column, out: str) -> DataFrame:
+    """``df`` with the place of its ``step`` in the permutation of 0..rows*columns-1 that the keys ``_k1``, ``_k2`` choose.
 
-def cubing_prime(n: int) -> int:
-    """Smallest prime that is n or more and 2 modulo 3: cubing permutes the numbers below it."""
-    candidate = max(n, 2)
-    while candidate % 3 != 2 or any(candidate % d == 0 for d in range(2, int(candidate ** 0.5) + 1)):
-        candidate += 1
-    return candidate
+    A Feistel network of four rounds over (row, column): each coordinate in turn is shifted by a cubic of the other modulo a
+    prime. Products stay below 2 ** 63 for any grid of fewer than 2 ** 31 rows and columns. Each round is a projection of its
+    own, as its value is used several times in the next; a filter on the place would be written out in the rounds' full
+    nesting if it were pushed below them, which the explode of one element prevents.
+    """
+    p = F.lit(_PRIME)
+    df = df.withColumn("_y0", F.floor(F.col("step") / columns).cast("bigint")).withColumn("_y1", F.pmod(F.col("step"), columns))
+    for i in range(4):
+        key, start = ("_k1", "_k2")[i // 2], 1 + 16 * (i % 2)
+        shift, slope = F.pmod(hex_number(F.col(key), start, 8), p), F.pmod(hex_number(F.col(key), start + 8, 8), p)
+        moved, other = f"_y{i % 2}", F.col(f"_y{1 - i % 2}")
+        df = df.withColumn("_z", F.pmod(shift + slope * F.pmod(other, p), p))
+        cube = F.pmod(F.pmod(F.col("_z") * F.col("_z"), p) * F.col("_z"), p)
+        df = df.withColumn(moved, F.pmod(F.col(moved) + cube, columns if i % 2 else rows))
+    place = F.col("_y0") * columns + F.col("_y1")
+    return df.withColumn(out, F.explode(F.array(place))).drop("_y0", "_y1", "_z")
 
 
-def permuted(step: Column, key: Column, span: int) -> Column:
-    """Place of ``step`` in a permutation of 0..span-1 chosen by a hex key: two rounds of
-    x -> (a + b x) ^ 3 modulo ``span``, with a and b from the key's digits. Products stay exact up
-    to a span of 2 ** 31."""
-    p = F.lit(span)
-    x = step
-    for start in (1, 17):
-        a, b = F.pmod(hex_number(key, start, 8), p), F.lit(1) + F.pmod(hex_number(key, start + 8, 8), F.lit(max(span - 1, 1)))
-        y = F.pmod(a + F.pmod(x * b, p), p)
-        x = F.pmod(F.pmod(y * y, p) * y, p)
-    return x
+def turn_keys(*cols, seed: int = SEED) -> tuple[Column, Column]:
+    """Two hex keys of a permutation."""
+    return hash_key(*cols, seed=seed), hash_key(*cols, F.lit("turn"), seed=seed)
 
 
 def index_catalog(items: DataFrame) -> DataFrame:
@@ -70,101 +91,148 @@ def take_from_catalog(need: DataFrame, catalog: DataFrame, excluded: DataFrame,
     ``excluded`` holds distinct (user_id, item_id). Returns (user_id, item_id, step, rank).
     """
     n = catalog.count()
-    span = cubing_prime(n) if random else n
+    rows, columns = grid(n) if random else (1, n)
+    span = rows * columns
     barred = excluded.join(catalog, "item_id").select("user_id", "pos")
     barred_count = barred.groupBy("user_id").agg(F.count(F.lit(1)).alias("_e"))
-    key = hash_key("user_id", seed=seed)
     walk = (need.select("user_id", F.col("m").cast("bigint").alias("_m"))
             .join(barred_count, "user_id", "left")
             .withColumn("_len", F.when(F.col("_m") <= 0, F.lit(0)).otherwise(
                 F.least(F.lit(span), F.col("_m") + F.coalesce("_e", F.lit(0)) + (span - n))).cast("bigint")))
-    walked = steps(walk.withColumn("_k", key), "_len", "step")
-    pos = permuted(F.col("step"), F.col("_k"), span) if random else F.col("step")
-    open_steps = (walked.withColumn("pos", pos).filter(F.col("pos") < n)
-                  .join(barred, ["user_id", "pos"], "left_anti"))
+    if random:
+        first, second = turn_keys("user_id", seed=seed)
+        walk = walk.withColumn("_k1", first).withColumn("_k2", second)
+    walked = steps(walk, "_len", "step")
+    walked = (scattered(walked, F.lit(rows), F.lit(columns), "pos").drop("_k1", "_k2") if random
+              else walked.withColumn("pos", F.col("step")))
+    open_steps = walked.filter(F.col("pos") < n).join(barred, ["user_id", "pos"], "left_anti")
     taken = _first(open_steps, [F.col("step")], (F.col("step") / TASK_ROWS).cast("bigint"), F.col("_len"), "_m", "rank")
     return taken.join(catalog, "pos").select("user_id", "item_id", "step", "rank")
 
 
-def enumerate_open(users: DataFrame, catalog: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Every catalog item outside the exclusions of the given users, with the columns of ``users``."""
-    n = catalog.count()
-    walked = steps(users.withColumn("_len", F.lit(n)), "_len", "pos")
-    return (walked.join(catalog, "pos").drop("_len", "pos")
-            .join(excluded, ["user_id", "item_id"], "left_anti"))
+# ---------------------------------------------------------------- weighted draws
 
+_WEIGHTLESS = -(1 << 20)  # class of the items that come last
 
-def running_weights(weights: DataFrame) -> tuple[DataFrame, float, int]:
-    """Guide table for inverting the running weight: (g, item_id, lo, hi), the total and the slots.
 
-    The weight axis is cut into as many equal slots as there are items, so n items make at most
-    2n entries, and a uniform draw meets each slot equally often: a heavy item is spread out.
-    """
-    positive = weights.filter(F.col("w") > 0)
-    placed = cut(dense_index(positive.select("item_id", F.col("w").cast("double").alias("w")),
-                             [F.col("item_id")], "_i", weight="w"))
-    total, slots = placed.agg(F.max("running"), F.count(F.lit(1))).collect()[0]
-    slot = lambda x: F.floor(x / F.lit(total) * F.lit(float(slots))).cast("bigint")
-    spans = (placed.withColumn("lo", F.col("running") - F.col("w")).withColumnRenamed("running", "hi")
-             .withColumn("_g0", slot(F.col("lo")))
-             .withColumn("_n", slot(F.col("hi")) - F.col("_g0") + 1))
-    guide = steps(spans, "_n", "_s").select((F.col("_g0") + F.col("_s")).alias("g"), "item_id", "lo", "hi")
-    return guide, total, slots
-
-
-def weighted_from_catalog(need: DataFrame, catalog: DataFrame, weights: DataFrame, excluded: DataFrame,
+def weight_class(w: Column) -> Column:
+    """Binary exponent of a positive weight; a weight a rounding error below a power of two counts as that power."""
+    return F.when(w > 0, F.floor(F.log2(w) + F.lit(1e-9))).otherwise(F.lit(_WEIGHTLESS)).cast("bigint")
+
+
+def classed_catalog(items: DataFrame, weights: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """(item_id, w, place): items numbered by class and id; and the classes, of which doubles allow about 2,100."""
+    weighed = items.select("item_id").distinct().join(weights, "item_id", "left").select(
+        "item_id", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"))
+    placed = dense_index(weighed.withColumn("_c", weight_class(F.col("w"))), [F.col("_c"), F.col("item_id")], "place")
+    found = placed.groupBy("_c").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"), F.max("w").alias("top"))
+    classes = []
+    for r in sorted(found.collect()):
+        rows, columns = grid(r["n"])
+        classes.append({"c": r["_c"], "start": r["start"], "n": r["n"], "top": r["top"], "rows": rows, "columns": columns})
+    return placed.select("item_id", "w", "place"), classes
+
+
+def _levels(classes: list[dict]) -> list[tuple[float, list[int]]]:
+    """How far to walk: (items surely expected, steps per class) for times a factor of two apart; at the end everything."""
+    positive = [c for c in classes if c["c"] != _WEIGHTLESS]
+    spans = [c["rows"] * c["columns"] for c in positive]
+    out, everything = [], float(sum(c["n"] for c in positive))
+    if positive:
+        time = 0.5 / sum(c["n"] * c["top"] for c in positive)
+        while True:
+            reach = sum(c["n"] * -math.expm1(-2.0 ** c["c"] * time) for c in positive)
+            lengths = [min(s, math.ceil(1.1 * s * -math.expm1(-c["top"] * time)) + 3) for c, s in zip(positive, spans)]
+            if lengths == spans or reach > 0.99 * everything:
+                break
+            out.append((reach, lengths))
+            time *= 2
+    return [*out, (math.inf, spans)]
+
+
+def weighted_from_catalog(need: DataFrame, items: DataFrame, weights: DataFrame, excluded: DataFrame,
                           seed: int = SEED) -> DataFrame:
-    """Per (user_id, m) draw m items outside the exclusions, one after another, by weight.
+    """Per (user_id, m) the m first arrivals among the items outside the exclusions: (user_id, item_id, rank).
 
-    Step t draws the item whose slice of the running weight holds a uniform number; repeats and
-    excluded items are passed over. That is drawing without replacement in proportion to weight.
-    Users who would take much of the catalog, or whom 4m+16 steps leave short, are completed by
-    ordering the rest by Exp(1)/weight, which continues the same process exactly; items without
-    weight come last, in random order. Returns (user_id, item_id, rank).
+    That is drawing one after another in proportion to weight; items without weight come last, in random order. A round walks
+    each class as far as the user's m + #excluded make likely to be enough, and knows every arrival up to the first moment
+    that some class's walk ends at. Users with too few arrivals by then walk about four times as far in the next round.
     """
-    n = catalog.count()
-    guide, total, slots = running_weights(weights)
+    catalog, classes = classed_catalog(items, weights)
+    if not classes:
+        return excluded.select("user_id", "item_id", F.lit(0).cast("bigint").alias("rank")).limit(0)
+    levels = _levels(classes)
+    positive = sum(c["n"] for c in classes if c["c"] != _WEIGHTLESS)
     barred = excluded.join(catalog.select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_e"))
     users = (need.select("user_id", F.col("m").cast("bigint").alias("_m")).filter(F.col("_m") > 0)
-             .join(barred, "user_id", "left").fillna(0, ["_e"])
-             .withColumn("_len", F.when((F.col("_m") + F.col("_e")) * 2 > n, F.lit(0))
-                         .otherwise(F.col("_m") * 4 + 16).cast("bigint")))
-    x = u01("user_id", "t", seed=seed) * F.lit(total)
-    draws = (steps(users, "_len", "t").withColumn("x", x)
-             .withColumn("g", F.floor(F.col("x") / F.lit(total) * F.lit(float(slots))).cast("bigint")))
-    hits = (draws.join(guide, "g").filter((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-            .groupBy("user_id", "item_id").agg(F.min("t").alias("t"), F.max("_m").alias("_m"), F.max("_len").alias("_len"))
-            .join(excluded, ["user_id", "item_id"], "left_anti"))
-    drawn = cut(_first(hits, [F.col("t")], (F.col("t") / TASK_ROWS).cast("bigint"), F.col("_len"), "_m", "rank")
-                .select("user_id", "item_id", "rank"))
-    got = drawn.groupBy("user_id").agg(F.count(F.lit(1)).alias("_got"))
-    short = (users.join(got, "user_id", "left").fillna(0, ["_got"]).filter(F.col("_got") < F.col("_m"))
-             .select("user_id", "_m", "_got", (F.col("_m") - F.col("_got")).alias("_left")))
-    barred_now = excluded.select("user_id", "item_id").unionByName(drawn.select("user_id", "item_id"))
-    rest = (enumerate_open(short, catalog, barred_now).join(weights, "item_id", "left")
-            .withColumn("_key", hash_key("user_id", "item_id", seed=seed))
-            .withColumn("_wait", F.when(F.col("w") > 0, exponential("user_id", "item_id", seed=seed) / F.col("w"))))
-    tail = _first_by_wait(rest).select("user_id", "item_id", (F.col("_got") + F.col("_r")).alias("rank"))
-    return drawn.unionByName(tail)
-
-
-def _first_by_wait(rest: DataFrame) -> DataFrame:
-    """First ``_left`` rows per user by waiting time, weightless items last by hash.
-
-    Rows per user are at most the catalog; a user with more than TASK_ROWS open items is ranked
-    in bands of waiting time, each a power of two.
-    """
-    order = [F.col("_wait").asc_nulls_last(), F.col("_key")]
-    sizes = rest.groupBy("user_id").agg(F.count(F.lit(1)).alias("_open"))
-    large = sizes.filter(F.col("_open") > TASK_ROWS)
-    band = F.when(F.col("_open").isNull(), F.lit("")).when(
-        F.col("_wait").isNotNull(),
-        F.concat(F.lit("0"), F.lpad((F.floor(F.log2("_wait") * 64) + 100_000).cast("string"), 7, "0"))
-    ).otherwise(F.concat(F.lit("1"), F.substring("_key", 1, 3)))
-    marked = rest.join(F.broadcast(large), "user_id", "left").withColumn("_bucket", band)
-    ranked = bucketed_rank(marked, ["user_id"], "_bucket", order, F.col("_open").isNotNull(), "_r")
-    return ranked.filter(F.col("_r") <= F.col("_left"))
+             .join(barred, "user_id", "left").withColumn("_b", F.col("_m") + F.coalesce("_e", F.lit(0))))
+    reach = F.array(*[F.lit(r) for r, _ in levels])
+    users = cut(users.withColumn("_level", F.size(F.filter(reach, lambda r: r < F.col("_b") * 1.3 + 4)))
+                .select("user_id", "_m", "_b", "_level"))
+    drawn = []
+    while not users.isEmpty():
+        arrived = _arrivals(users, catalog, classes, [x for _, x in levels], positive, seed)
+        horizon = arrived.groupBy("user_id", "_c").agg(
+            F.max("_done").alias("_done"), F.max(F.struct("_tier", "_wait")).alias("_last")).groupBy("user_id").agg(
+            F.min(F.when(~F.col("_done"), F.col("_last"))).alias("_end"))
+        known = (arrived.filter(F.col("item_id").isNotNull()).join(horizon, "user_id")
+                 .filter(F.col("_end").isNull() | (F.struct("_tier", "_arrival") <= F.struct("_end._tier", "_end._wait")))
+                 .join(excluded, ["user_id", "item_id"], "left_anti"))
+        best = cut(_earliest(known).select("user_id", "item_id", "rank"))
+        got = best.groupBy("user_id").agg(F.count(F.lit(1)).alias("_got"))
+        final = len(levels) - 1
+        users = users.join(got, "user_id", "left")
+        short = (F.coalesce("_got", F.lit(0)) < F.col("_m")) & (F.col("_level") < final)
+        drawn.append(best.join(users.filter(short).select("user_id"), "user_id", "left_anti"))
+        users = cut(users.filter(short).select("user_id", "_m", "_b", F.least(F.col("_level") + 2, F.lit(final)).alias("_level")))
+    return reduce(DataFrame.unionByName, drawn, excluded.select("user_id", "item_id", F.lit(0).cast("bigint").alias("rank")).limit(0))
+
+
+def _arrivals(users: DataFrame, catalog: DataFrame, classes: list[dict], lengths: list[list[int]], positive: int,
+              seed: int) -> DataFrame:
+    """One row per user, class and step: the wait at the top rate, and the item there (null beyond the class) with its arrival."""
+    entries, i = [], 0
+    for c in classes:
+        span = c["rows"] * c["columns"]
+        if c["c"] == _WEIGHTLESS:  # in the order of the permutation, as many as the others can leave open
+            wanted = F.when(F.col("_level") == len(lengths) - 1, F.least(F.lit(span), F.greatest(
+                F.col("_b") - positive, F.lit(0)) + (span - c["n"]) * (F.col("_b") > positive).cast("int"))).otherwise(0)
+        else:
+            wanted, i = F.element_at(F.array(*[F.lit(x[i]) for x in lengths]), F.col("_level") + 1), i + 1
+        entries.append(F.struct(*[F.lit(c[k]).cast("bigint").alias(f"_{k}") for k in ("c", "start", "n", "rows", "columns")],
+                                F.lit(c["top"]).alias("_top"), wanted.cast("bigint").alias("_len")))
+    large = not users.filter(F.col("_b") > TASK_ROWS).isEmpty()
+    walk = users.withColumn("_class", F.explode(F.array(*entries))).select("user_id", "_m", "_b", "_class.*")
+    keys = turn_keys("user_id", "_c", seed=seed)
+    walk = steps(walk.withColumn("_k1", keys[0]).withColumn("_k2", keys[1]), "_len", "step")
+    walk = scattered(walk, F.col("_rows"), F.col("_columns"), "_at").drop("_k1", "_k2")
+    walk = walk.withColumn("_in", F.col("_at") < F.col("_n")).withColumn("_tier", (F.col("_c") == _WEIGHTLESS).cast("int"))
+    group = ["user_id", "_c"]
+    bucket, split = (F.col("step") / TASK_ROWS).cast("bigint"), F.lit(large) & (F.col("_b") > TASK_ROWS)
+    walk = bucketed_sum(walk.withColumn("_bucket", bucket), group, "_bucket", "step", F.col("_in").cast("bigint"), split, large, "_j")
+    left = (F.col("_n") - F.col("_j") + 1) * F.col("_top")  # _j counts this item too
+    gap = F.when(F.col("_tier") == 1, F.lit(1.0)).otherwise(exponential_of(hash_key("user_id", "_c", "step", seed=seed)) / left)
+    walk = bucketed_sum(walk, group, "_bucket", "step", F.when(F.col("_in"), gap).otherwise(0.0), split, large, "_wait")
+    here = catalog.select(F.col("place").alias("_place"), "item_id", "w")
+    place = F.when(F.col("_in"), F.col("_start") + F.col("_at")).otherwise(-1 - F.col("step"))  # no item, but no common key
+    walk = walk.withColumn("_place", place).join(here, "_place", "left")
+    pair = hash_key("user_id", "item_id", seed=seed)
+    on = F.when((F.col("_tier") == 1) | (unit_of(pair) < F.col("w") / F.col("_top")), F.lit(0.0)).otherwise(
+        exponential_of(pair, 14) / F.col("w"))
+    return cut(walk.select("user_id", "_m", "_b", "_c", "_tier", "_wait", "item_id", (F.col("_wait") + on).alias("_arrival"),
+                           (F.col("_j") == F.col("_n")).alias("_done")))
+
+
+def _earliest(known: DataFrame) -> DataFrame:
+    """First ``_m`` rows per user by arrival; users who may have over TASK_ROWS are ranked in bands of time."""
+    split = F.col("_b") > TASK_ROWS
+    band = F.when(~split, F.lit("")).otherwise(F.concat(F.col("_tier").cast("string"), F.when(
+        F.col("_tier") == 1, F.lpad((F.col("_arrival") / TASK_ROWS).cast("bigint").cast("string"), 12, "0")).otherwise(
+        F.lpad((F.floor(F.log2("_arrival") * 64) + 100_000).cast("string"), 7, "0"))))
+    order = [F.col("_tier"), F.col("_arrival"), F.col("item_id")]
+    ranked = bucketed_rank(known.withColumn("_band", band), ["user_id"], "_band", order, split, "rank")
+    return ranked.filter(F.col("rank") <= F.col("_m"))
 
 
 def item_weights(interactions: DataFrame, strategy: str) -> DataFrame:

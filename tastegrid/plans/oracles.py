@@ -147,27 +147,71 @@ def _cosines(source: str, a: str, via: str) -> dict[str, str]:
     }
 
 
+def _grid(n: str) -> str:
+    """Columns of the nearly square grid with room for n cells and as few others as possible."""
+    q = f"ceil(sqrt({n}))::BIGINT"
+    return f"list_min(list_transform(range({q}, 2 * {q} + 1), lambda s: (({n} + s - 1) // s) * s * 1000000 + s)) % 1000000"
+
+
+def _scattered(source: str, keys: str) -> dict[str, str]:
+    """Steps of ``source`` (user_id, rows, columns, step, k1, k2) with their place: four rounds of a Feistel network."""
+    out, before = {}, f"(SELECT *, step // columns AS a, step % columns AS b FROM ({source}))"
+    for i in range(4):
+        digits = lambda start: f"('0x' || substr(k{1 + i // 2}, {start}, 8))::BIGINT % 2147483647"
+        y = f"({digits(1 + 16 * (i % 2))} + {digits(9 + 16 * (i % 2))} * {'a' if i % 2 else 'b'}) % 2147483647"
+        cube = "((y * y) % 2147483647 * y) % 2147483647"
+        moved = f"a, (b + {cube}) % columns AS b" if i % 2 else f"(a + {cube}) % rows AS a, b"
+        out[f"{keys}{i}"] = f"SELECT * EXCLUDE (a, b, y), {moved} FROM (SELECT *, {y} AS y FROM {before})"
+        before = f"{keys}{i}"
+    return out
+
+
+def _turn(key: str) -> str:
+    """The two keys of a permutation."""
+    longer = f"({key} || '|turn')"
+    return f"{_KEY.format(key)} AS k1, {_KEY.format(longer)} AS k2"
+
+
 def _walk(need: str, excluded: str) -> dict[str, str]:
     """Uniform draws: per (user_id, m) the first m catalog items, in the user's permutation, that aren't excluded."""
-    digits = lambda start: f"('0x' || substr({_KEY.format('user_id')}, {start}, 8))::BIGINT"
-    turn = lambda x, a, b: f"(({digits(a)}) % p + ({x}) * (1 + ({digits(b)}) % (p - 1)) % p) % p"
-    cube = lambda y: f"(({y}) * ({y}) % p) * ({y}) % p"
     return {
         "cat": "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM (SELECT DISTINCT item_id FROM items)",
-        "span": """SELECT min(c) AS p FROM (SELECT n + i AS c FROM (SELECT count(*) AS n FROM cat), range(0, 2000) r(i))
-            WHERE c >= 2 AND c % 3 = 2 AND len(list_filter(range(2, floor(sqrt(c))::BIGINT + 1), lambda d: c % d = 0)) = 0""",
         "need": need, "excluded": excluded,
-        "w1": f"SELECT user_id, m, step, p, {turn('step', 1, 9)} AS y FROM need, span, range(0, 100000) r(step) WHERE step < p",
-        "w2": f"SELECT user_id, m, step, p, {turn(cube('y'), 17, 25)} AS z FROM w1",
-        "drawn": f"""SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY step) AS rank
-            FROM (SELECT user_id, m, step, {cube('z')} AS pos FROM w2) JOIN cat USING (pos)
+        "grids": f"SELECT (n + columns - 1) // columns AS rows, columns FROM (SELECT n, {_grid('n')} AS columns FROM (SELECT count(*) AS n FROM cat))",
+        **_scattered(f"SELECT user_id, m, rows, columns, unnest(range(0, rows * columns)) AS step, {_turn('user_id')} FROM need, grids", "w"),
+        "drawn": """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY step) AS rank
+            FROM (SELECT user_id, m, step, a * columns + b AS pos FROM w3) JOIN cat USING (pos)
             ANTI JOIN excluded USING (user_id, item_id) QUALIFY rank <= m""",
     }
 
 
+def _arrive(need: str, excluded: str, weights: str) -> dict[str, str]:
+    """Weighted draws: per (user_id, m) the first m arrivals; waits come class by class at the top rate, in the user's permutation."""
+    wait = lambda key, start: f"-ln((('0x' || substr({key}, {start}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0)"
+    pair, at = _KEY.format("(user_id || '|' || item_id)"), _KEY.format("(user_id || '|' || c || '|' || step)")
+    return {
+        "cat": "SELECT DISTINCT item_id FROM items", "excluded": excluded, "need": need, "weights": weights,
+        "weighed": """SELECT *, row_number() OVER (PARTITION BY c ORDER BY item_id) - 1 AS spot FROM (SELECT item_id, coalesce(w, 0) AS w,
+            CASE WHEN w > 0 THEN floor(log2(w) + 1e-9)::BIGINT ELSE -1048576 END AS c FROM cat LEFT JOIN weights USING (item_id))""",
+        "grids": f"""SELECT *, (n + columns - 1) // columns AS rows FROM (SELECT c, n, top, {_grid('n')} AS columns
+            FROM (SELECT c, count(*) AS n, max(w) AS top FROM weighed GROUP BY 1))""",
+        **_scattered(f"""SELECT user_id, m, c, n, top, rows, columns, unnest(range(0, rows * columns)) AS step,
+            {_turn("(user_id || '|' || c)")} FROM need, grids WHERE m > 0""", "w"),
+        "ordered": """SELECT *, row_number() OVER (PARTITION BY user_id, c ORDER BY step) AS j
+            FROM (SELECT *, a * columns + b AS spot FROM w3) WHERE spot < n""",
+        "waits": f"""SELECT *, sum(gap) OVER (PARTITION BY user_id, c ORDER BY step ROWS UNBOUNDED PRECEDING) AS wait FROM (SELECT *,
+            CASE WHEN c = -1048576 THEN 1.0 ELSE {wait(at, 1)} / ((n - j + 1) * top) END::DOUBLE AS gap FROM ordered)""",
+        "arrivals": f"""SELECT user_id, m, item_id, c = -1048576 AS late, wait + CASE WHEN c = -1048576 OR
+            ('0x' || substr({pair}, 1, 13))::BIGINT / 4503599627370496.0 < w / top THEN 0 ELSE {wait(pair, 14)} / w END AS arrival
+            FROM waits JOIN weighed USING (c, spot)""",
+        "drawn": """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY late, arrival, item_id) AS rank
+            FROM arrivals ANTI JOIN excluded USING (user_id, item_id) QUALIFY rank <= m""",
+    }
+
+
 def _reordered(tables: dict[str, str]) -> dict[str, str]:
     """The exclusions before the needs, which count them."""
-    first = ("cat", "span", "excluded", "need")
+    first = ("cat", "excluded", "need")
     return {n: tables[n] for n in (*first, *(n for n in tables if n not in first))}
 
 
@@ -175,6 +219,11 @@ _POSITIVES = "SELECT DISTINCT user_id, item_id FROM {0} WHERE item_id IN (SELECT
 _NEGATIVES = "SELECT user_id, least((SELECT count(*) FROM cat) - count(*), floor(count(*) * {0}))::BIGINT AS m FROM excluded GROUP BY 1"
 _LATE_CLICKS = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY timestamp, {_KEY.format('row_id')})
     > floor(count(*) OVER () * 0.8::DOUBLE) AS late FROM clicks) WHERE late"""
+_LATE_PAIRS = "SELECT DISTINCT user_id, item_id FROM late"
+_CANDIDATES = "SELECT user_id, item_id, 1::BIGINT AS positive FROM positives UNION ALL SELECT user_id, item_id, 0 FROM drawn"
+_CANDIDATE_NEED = """SELECT user_id, least(30, (SELECT count(*) FROM cat) - count(c.item_id))::BIGINT AS m
+    FROM positives LEFT JOIN cat c USING (item_id) GROUP BY 1"""
+_WEIGHTS = {"popularity": "count(*)::DOUBLE", "popularity_inverse": "1.0::DOUBLE / count(*)"}
 _GAIN = "sum(1 / log2(rank + 1)) FILTER (rank <= {0})"
 _IDEAL = "list_sum(list_transform(range(1, {0} + 1), lambda i: 1 / log2(i + 1)))"
 _AP = "coalesce(sum(place / rank), 0) / any_value(n_rel)"
@@ -336,10 +385,14 @@ ORACLES: dict[str, str] = {
         FROM (SELECT user_id, item_id, 1::BIGINT AS label FROM purchases WHERE item_id IN (SELECT item_id FROM items) UNION ALL
         SELECT user_id, item_id, 0 FROM drawn)""", "purchases", "items",
         **_reordered(_walk(_NEGATIVES.format("0.5"), _POSITIVES.format("purchases")))),
-    "eval_candidates": _sql("SELECT user_id, item_id, 1::BIGINT AS positive FROM positives UNION ALL SELECT user_id, item_id, 0 FROM drawn",
-        "clicks", "items", late=_LATE_CLICKS, positives="SELECT DISTINCT user_id, item_id FROM late",
-        **_reordered(_walk("""SELECT user_id, least(30, (SELECT count(*) FROM cat) - count(c.item_id))::BIGINT AS m
-            FROM positives LEFT JOIN cat c USING (item_id) GROUP BY 1""", "SELECT * FROM positives"))),
+    **{f"negatives_{name}": _sql("SELECT user_id, item_id, rank FROM drawn", "purchases", "items", **_arrive(
+        _NEGATIVES.format("1.0"), _POSITIVES.format("purchases"), f"SELECT item_id, {w} AS w FROM purchases GROUP BY 1"))
+       for name, w in _WEIGHTS.items()},
+    "eval_candidates": _sql(_CANDIDATES, "clicks", "items", late=_LATE_CLICKS, positives=_LATE_PAIRS,
+                            **_reordered(_walk(_CANDIDATE_NEED, "SELECT * FROM positives"))),
+    **{f"eval_candidates_{name}": _sql(_CANDIDATES, "clicks", "items", late=_LATE_CLICKS, positives=_LATE_PAIRS, **_arrive(
+        _CANDIDATE_NEED, "SELECT * FROM positives", f"SELECT item_id, coalesce(any_value(k.w), 1.0) AS w FROM items LEFT JOIN "
+        f"(SELECT item_id, {w} AS w FROM late GROUP BY 1) k USING (item_id) GROUP BY item_id")) for name, w in _WEIGHTS.items()},
     "rec_random": _sql(f"SELECT user_id, item_id, round({_PAIR}, 6) AS score, rank FROM drawn", "test", "history", "items",
         **_reordered(_walk("SELECT DISTINCT user_id, 10 AS m FROM test", "SELECT DISTINCT user_id, item_id FROM history"))),
     "item_similarity": _sql("SELECT a, b, round(sim, 6) AS sim FROM sim", "purchases", **_cosines("purchases", "item_id", "user_id")),

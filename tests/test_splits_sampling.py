@@ -105,3 +105,65 @@ def test_uniform_draws_cover_items_and_pairs_evenly(spark):
     assert all(abs(c - 3_000 * 3 / 11) < 130 for c in single.values())
     assert len(pairs) == 55 and all(abs(c - 3_000 * 6 / 110) < 75 for c in pairs.values())
     assert len({frozenset(s) for s in drawn.values()}) > 120
+
+
+def drawn(need, items, weights, barred):
+    got = sampling.weighted_from_catalog(need, items, weights, barred).collect()
+    return sorted((r.user_id, r["rank"], r.item_id) for r in got)
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    weights = {f"i{n:02}": w for n, w in enumerate([1e6, 3.0, 2.9, 1.0, 1.0, 0.5, 1e-3, 1e-9, 0.0, None])}
+    items = spark.createDataFrame([(i,) for i in [*weights, "i98", "i99"]], "item_id string")
+    return items, spark.createDataFrame([*weights.items(), ("absent", 5.0)], "item_id string, w double")
+
+
+def test_weighted_draws_of_a_skewed_catalog(spark, skewed):
+    """All 12 items for 400 users: the heaviest first, weightless ones last, the order of the others in proportion to weight."""
+    need = spark.createDataFrame([(f"u{n}", 12) for n in range(400)], "user_id string, m int")
+    none = spark.createDataFrame([], "user_id string, item_id string")
+    lists = {}
+    for u, rank, i in drawn(need, *skewed, none):
+        lists.setdefault(u, []).append((rank, i))
+    assert all([r for r, _ in x] == list(range(1, 13)) and len({i for _, i in x}) == 12 for x in lists.values())
+    order = [[i for _, i in x] for x in lists.values()]
+    assert all(x[0] == "i00" and x[7] == "i07" and set(x[8:]) == {"i08", "i09", "i98", "i99"} for x in order)
+    second = Counter(x[1] for x in order)
+    assert all(abs(second[i] - 400 * w / 8.401) < 45 for i, w in (("i01", 3.0), ("i02", 2.9), ("i03", 1.0), ("i04", 1.0), ("i05", 0.5)))
+    assert all(abs(c - 100) < 40 for c in Counter(x[8] for x in order).values())
+
+
+def test_weighted_draws_do_not_depend_on_the_walk(spark, monkeypatch):
+    """Short first walks, many rounds, groups ranked in parts: the same rows."""
+    weights = [(f"i{n:02}", 2.0 ** (n % 4) * (1 + n / 100) if n % 9 else 0.0) for n in range(60)]
+    skewed = (spark.createDataFrame([(i,) for i, _ in weights], "item_id string"),
+              spark.createDataFrame(weights, "item_id string, w double"))
+    need = spark.createDataFrame([(f"u{n}", 1 + n % 42) for n in range(40)], "user_id string, m int")
+    barred = spark.createDataFrame([(f"u{n}", f"i{k:02}") for n in range(40) for k in range(60) if (n * 7 + k * 3) % 10 < 3],
+                                   "user_id string, item_id string")
+    want = drawn(need, *skewed, barred)
+    held = {(r.user_id, r.item_id) for r in barred.collect()}
+    assert Counter(u for u, _, _ in want) == {f"u{n}": 1 + n % 42 for n in range(40)}
+    assert not {(u, i) for u, _, i in want} & held
+    levels = sampling._levels
+    monkeypatch.setattr(sampling, "_levels", lambda c: [(1e9, [n] * len(levels(c)[0][1])) for n in (1, 1, 2, 5)] + levels(c)[-1:])
+    assert drawn(need, *skewed, barred) == want
+    monkeypatch.setattr(sampling, "_levels", lambda c: levels(c)[-1:])
+    monkeypatch.setattr(sampling, "TASK_ROWS", 2)
+    assert drawn(need, *skewed, barred) == want
+
+
+def test_grid_is_tight_and_scatters_all_places(spark):
+    for n in (1, 2, 3, 11, 97, 2_000, 2 ** 33 + 5):
+        rows_, columns = sampling.grid(n)
+        assert rows_ * columns >= n and rows_ * columns - n <= max(1, n // 50)
+    df = spark.range(7).select(F.col("id").cast("string").alias("user_id"))
+    first, second = sampling.turn_keys("user_id")
+    walked = sampling.steps(df.withColumns({"_k1": first, "_k2": second, "_len": F.lit(132)}), "_len", "step")
+    got = sampling.scattered(walked, F.lit(11), F.lit(12), "pos").groupBy("user_id").agg(
+        F.count_distinct("pos").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).collect()
+    assert {(r.n, r.low, r.high) for r in got} == {(132, 0, 131)}
+    wide = sampling.grid(2 ** 40)
+    big = sampling.scattered(walked, F.lit(wide[0]), F.lit(wide[1]), "pos").select("pos").collect()
+    assert len(big) == 924 and all(0 <= r.pos < wide[0] * wide[1] for r in big) and max(r.pos for r in big) > 2 ** 39
