@@ -240,7 +240,8 @@ def repair(rows: DataFrame) -> DataFrame:
     print_ = F.sha2(F.concat_ws("\0", F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("null")),
                                 F.length("role").cast("string"), F.col("role"), F.col("text")), 256)
     solid = ~F.col("dropped") & (F.length(F.translate("text", SPACE_CHARS, "")) > 0)
-    marked = rows.withColumn("print", F.when(solid, print_))
+    alone = F.concat(F.lit("-"), F.xxhash64("conv", "turn", "role").cast("string"))  # equal to no print, and no common key
+    marked = rows.withColumn("print", F.when(solid, print_).otherwise(alone))
     again = (marked.filter(solid).groupBy("print").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("times"))
              .filter("times > 1").select("print", F.col("first.has").alias("first_has"), F.col("first.turn").alias("first_turn")))
     ordered = [F.col("conv"), F.col("turn"), F.col("role")]  # ascending: nulls first
