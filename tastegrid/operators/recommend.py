@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from tastegrid.functions.hashing import hash_key, u01
 from tastegrid.functions.vectors import as_doubles, dot
 from tastegrid.operators.filtering import drop_seen, item_popularity, user_history
+from tastegrid.operators.nearest import nearest
 from tastegrid.operators.product import sparse_product
 from tastegrid.operators.ranking import dense_index, top_k
 from tastegrid.operators.sampling import index_catalog, steps, take_from_catalog
-from tastegrid.operators.similarity import count_matrix, item_similarity, user_neighbors, user_similarity
+from tastegrid.operators.similarity import count_matrix, item_similarity, user_neighbors
 from tastegrid.session import cut
 
 SEED = 42
@@ -181,10 +182,10 @@ def _item_knn_sums(history: DataFrame, similarity: DataFrame, pairs: DataFrame |
 def recommend_item_knn(data: RecommenderData, users: DataFrame, k: int = 10, filter_seen: bool = True,
                        candidates: DataFrame | None = None, similarity: DataFrame | None = None) -> DataFrame:
     """Mean similarity to the user's history; items similar to none score 0 and fill up the list."""
-    sim = similarity if similarity is not None else cut(item_similarity(data.model_rows))
     seen = data.seen
     active = users.select("user_id").join(seen.select("user_id").distinct(), "user_id", "left_semi")
     history = seen.join(active, "user_id", "left_semi")
+    sim = similarity if similarity is not None else cut(item_similarity(data.model_rows, history, candidates))
     sums = _item_knn_sums(history, sim, None if candidates is None
                           else candidates.select("user_id", "item_id").distinct().join(active, "user_id", "left_semi"))
     lengths = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("_h"))
@@ -195,9 +196,9 @@ def recommend_item_knn(data: RecommenderData, users: DataFrame, k: int = 10, fil
 
 def score_item_knn(data: RecommenderData, pairs: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
     """Mean similarity over the history items of the catalog; 0 for unknown users or items."""
-    sim = similarity if similarity is not None else cut(item_similarity(data.model_rows))
-    history = user_history(data.model_rows)
     wanted = pairs.select("user_id", "item_id").distinct()
+    history = user_history(data.model_rows).join(wanted.select("user_id").distinct(), "user_id", "left_semi")
+    sim = similarity if similarity is not None else cut(item_similarity(data.model_rows, history, wanted))
     sums = _item_knn_sums(history, sim, wanted)
     lengths = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("_h"))
     scored = sums.join(lengths, "user_id").select("user_id", "item_id", (F.col("v") / F.col("_h")).alias("score"))
@@ -208,8 +209,7 @@ def recommend_user_knn(data: RecommenderData, users: DataFrame, k: int = 10, fil
                        candidates: DataFrame | None = None, k_neighbors: int = 50,
                        similarity: DataFrame | None = None) -> DataFrame:
     """Counts of the nearest users weighted by similarity; a user without neighbours gets none."""
-    sim = similarity if similarity is not None else user_similarity(data.model_rows)
-    near = cut(user_neighbors(sim, k_neighbors).join(users.select("user_id"), "user_id", "left_semi"))
+    near = cut(_neighbors(data, users, k_neighbors, similarity))
     weights = near.groupBy("user_id").agg(F.sum("sim").alias("_w"))
     active = weights.select("user_id")
     if candidates is not None:
@@ -225,6 +225,14 @@ def recommend_user_knn(data: RecommenderData, users: DataFrame, k: int = 10, fil
     return _with_unknown(data, users, known, k, filter_seen, candidates)
 
 
+def _neighbors(data: RecommenderData, users: DataFrame, k: int, similarity: DataFrame | None) -> DataFrame:
+    """(user_id, neighbor, sim, rank) of the asked users, from a given similarity or searched for them alone."""
+    asked = users.select("user_id").distinct()
+    if similarity is not None:
+        return user_neighbors(similarity, k).join(asked, "user_id", "left_semi")
+    return nearest(count_matrix(data.model_rows), "user_id", "item_id", asked, k)
+
+
 def _user_knn_pairs(near: DataFrame, matrix: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each pair meets at most k_neighbors neighbours."""
     counts = matrix.select(F.col("user_id").alias("neighbor"), "item_id", "c")
@@ -236,8 +244,7 @@ def _user_knn_pairs(near: DataFrame, matrix: DataFrame, pairs: DataFrame) -> Dat
 
 def score_user_knn(data: RecommenderData, pairs: DataFrame, k_neighbors: int = 50,
                    similarity: DataFrame | None = None) -> DataFrame:
-    sim = similarity if similarity is not None else user_similarity(data.model_rows)
-    near = user_neighbors(sim, k_neighbors)
+    near = _neighbors(data, pairs, k_neighbors, similarity)
     wanted = pairs.select("user_id", "item_id").distinct()
     scored = _user_knn_pairs(near, count_matrix(data.model_rows), wanted)
     return pairs.join(scored, ["user_id", "item_id"], "left").fillna(0.0, ["score"])

@@ -14,9 +14,11 @@ def count_matrix(interactions: DataFrame) -> DataFrame:
     return interactions.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _cosine(matrix: DataFrame, entity: str, via: str) -> DataFrame:
-    left = matrix.select(F.col(entity).alias("i"), F.col(via).alias("k"), F.col("c").alias("x"))
-    right = matrix.select(F.col(entity).alias("j"), F.col(via).alias("k"), F.col("c").alias("y"))
+def _cosine(matrix: DataFrame, entity: str, via: str, rows: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim) of all pairs, or of those with ``a`` among the entities of ``rows`` and ``b`` among those of ``columns``."""
+    only = lambda asked: matrix if asked is None else matrix.join(asked.select(entity).distinct(), entity, "left_semi")
+    left = only(rows).select(F.col(entity).alias("i"), F.col(via).alias("k"), F.col("c").alias("x"))
+    right = only(columns).select(F.col(entity).alias("j"), F.col(via).alias("k"), F.col("c").alias("y"))
     dots = sparse_product(left, right)
     square = matrix.groupBy(entity).agg(F.sum(F.col("c") * F.col("c")).alias("sq"))
     return (dots.join(square.select(F.col(entity).alias("i"), F.col("sq").alias("si")), "i")
@@ -25,8 +27,9 @@ def _cosine(matrix: DataFrame, entity: str, via: str) -> DataFrame:
                     (F.col("v") / (F.sqrt("si") * F.sqrt("sj"))).alias("sim")))
 
 
-def item_similarity(interactions: DataFrame) -> DataFrame:
-    return _cosine(count_matrix(interactions), "item_id", "user_id")
+def item_similarity(interactions: DataFrame, rows: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:
+    """All pairs, or only from items of ``rows`` (such as the asked users' histories) to items of ``columns`` (the candidates)."""
+    return _cosine(count_matrix(interactions), "item_id", "user_id", rows, columns)
 
 
 def user_similarity(interactions: DataFrame) -> DataFrame:

@@ -42,11 +42,6 @@ class Views:
             F.col("p_brand").alias("tag"), F.col("p_type").alias("category"), F.col("p_size").alias("size"),
             F.col("p_retailprice").alias("price"))
 
-    @property
-    def click_items(self) -> DataFrame:
-        """The part of the catalog the click stream refers to."""
-        return self.clicks.select("item_id").distinct()
-
     @property
     def embeddings(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").cast("string").alias("item_id"), "embedding", "label")

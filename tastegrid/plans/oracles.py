@@ -54,6 +54,20 @@ _TABLES = {
         count(*) AS c FROM purchases GROUP BY ALL) GROUP BY item_id""",
     "exposed": """SELECT coalesce(provider, 'unknown') AS provider, count(*) AS c FROM recs LEFT JOIN providers USING (item_id)
         GROUP BY 1""",
+    # the same halves of the clicks; the model's rows are those of catalog items
+    "click_halves": f"""SELECT *, row_number() OVER (ORDER BY timestamp, {_KEY.format('row_id')})
+        <= floor(count(*) OVER () * 0.8::DOUBLE) AS early FROM clicks""",
+    "click_history": "SELECT * FROM click_halves WHERE early",
+    "click_test": "SELECT * FROM click_halves WHERE NOT early",
+    "click_seen": "SELECT DISTINCT user_id, item_id FROM click_history",
+    "click_model": "SELECT * FROM click_history SEMI JOIN items USING (item_id)",
+    "click_users": "SELECT DISTINCT user_id FROM click_test UNION ALL SELECT 'no-user'",
+    "click_pairs": """SELECT DISTINCT user_id, item_id FROM click_test UNION ALL SELECT min(user_id), 'no-item' FROM click_test
+        UNION ALL SELECT 'no-user', min(item_id) FROM click_test""",
+    "click_pop": """SELECT item_id, coalesce(c, 0) AS pop, round(coalesce(c, 0) / greatest(max(coalesce(c, 0)) OVER (), 1), 9) AS score
+        FROM items LEFT JOIN (SELECT item_id, count(*) AS c FROM clicks GROUP BY 1) USING (item_id)""",
+    "taste": """SELECT user_id, list(x ORDER BY i) AS t FROM (SELECT user_id, i, avg(v[i]) AS x FROM click_seen JOIN vectors
+        USING (item_id), range(1, 65) r(i) GROUP BY ALL) GROUP BY 1""",
     "matrix": "SELECT user_id, item_id, count(*) AS c FROM {source} GROUP BY ALL",
     "labelled": f"SELECT doc_id, quality AS label, {_U01.format('doc_id::VARCHAR')} AS score FROM labels",
 }
@@ -61,6 +75,9 @@ _NEEDS = {
     "active_items": ("purchases",), "active": ("active_items",), "halves": ("purchases",), "history": ("halves",),
     "test": ("halves",), "scored": ("items", "purchases"), "open": ("test", "history", "scored"), "recs": ("open",),
     "relevant": ("test",), "hits": ("relevant", "recs"), "ranks": ("history",), "novel": ("recs", "ranks", "history"),
+    "click_halves": ("clicks",), "click_history": ("click_halves",), "click_test": ("click_halves",), "click_seen": ("click_history",),
+    "click_model": ("click_history", "items"), "click_users": ("click_test",), "click_pairs": ("click_test",),
+    "click_pop": ("items", "clicks"), "taste": ("click_seen", "vectors"),
     "providers": ("purchases",), "exposed": ("recs", "providers"),
 }
 
@@ -260,6 +277,104 @@ def _labels_of(table: str, value: str, *names: str) -> str:
         FROM (SELECT DISTINCT {value} AS value FROM {table})""", *names)
 
 
+# Scores of the neighbourhood models on the clicks: (user_id, item_id, score) where it isn't zero.
+_ITEM_KNN = {
+    **_cosines("click_model", "item_id", "user_id"),
+    "knn": """SELECT h.user_id, sim.b AS item_id, sum(sim) / any_value(n) AS score FROM (SELECT *, count(*) OVER (PARTITION BY user_id)
+        AS n FROM click_seen) h JOIN sim ON sim.a = h.item_id GROUP BY ALL""",
+    "active": "SELECT DISTINCT user_id FROM click_seen",
+}
+_USER_KNN = {
+    **_cosines("click_model", "user_id", "item_id"),
+    "near": """SELECT a AS user_id, b AS neighbor, sim FROM sim WHERE a <> b AND sim > 1e-9
+        QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) <= 20""",
+    "knn": """SELECT n.user_id, m.k AS item_id, sum(n.sim * m.c) / any_value(w) AS score FROM (SELECT *, sum(sim) OVER (PARTITION BY
+        user_id) AS w FROM near) n JOIN m ON m.a = n.neighbor GROUP BY ALL""",
+    "active": "SELECT DISTINCT user_id FROM near",
+}
+
+
+def _knn_lists(model: dict[str, str], k: int) -> str:
+    """Whole-catalog lists of unseen items; users without any click get popular items."""
+    return _sql(f"""SELECT user_id, item_id, round(score, 6) AS score, rank FROM (SELECT user_id, item_id, score,
+        row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM pool QUALIFY rank <= {k} UNION ALL
+        SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY pop DESC, item_id) AS rank
+        FROM click_users CROSS JOIN click_pop WHERE user_id NOT IN (SELECT user_id FROM clicks) QUALIFY rank <= {k})""",
+        "click_users", "click_seen", "click_model", "click_pop", **model,
+        pool="""SELECT user_id, item_id, round(coalesce(knn.score, 0), 9) AS score FROM (SELECT user_id, item_id FROM click_users
+            SEMI JOIN active USING (user_id) CROSS JOIN items) ANTI JOIN click_seen USING (user_id, item_id)
+            LEFT JOIN knn USING (user_id, item_id)""")
+
+
+def _walk_clicks(excluded: str) -> dict[str, str]:
+    return _reordered(_walk("SELECT DISTINCT user_id, 10 AS m FROM click_test", excluded))
+
+
+_SEEN_CLICKS = "SELECT user_id, item_id FROM click_seen"
+_UNITS = "SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM vectors"
+_ILS = """SELECT user_id, count(*) AS n_vectors, coalesce(any_value(s), 0) AS ils FROM lists JOIN units USING (item_id) LEFT JOIN
+    (SELECT a.user_id, avg(list_dot_product(p.v, q.v) / (p.n * q.n)) AS s FROM lists a JOIN lists b ON a.user_id = b.user_id
+    AND a.rank < b.rank JOIN units p ON p.item_id = a.item_id JOIN units q ON q.item_id = b.item_id GROUP BY 1) USING (user_id)
+    GROUP BY user_id"""
+_APART = """SELECT 1 - sum(x) / (u * (u - 1)) AS personalization FROM (SELECT sum(1 / sqrt(a.n * b.n)) AS x
+    FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM lists) a JOIN
+    (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM lists) b ON a.item_id = b.item_id AND a.user_id <> b.user_id),
+    (SELECT count(DISTINCT user_id)::DOUBLE AS u FROM click_test) GROUP BY u"""
+_NOVELTY_COLUMNS = {
+    "avg_self_information": "coalesce(avg(-log2(greatest(k.pop / total, 1e-10))), 0)",
+    "avg_iif": "coalesce(avg(ln(people / (k.pop + 1e-10))), 0)", "catalog_coverage": "count(DISTINCT r.item_id) / any_value(kinds)",
+    "avg_popularity_rank": "avg(coalesce(k.pop_rank, kinds))", "popularity_rank_std": "stddev_pop(coalesce(k.pop_rank, kinds))",
+    "min_popularity_rank": "min(coalesce(k.pop_rank, kinds))::DOUBLE", "max_popularity_rank": "max(coalesce(k.pop_rank, kinds))::DOUBLE",
+    "long_tail_percentage": "avg(coalesce(k.pop_rank >= floor(kinds * 0.2), false)::INT)",
+    "personalized_novelty": "avg((h.user_id IS NULL)::INT)",
+}
+
+
+def _list_novelty(source: str) -> dict[str, str]:
+    """Novelty of ``lists`` against the interactions ``source``."""
+    return {
+        "known": f"""SELECT item_id, count(*) AS pop, row_number() OVER (ORDER BY count(*) DESC, item_id) - 1 AS pop_rank
+            FROM {source} GROUP BY 1""",
+        "new": "SELECT r.user_id, " + ", ".join(f"{v} AS {n}" for n, v in _NOVELTY_COLUMNS.items()) + f""" FROM lists r
+            LEFT JOIN known k USING (item_id) LEFT JOIN (SELECT DISTINCT user_id, item_id FROM {source}) h
+            ON h.user_id = r.user_id AND h.item_id = r.item_id, (SELECT sum(pop) AS total, count(*) AS kinds FROM known),
+            (SELECT count(DISTINCT user_id) AS people FROM {source}) GROUP BY r.user_id""",
+    }
+
+
+def _retrieval(method: str, lists: str, *names: str, **own: str) -> str:
+    """Accuracy, novelty and diversity of ``lists`` (user_id, item_id, rank) for the users of the later clicks."""
+    return _sql("""SELECT summary.*, round((SELECT avg(avg_self_information) FROM new), 6) AS avg_self_information,
+        round((SELECT avg(avg_iif) FROM new), 6) AS avg_iif, round((SELECT avg(catalog_coverage) FROM new), 6) AS avg_catalog_coverage,
+        round((SELECT avg(coalesce(ils, 0)) FROM new LEFT JOIN ils USING (user_id)), 6) AS avg_intra_list_similarity,
+        round((SELECT avg(personalized_novelty) FROM new), 6) AS avg_personalized_novelty,
+        round((SELECT personalization FROM apart), 6) AS avg_personalization, '""" + method + "' AS evaluation_method FROM summary",
+        "clicks", "items", "vectors", "click_test", "click_seen", "click_model", "click_pop", *names, **own, lists=lists,
+        units=_UNITS, ils=_ILS, apart=_APART, **_list_novelty("clicks"),
+        rel="SELECT user_id, item_id, count(*) AS n FROM click_test GROUP BY ALL",
+        per=f"""SELECT t.user_id, coalesce(h.hits / l.n, 0) AS p, coalesce(h.hits / t.rows, 0) AS r, (coalesce(h.hits, 0) > 0)::INT AS h,
+            coalesce(h.gain / {_IDEAL.format('least(t.kinds, 10)')}, 0) AS g, coalesce(1 / h.first, 0) AS f
+            FROM (SELECT user_id, count(*) AS kinds, sum(n) AS rows FROM rel GROUP BY 1) t
+            LEFT JOIN (SELECT user_id, count(*) AS n FROM lists GROUP BY 1) l USING (user_id)
+            LEFT JOIN (SELECT user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS gain, min(rank) AS first
+            FROM lists SEMI JOIN rel USING (user_id, item_id) GROUP BY 1) h USING (user_id)""",
+        summary=_RETRIEVAL)
+
+
+def _ranked_pool(score: str, source: str = "pool") -> str:
+    return f"""SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY {score}, item_id) AS rank
+        FROM {source} QUALIFY rank <= 10"""
+
+
+def _sampled_pool(**own: str) -> dict[str, str]:
+    """Later positives and 30 uniform negatives a user."""
+    return {"late": _LATE_CLICKS, "positives": _LATE_PAIRS, **_reordered(_walk(_CANDIDATE_NEED, "SELECT * FROM positives")), **own,
+            "pool": "SELECT user_id, item_id FROM positives UNION ALL SELECT user_id, item_id FROM drawn"}
+
+
+_KNN_POOL = """SELECT user_id, item_id, coalesce(round(knn.score, 9), 0) AS score FROM pool SEMI JOIN items USING (item_id)
+    SEMI JOIN active USING (user_id) LEFT JOIN knn USING (user_id, item_id)"""
+
 _PER_USER = f"row_number() OVER (PARTITION BY user_id ORDER BY {_KEY.format('row_id')}, row_id)"
 _TRAIN_ROWS = "least(greatest(1, floor(count(*) OVER (PARTITION BY user_id) * 0.8::DOUBLE)), count(*) OVER (PARTITION BY user_id) - 1)"
 _RETRIEVAL = """SELECT round(avg(p), 6) AS avg_precision_at_k, round(avg(r), 6) AS avg_recall_at_k,
@@ -411,6 +526,56 @@ ORACLES: dict[str, str] = {
     "score_popularity": _sql("SELECT user_id, item_id, round(coalesce(score, 0), 6) AS score FROM pairs LEFT JOIN scored USING (item_id)",
                              "test", "scored", pairs="SELECT DISTINCT user_id, item_id FROM test UNION ALL SELECT min(user_id), "
                              "'no-item' FROM test UNION ALL SELECT 'no-user', min(item_id) FROM test"),
+    "rec_item_knn": _knn_lists(_ITEM_KNN, 10),
+    "rec_item_knn_catalog": _knn_lists(_ITEM_KNN, 120),
+    "rec_user_knn": _knn_lists(_USER_KNN, 10),
+    **{f"score_{name}": _sql("SELECT user_id, item_id, round(coalesce(knn.score, 0), 6) AS score FROM click_pairs LEFT JOIN knn "
+                             "USING (user_id, item_id)", "click_pairs", "click_seen", "click_model", **model)
+       for name, model in (("item_knn", _ITEM_KNN), ("user_knn", _USER_KNN))},
+    "rec_embedding_dot": _sql("""SELECT user_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id
+        ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, coalesce(round(list_dot_product(t, v), 9), 0) AS score
+        FROM taste CROSS JOIN items LEFT JOIN vectors USING (item_id)) ANTI JOIN click_seen USING (user_id, item_id)
+        QUALIFY rank <= 10""", "taste", "items", "vectors", "click_seen"),
+    "score_pairs": _sql("SELECT user_id, item_id, round(coalesce(CASE WHEN item_id IN (SELECT item_id FROM items) THEN "
+                        "list_dot_product(t, v) END, 0), 6) AS score FROM click_pairs LEFT JOIN taste USING (user_id) LEFT JOIN vectors "
+                        "USING (item_id)", "click_pairs", "taste", "items", "vectors"),
+    "recs_for_users": _sql(f"""SELECT user_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id
+        ORDER BY pop DESC, item_id) AS rank FROM (SELECT user_id FROM (SELECT DISTINCT user_id FROM purchases)
+        ORDER BY {_KEY.format('user_id')}, user_id LIMIT 20) CROSS JOIN scored ANTI JOIN (SELECT DISTINCT user_id, item_id FROM history)
+        USING (user_id, item_id) QUALIFY rank <= 20""", "purchases", "scored", "history"),
+    "eval_retrieval_random": _retrieval("negative_sampling", f"""SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id
+        ORDER BY {_KEY.format("(user_id || '|' || item_id)")}) AS rank FROM pool QUALIFY rank <= 10""", **_sampled_pool()),
+    "eval_retrieval_popularity": _retrieval("negative_sampling", _ranked_pool("score DESC", "pool JOIN click_pop USING (item_id)"),
+                                            **_sampled_pool()),
+    "eval_retrieval_item_knn": _retrieval("negative_sampling", _ranked_pool("score DESC", f"({_KNN_POOL})"), **_sampled_pool(**_ITEM_KNN)),
+    "eval_retrieval_user_knn": _retrieval("negative_sampling", _ranked_pool("score DESC", f"({_KNN_POOL})"), **_sampled_pool(**_USER_KNN)),
+    "eval_retrieval_catalog": _retrieval("catalog_evaluation", _ranked_pool(
+        "pop DESC", "(SELECT DISTINCT user_id FROM click_test) CROSS JOIN click_pop")),
+    "eval_retrieval_positives": _retrieval("full_evaluation", _ranked_pool(
+        "score DESC", "(SELECT DISTINCT user_id, item_id FROM click_test) JOIN click_pop USING (item_id)")),
+    "novelty_per_user": _sql("SELECT user_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NOVELTY_COLUMNS) + """, round(ils, 6) AS ils
+        FROM new LEFT JOIN ils USING (user_id)""", "click_test", "click_seen", "items", "vectors", **_walk_clicks(_SEEN_CLICKS),
+        lists="SELECT * FROM drawn", units=_UNITS, ils=_ILS, **_list_novelty("click_history")),
+    "intra_list_similarity": _sql("SELECT user_id, n_vectors, round(ils, 6) AS ils FROM ils", "click_test", "click_seen", "items",
+        "vectors", **_walk_clicks(_SEEN_CLICKS), lists="SELECT * FROM drawn", units=_UNITS, ils=_ILS),
+    "pairwise_diversity_cosine": _sql("SELECT user_id, round(CASE WHEN n_vectors > 1 THEN 1 - ils ELSE 0 END, 6) AS diversity FROM ils",
+        "click_test", "click_seen", "items", "vectors", **_walk_clicks(_SEEN_CLICKS), lists="SELECT * FROM drawn", units=_UNITS, ils=_ILS),
+    "pairwise_diversity_euclidean": _sql("""SELECT a.user_id, round(coalesce(avg(list_distance(p.v, q.v)), 0), 6) AS diversity
+        FROM (lists a JOIN vectors p USING (item_id)) LEFT JOIN (lists b JOIN vectors q USING (item_id)) ON a.user_id = b.user_id AND
+        a.rank < b.rank GROUP BY 1""", "click_test", "click_seen", "items", "vectors", **_walk_clicks(_SEEN_CLICKS),
+        lists="SELECT * FROM drawn"),
+    "personalization": _sql("SELECT round(personalization, 6) AS personalization FROM apart", "click_test", "click_seen", "items",
+        **_walk_clicks(_SEEN_CLICKS), lists="SELECT * FROM drawn", apart=_APART),
+    "serendipity": _sql("""SELECT round(avg(s), 6) AS serendipity FROM (SELECT avg((t.user_id IS NOT NULL AND e.item_id IS NULL)::INT)
+        AS s FROM drawn LEFT JOIN (SELECT DISTINCT user_id, item_id FROM click_test) t USING (user_id, item_id) LEFT JOIN
+        (SELECT item_id FROM click_pop ORDER BY pop DESC, item_id LIMIT 20) e USING (item_id) GROUP BY drawn.user_id)""",
+        "click_test", "click_pop", "items", **_walk_clicks("SELECT user_id, item_id FROM click_test WHERE false")),
+    "satisfaction_proxy": _sql("""SELECT round(avg(c), 6) AS satisfaction FROM (SELECT avg(c) AS c FROM (SELECT r.user_id,
+        sum(p * q) / (sqrt(sum(p * p)) * sqrt(sum(q * q)) + 1e-8) AS c FROM recs r JOIN facts f USING (item_id) JOIN likes l
+        ON l.user_id = r.user_id AND l.feature = f.feature GROUP BY r.user_id, r.item_id) GROUP BY user_id)""", "recs", "history", "items",
+        facts="SELECT item_id, tag AS feature, 1.0::DOUBLE AS q FROM items UNION ALL SELECT item_id, category, 0.5 FROM items UNION ALL "
+              "SELECT item_id, 'price', price / 1000 FROM items",
+        likes="SELECT user_id, feature, avg(q) * count(*) AS p FROM history JOIN facts USING (item_id) GROUP BY ALL"),
     "precision_at_k": _sql("SELECT user_id, round(count(*) FILTER (rank <= 5) / 5.0, 6) AS precision FROM hits GROUP BY 1", "hits"),
     "recall_at_k": _sql("SELECT user_id, round(count(rank) / any_value(n_rel), 6) AS recall FROM hits GROUP BY 1", "hits"),
     "ndcg_list": _sql(f"SELECT user_id, round(coalesce({_GAIN.format(10)} / {_IDEAL.format('count(rank)')}, 0), 6) AS ndcg "

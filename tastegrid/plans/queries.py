@@ -15,6 +15,7 @@ from tastegrid.operators import accuracy, encoding, fairness, features, filterin
 from tastegrid.operators import recommend as rec
 from tastegrid.operators import similarity as sim
 from tastegrid.operators import splits
+from tastegrid.operators.nearest import nearest
 from tastegrid.operators.ranking import dense_index, top_k
 from tastegrid.plans import evaluate, preprocess, split_job
 from tastegrid.plans.bindings import Views
@@ -60,7 +61,7 @@ def click_data(v: Views) -> tuple[rec.RecommenderData, DataFrame]:
     rows = v.clicks
     halves = splits.temporal_split(rows, train_ratio=0.8)
     history = halves.filter(F.col("split") == "train").drop("split")
-    return rec.RecommenderData(rows, v.click_items, history), halves.filter(F.col("split") == "val").drop("split")
+    return rec.RecommenderData(rows, v.items, history), halves.filter(F.col("split") == "val").drop("split")
 
 
 def purchase_recs(v: Views) -> tuple[DataFrame, rec.RecommenderData, DataFrame]:
@@ -69,7 +70,7 @@ def purchase_recs(v: Views) -> tuple[DataFrame, rec.RecommenderData, DataFrame]:
 
 
 def click_recs(v: Views) -> tuple[DataFrame, rec.RecommenderData, DataFrame]:
-    """Random lists over the click catalog: all of their items have an embedding."""
+    """Random lists over the whole catalog; measures of vectors pass over items without an embedding."""
     data, test = click_data(v)
     return cut(rec.recommend_random(data, test.select("user_id").distinct(), K)), data, test
 
@@ -523,7 +524,7 @@ def _(v):
 
 @query("user_neighbors")
 def _(v):
-    return sim.user_neighbors(sim.user_similarity(v.clicks), 20)
+    return nearest(sim.count_matrix(v.clicks), "user_id", "item_id", None, 20)
 
 
 @query("rec_random")
@@ -572,8 +573,7 @@ def _(v):
 @query("rec_item_knn_catalog")
 def _(v):
     data, test = click_data(v)
-    wider = rec.RecommenderData(data.interactions, v.items, data.history)
-    return rec.recommend_item_knn(wider, _all_users(v, test), 60)
+    return rec.recommend_item_knn(data, _all_users(v, test), 120)
 
 
 @query("score_item_knn")
@@ -610,8 +610,7 @@ def _item_vectors(v: Views) -> DataFrame:
 @query("rec_embedding_dot")
 def _(v):
     data, _ = click_data(v)
-    wider = rec.RecommenderData(data.interactions, v.items, data.history)
-    return rec.dot_top_k(wider, _taste(v, data.history), _item_vectors(v), K)
+    return rec.dot_top_k(data, _taste(v, data.history), _item_vectors(v), K)
 
 
 @query("rec_model")
@@ -830,7 +829,7 @@ def _(v):
     tags = encoding.fit_labels(items, "tag")
     table = features.item_features(items, items.withColumn("text", F.lit("")), NUMERIC, tags,
                                    encoding.fit_scaler(items, NUMERIC), "standardization")
-    samples = sampling.train_samples(v.clicks, v.click_items, 0.5).select("user_id", "item_id", F.col("label").cast("double").alias("label"))
+    samples = sampling.train_samples(v.clicks, v.items, 0.5).select("user_id", "item_id", F.col("label").cast("double").alias("label"))
     users = encoding.fit_labels(v.clicks, "user_id")
     rows = cut(encoding.encode(samples, "user_id", users, "user_idx").join(table.select("item_id", "numeric", "tag_idx"), "item_id")
                .withColumns({c: F.col(c).cast("double") for c in ("user_idx", "tag_idx")}))
