@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.llm.common import column, store
 
-K, PICKED, COORDINATES = 8, 2, 128
+K, PICKED, COORDINATES = 8, 2, 96
 BLOCK = 4_096  # k-mers whose order is computed at a time, for all coordinates
 SEED = 20_177
 
@@ -114,11 +114,11 @@ def edited(text: str, following: str) -> str:
 def _compared(sketcher: Sketcher, text: str, own: np.ndarray, following: str, next_sketch: np.ndarray) -> tuple:
     changed = edited(text, following)
     print_ = sketcher.sketch(changed)
-    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.tobytes(), print_.tobytes(),
+    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), own.tobytes(), print_.tobytes(),
             likeness(own, print_), likeness(own, next_sketch))
 
 
-RESULT = ("n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, "
+RESULT = ("n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, "
           "near_next double")
 INNER, FIRST, LAST = 0, 1, 2
 
@@ -160,12 +160,12 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ends = ends.mapInArrow(_linked, f"key {kind.simpleString()}, {RESULT}")
     out = stream.filter(F.col("place") == INNER).select(*ends.columns).unionByName(ends)
     hexed = lambda name: F.lower(F.hex(name)).alias(name)
-    return out.select(F.col("key").alias(key), "n_chars", "edited_sha256", hexed("fingerprint"), hexed("edited_fingerprint"),
+    return out.select(F.col("key").alias(key), "n_chars", hexed("edited_sha256"), hexed("fingerprint"), hexed("edited_fingerprint"),
                       "near_edited", "near_next")
 
 
 def _table(key_type: pa.DataType, rows: list[tuple], extra: bool) -> pa.RecordBatch:
-    kinds = [key_type, pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    kinds = [key_type, pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     if extra:
         kinds, names = kinds + [pa.int32(), pa.int32(), pa.string()], names + ["part", "place", "text"]

@@ -94,7 +94,7 @@ def test_odd_cases(spark):
     for r in got:
         of.setdefault(r["doc_id"], []).append(r)
     assert len(got) == 13 and len(of[7]) == 2 and {r["fingerprint"] for r in of[7]} == {of[6][0]["fingerprint"]}
-    assert max(r["near_next"] for r in of[7]) == 1.0 and of[1][0]["fingerprint"] == of[2][0]["fingerprint"] == "0" * 512
+    assert max(r["near_next"] for r in of[7]) == 1.0 and of[1][0]["fingerprint"] == of[2][0]["fingerprint"] == "0" * 4 * order_sketch.COORDINATES
     assert of[2][0]["near_next"] == 1.0 and of[2][0]["edited_sha256"] == hashlib.sha256(b"").hexdigest()
     assert order_sketch.with_next(empty(spark)).collect() == [] and order_sketch.fingerprints(empty(spark)).collect() == []
     single = order_sketch.with_next(spark.createDataFrame([(5, "only one", *[None] * 12)], SCHEMA)).first()
