@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,22 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+class Shared:
+    """An object broadcast together with its class, so that workers can open it without this package; ``value`` opens it once."""
+
+    def __init__(self, spark, value):
+        self._bytes, self._opened = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_opened": []}
+
+    @property
+    def value(self):
+        if not self._opened:
+            self._opened.append(pickle.loads(self._bytes.value))
+        return self._opened[0]
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back: lineage ends here, columns stay prunable."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import column, remainder
+from tastegrid.llm.common import Shared, column, remainder
 from tastegrid.llm.sketch import mix, slices
 
 BITS = 15
@@ -182,7 +182,7 @@ def train(df: DataFrame, condition: Column, text: str = "text", language: str =
 
 def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) per row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    shared = Shared(df.sparkSession, model)  # BUCKETS x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, known = regex.compile(r"\p{L}"), shared.value
