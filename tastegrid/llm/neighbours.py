@@ -12,8 +12,10 @@ and the smaller one if both visit each other.
 Cells are large, since a vector of many dimensions without clusters visits most of them: what is shipped grows with the number
 of cells, and the products are fast.
 
-Defined cases: a vector that is null, empty, zero, holds a null or non-finite number, or has another length than most
-vectors (the smaller length, of equally frequent ones) links with nothing; repeated rows are vectors of their own that are
+Vectors of each length are compared among themselves; a length of ``CELL`` vectors or fewer is one cell. Numbers keep the
+precision of their column.
+
+Defined cases: a vector that is null, empty, zero, or holds a null or non-finite number links with nothing; repeated rows are vectors of their own that are
 linked; a row without an id links with nothing; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import column, finish, store, stored
+from tastegrid.llm.common import Shared, column, finish, store, stored
 from tastegrid.llm.graph import components
 
 THRESHOLD = 0.9
@@ -76,34 +79,46 @@ def visits(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return home, inside
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, vector) of usable vectors, as bytes of 32-bit floats; length and nulls are known to be right."""
-    for batch in batches:
-        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        table = flat.reshape(batch.num_rows, -1)
-        good = np.isfinite(table).all(axis=1) & table.any(axis=1)
-        ids = batch.column(0).filter(pa.array(good))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([(row + np.float32(0)).tobytes() for row in table[good]], pa.binary())],
-                                         names=["id", "vector"])
+def _by_length(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for d in np.unique(lengths).tolist():
+        yield d, np.flatnonzero(lengths == d)
+
+
+def _vectors(kind: str):
+    """(id, d, vector) of usable vectors, as bytes of numbers of this kind; nulls are known to be absent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, at in _by_length(pc.list_value_length(batch.column(1)).to_numpy()):
+                some = batch.take(pa.array(at))
+                table = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
+                good = np.isfinite(table).all(axis=1) & table.any(axis=1)
+                rows = [row.tobytes() for row in table[good] + table.dtype.type(0)]  # no negative zeros
+                yield pa.RecordBatch.from_arrays([some.column(0).filter(pa.array(good)), pa.array([d] * len(rows), pa.int32()),
+                                                  pa.array(rows, pa.binary())], names=["id", "d", "vector"])
+    return run
 
 
-def _matrix(column_: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column_.to_pylist()), np.float32).reshape(len(column_), -1)
+def _matrix(column_: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column_.to_pylist()), kind).reshape(len(column_), -1)
 
 
-def _assign(centres):
+def _assign(centres: Shared, kind: str):
+    """Cells per length of vectors; a length without centres is one cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            home, inside = visits(unit(_matrix(batch.column(1))), centres.value)
-            rows, cells = np.nonzero(inside)
-            bits = pa.array([b.tobytes() for b in np.packbits(inside, axis=1)], pa.binary())
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.astype(np.int32)), pa.array(home[rows].astype(np.int32)), batch.column(0).take(at),
-                 batch.column(2).take(at), batch.column(1).take(at), bits.take(at)],
-                names=["cell", "home", "id", "times", "vector", "visits"])
+        for whole in batches:
+            for d, own in _by_length(whole.column(1).to_numpy()):
+                batch = whole.take(pa.array(own))
+                if d in centres.value:
+                    home, inside = visits(unit(_matrix(batch.column(3), kind)), centres.value[d])
+                else:
+                    home, inside = np.zeros(len(own), np.int64), np.ones((len(own), 1), bool)
+                rows, cells = np.nonzero(inside)
+                bits = pa.array([b.tobytes() for b in np.packbits(inside, axis=1)], pa.binary())
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(at), pa.array(cells.astype(np.int32)), pa.array(home[rows].astype(np.int32)),
+                     batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), bits.take(at)],
+                    names=["d", "cell", "home", "id", "times", "vector", "visits"])
     return run
 
 
@@ -121,40 +136,42 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = after
 
 
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (id, n, null) and links (id, null, other) of runs of rows with one (cell, i, j).
+def _products(kind: str):
+    """Counts (id, n, null) and links (id, null, other) of runs of rows with one (d, cell, i, j).
 
-    Rows are (cell, i, j, part, home, id, times, vector, visits), sorted by the first three.
+    Rows are (d, cell, i, j, part, home, id, times, vector, visits), sorted by the first four.
     """
-    held = None
-    for batch in batches:
-        held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        heads = _heads(held)
-        for a, b in zip(heads[:-1], heads[1:]):
-            yield from _block(held.slice(int(a), int(b - a)))
-        held = held.slice(int(heads[-1])) if len(heads) else None
-    if held is not None and held.num_rows:
-        yield from _block(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            heads = _heads(held)
+            for a, b in zip(heads[:-1], heads[1:]):
+                yield from _block(held.slice(int(a), int(b - a)), kind)
+            held = held.slice(int(heads[-1])) if len(heads) else None
+        if held is not None and held.num_rows:
+            yield from _block(held, kind)
+    return run
 
 
 def _heads(batch: pa.RecordBatch) -> np.ndarray:
     if not batch.num_rows:
         return np.empty(0, int)
-    cell, i, j = (batch.column(c).to_numpy() for c in range(3))
-    return np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    keys = np.stack([batch.column(c).to_numpy() for c in range(4)])
+    return np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
 
 
-def _block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    cell, i, j = (batch.column(c)[0].as_py() for c in range(3))
-    part, home, ids, times = (batch.column(c).to_numpy() for c in range(3, 7))
+def _block(batch: pa.RecordBatch, kind: str) -> Iterator[pa.RecordBatch]:
+    cell, i, j = (batch.column(c)[0].as_py() for c in range(1, 4))
+    part, home, ids, times = (batch.column(c).to_numpy() for c in range(4, 8))
     left = np.flatnonzero(part == i)
     right = left if i == j else np.flatnonzero(part == j)
     if not len(left) or not len(right):
         return
-    x = _matrix(batch.column(7))
+    x = _matrix(batch.column(8), kind)
     bits = None
     if i != j:
-        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
+        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
     counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
     for l in range(0, len(left), TILE):
         mine = left[l:l + TILE]
@@ -185,40 +202,44 @@ def _block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) per row of ``df``."""
     spark, mark = df.sparkSession, stored()
+    kind = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
     rows = df.select(column(key).alias("id"), column(vector).cast("array<double>").alias("v"))
     whole = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda e: e.isNull())
-    length = rows.filter(whole).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    good = rows.filter(whole & (F.size("v") == (length["d"] if length else 0)))
-    table = store(good.mapInArrow(_vectors, "id bigint, vector binary").withColumn("class", F.sha2("vector", 256)), "vectors")
+    usable = rows.filter(whole).mapInArrow(_vectors(kind), "id bigint, d int, vector binary")
+    table = store(usable.withColumn("class", F.sha2("vector", 256)), "vectors")
     classes = table.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    one = table.select("class", "vector", "id").join(classes, "class").filter("id = rep").dropDuplicates(["class"])
-    one = store(one.select("rep", "vector", "times"), "classes")
-
-    total = one.count()
-    cells = max(1, min(MOST_CELLS, math.ceil(total / CELL)))
-    place = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30)
-    picked = sorted(bytes(r["vector"]) for r in one.filter(place < SAMPLE / max(total, 1)).select("vector").collect())
-    if not total:
+    one = table.select("class", "d", "vector", "id").join(classes, "class").filter("id = rep").dropDuplicates(["class"])
+    one = store(one.select("rep", "d", "times", "vector"), "classes")
+
+    found = one.groupBy("d").count().filter(F.col("count") > CELL).collect()  # total / CELL rows at most
+    if one.isEmpty():
         links = store(table.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "links")
         counts = table.select("id", F.lit(0).cast("bigint").alias("n")).limit(0)
     else:
-        x = unit(np.stack([np.frombuffer(r, np.float32) for r in picked or [bytes(one.first()["vector"])]]))
-        centres = spark.sparkContext.broadcast(spherical_centres(x, min(cells, len(x))))
+        fitted = {}
+        place = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30)
+        for d, total in found:
+            picked = one.filter((F.col("d") == d) & (place < SAMPLE / total)).select("vector").collect()
+            picked = sorted(bytes(r["vector"]) for r in picked)
+            if len(picked) > 1:
+                x = unit(np.stack([np.frombuffer(r, kind) for r in picked]))
+                fitted[d] = spherical_centres(x, min(MOST_CELLS, math.ceil(total / CELL), len(x)))
         assigned = one.mapInArrow(  # found twice, as storing it takes a copy of the vectors for each visit
-            _assign(centres), "cell int, home int, id bigint, times bigint, vector binary, visits binary")
+            _assign(Shared(spark, fitted), kind),
+            "d int, cell int, home int, id bigint, times bigint, vector binary, visits binary")
         at_home = F.col("home") == F.col("cell")
-        sizes = assigned.groupBy("cell").agg(
+        sizes = assigned.groupBy("d", "cell").agg(
             F.ceil(F.sum(at_home.cast("int")) / BLOCK).cast("int").alias("own"),
             F.ceil(F.sum((~at_home).cast("int")) / BLOCK).cast("int").alias("guests"))
-        placed = assigned.join(F.broadcast(sizes), "cell")  # one row per cell, MOST_CELLS at most
+        placed = assigned.join(sizes, ["d", "cell"])  # one row per cell and length
         hashed = F.pmod(F.xxhash64("id"), F.when(at_home, F.col("own")).otherwise(F.greatest("guests", F.lit(1))))
         placed = placed.withColumn("part", (hashed + F.when(at_home, 0).otherwise(F.col("own"))).cast("int"))
         last = F.when(at_home, F.col("own") + F.col("guests")).otherwise(F.col("own")) - 1
         placed = placed.filter("own > 0").withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-        placed = placed.select("cell", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part",
+        placed = placed.select("d", "cell", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part",
                                "home", "id", "times", "vector", "visits")
-        placed = placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
-        found = store(placed.mapInArrow(_products, "id bigint, n bigint, other bigint"), "products")
+        placed = placed.repartition("d", "cell", "i", "j").sortWithinPartitions("d", "cell", "i", "j", "id")
+        found = store(placed.mapInArrow(_products(kind), "id bigint, n bigint, other bigint"), "products")
         counts = found.filter("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
         links = found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
 

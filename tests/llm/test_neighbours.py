@@ -68,6 +68,26 @@ def test_planted_pairs_over_many_cells(spark, monkeypatch, size):
     assert all(out[int(a)].component_id == out[int(b)].component_id for a, b in np.argwhere(links))
 
 
+@pytest.mark.parametrize("cell,block", [(8_192, 16_384), (4, 3)])
+def test_lengths_apart_and_double_precision(spark, monkeypatch, cell, block):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(12, 4)))]
+    rows += [(20, [1e39] * 4), (21, [2e39] * 4), (22, [1e-60, 0.0, 0.0, 0.0]), (23, [3e-60, 0.0, 0.0, 0.0]), (24, [1e-320, 0.0, 0.0, 0.0]),
+             (30, [1.0, 2.0]), (31, [2.0, 4.0]), (32, [-1.0, 2.0]), (33, [1.0, 2.0, 0.0]), (40, [5.0]), (41, [-5.0]), (42, [7.0])]
+    out = {r.id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    for k, v in rows:
+        near = []
+        for j, w in rows:
+            if j != k and len(v) == len(w):
+                a, b = (np.array(z) / np.abs(z).max() for z in (v, w))
+                if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9:
+                    near.append(j)
+        assert out[k].n_links == len(near) and out[k].component_id == min([k, *near]), k
+    assert out[21].component_id == 20 and out[24].n_links >= 2 and out[31].n_links == 1 and out[42].component_id == 40
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert neighbours.near_duplicates(df).count() == 0
