@@ -298,52 +298,83 @@ def dot_scorer(user_vectors: DataFrame, item_vectors: DataFrame) -> Scorer:
     return score
 
 
+USER_BLOCK, ITEM_BLOCK = 1024, 4096
+
+
 def dot_top_k(data: RecommenderData, user_vectors: DataFrame, item_vectors: DataFrame, k: int = 10,
-              filter_seen: bool = True, user_block: int = 1024, item_block: int = 4096) -> DataFrame:
-    """Exact top k over the whole catalog by dot product.
+              filter_seen: bool = True) -> DataFrame:
+    """Exact top k over the whole catalog by dot product, without pairing users with items.
 
-    Users and items meet block by block; a block keeps k + #seen rows per user, enough to still
-    hold its k best after the seen items go, so the pairs themselves never leave the task.
-    Catalog items without a vector score 0.
+    Items are laid out in blocks by falling length of their vectors. No item of a block or behind it scores more than the
+    user's length times the block's greatest (Cauchy-Schwarz), so a user stops as soon as the k-th best score so far is above
+    that. Rounds visit 1, 2, 4, .. further blocks; a cell of one block and some users keeps k unseen items per user, so scored
+    pairs never leave the task. Catalog items without a vector score 0 and take part from the start.
     """
-    seen = data.seen
-    counts = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_h"))
+    seen = data.seen.select("user_id", "item_id")
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    catalog = data.items.select("item_id").distinct()
     users = user_vectors.select("user_id", as_doubles(F.col("vector")).alias("u"))
-    users = (users.join(counts, "user_id", "left")
-             .select("user_id", "u", (F.lit(k) + (F.coalesce("_h", F.lit(0)) if filter_seen else 0)).alias("keep")))
-    items = (item_vectors.join(data.items.select("item_id").distinct(), "item_id", "left_semi")
-             .select("item_id", as_doubles(F.col("vector")).alias("v")))
-    nu = max(1, -(-users.count() // user_block))
-    ni = max(1, -(-items.count() // item_block))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    a = users.select(block("user_id", nu).alias("ub"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"),
-                     "user_id", "u", "keep")
-    b = items.select(F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("ub"), block("item_id", ni).alias("ib"),
-                     "item_id", "v")
+    users = cut(users.withColumn("reach", length(F.col("u"))))
+    vectors = item_vectors.join(catalog, "item_id", "left_semi").select("item_id", as_doubles(F.col("vector")).alias("v"))
+    vectors = vectors.withColumn("length", length(F.col("v")))
+    placed = dense_index(vectors, [F.col("length").desc(), F.col("item_id")], "pos")
+    items = cut(placed.select("item_id", "v", "length", F.floor(F.col("pos") / ITEM_BLOCK).cast("bigint").alias("block")))
+    longest = items.groupBy("block").agg(F.max("length").alias("longest"))
+    blocks = longest.count()
 
-    def best(_cell: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"user_id": pd.Series(dtype=str), "item_id": pd.Series(dtype=str),
-                                 "score": pd.Series(dtype=float)})
-        right = right.sort_values("item_id")
-        ids = right["item_id"].to_numpy()
-        scores = np.round(np.stack(left["u"].to_numpy()) @ np.stack(right["v"].to_numpy()).T, 9)
-        order = np.argsort(-scores, axis=1, kind="stable")
-        keep = np.minimum(left["keep"].to_numpy(), len(ids))
-        rows = np.repeat(np.arange(len(left)), keep)
-        cols = np.concatenate([order[r, :n] for r, n in enumerate(keep)])
-        return pd.DataFrame({"user_id": left["user_id"].to_numpy()[rows], "item_id": ids[cols],
-                             "score": scores[rows, cols]})
-
-    scored = (a.groupBy("ub", "ib").cogroup(b.groupBy("ub", "ib"))
-              .applyInPandas(best, "user_id string, item_id string, score double"))
-    bare = data.items.select("item_id").distinct().join(items.select("item_id"), "item_id", "left_anti")
     need = users.select("user_id", F.lit(k).alias("m"))
-    barred = seen.join(need.select("user_id"), "user_id", "left_semi") if filter_seen else seen.limit(0)
-    zeros = take_from_catalog(need, index_catalog(bare), barred).select("user_id", "item_id", F.lit(0.0).alias("score"))
-    if filter_seen:
-        scored = drop_seen(scored, seen)
-    return _ranked(scored.unionByName(zeros), k)
+    barred = seen.join(need, "user_id", "left_semi") if filter_seen else seen.limit(0)
+    bare = index_catalog(catalog.join(items.select("item_id"), "item_id", "left_anti"))
+    best = cut(take_from_catalog(need, bare, barred).select("user_id", "item_id", F.lit(0.0).alias("score")))
+    hidden = barred.join(items.select("item_id", "block"), "item_id").select("user_id", "item_id", "block")
+    open_users, start, width = users, 0, 1
+    while start < blocks:
+        stop = min(start + width, blocks)
+        visits = open_users.select("user_id", "u", F.explode(F.sequence(
+            F.lit(start).cast("bigint"), F.lit(stop - 1).cast("bigint"))).alias("block"))
+        found = _visited(visits, items.filter(F.col("block").between(start, stop - 1)),
+                         hidden.filter(F.col("block").between(start, stop - 1)), k)
+        best = cut(_ranked(best.unionByName(found), k).select("user_id", "item_id", "score"))
+        start, width = stop, width * 2
+        if start < blocks:
+            bound = longest.filter(F.col("block") == start).select(F.max("longest")).scalar()
+            held = best.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"), F.min("score").alias("least"))
+            left = open_users.join(held, "user_id", "left").withColumn("_bound", bound)
+            open_users = cut(left.filter(F.col("held").isNull() | (F.col("held") < k) | (
+                F.col("reach") * F.col("_bound") * (1 + 1e-12) + 1e-8 >= F.col("least"))).select("user_id", "u", "reach"))
+            if open_users.isEmpty():
+                break
+    return _ranked(best, k)
+
+
+def _visited(visits: DataFrame, items: DataFrame, hidden: DataFrame, k: int) -> DataFrame:
+    """The k best unseen items of each visited block per user: (user_id, item_id, score)."""
+    parts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / USER_BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("user_id"), F.col("parts")).cast("int").alias("part")
+    asked = visits.join(parts, "block").select(F.col("block").alias("b"), part, "user_id", F.col("u").alias("x"),
+                                               F.lit(None).cast("string").alias("item_id"))
+    out = hidden.join(visits.select("user_id", "block"), ["user_id", "block"], "left_semi").join(parts, "block").select(
+        F.col("block").alias("b"), part, "user_id", F.lit(None).cast("array<double>").alias("x"), "item_id")
+    there = items.join(parts, "block").select(F.col("block").alias("b"), F.explode(F.sequence(
+        F.lit(0), F.col("parts") - 1)).alias("part"), F.col("item_id").alias("item"), F.col("v").alias("y"))
+
+    def best(_cell: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        who = left[left["item_id"].isna()]
+        if who.empty or right.empty:
+            return pd.DataFrame({"user_id": pd.Series(dtype=str), "item_id": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+        right = right.sort_values("item")
+        ids, names = right["item"].to_numpy(), who["user_id"].to_numpy()
+        scores = np.round(np.stack(who["x"].to_numpy()) @ np.stack(right["y"].to_numpy()).T, 9)
+        seen = left[left["item_id"].notna()]
+        scores[pd.Index(names).get_indexer(seen["user_id"]), pd.Index(ids).get_indexer(seen["item_id"])] = -np.inf
+        pick = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(names)), pick.shape[1])
+        value = scores[row, pick.ravel()]
+        good = value > -np.inf
+        return pd.DataFrame({"user_id": names[row[good]], "item_id": ids[pick.ravel()[good]], "score": value[good]})
+
+    cells = asked.unionByName(out).groupBy("b", "part").cogroup(there.groupBy("b", "part"))
+    return cells.applyInPandas(best, "user_id string, item_id string, score double")
 
 
 # ---------------------------------------------------------------- selection by name

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,29 @@ def test_model_on_catalog_and_candidates(spark):
         rec.recommender("absent")
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_dot_products_over_the_whole_catalog(spark, monkeypatch, block):
+    """Against all pairs: long and short vectors, negative scores, items without a vector, seen items, several blocks."""
+    monkeypatch.setattr(rec, "ITEM_BLOCK", block)
+    monkeypatch.setattr(rec, "USER_BLOCK", 5)
+    rng = np.random.default_rng(3)
+    items = {f"i{n:03}": [float(x) for x in rng.normal(size=3) * (10 if n < 20 else 0.5)] for n in range(90)}
+    people = {f"u{n}": [float(x) for x in rng.normal(size=3)] for n in range(12)}
+    bare = ["j1", "j2", "j3"]
+    seen = [(f"u{n}", f"i{m:03}") for n in range(12) for m in range(n, 40, 3)] + [("u0", "j1")]
+    inter = table(spark, seen, PAIR)
+    data = rec.RecommenderData(inter, table(spark, [(i,) for i in [*items, *bare]], "item_id string"), inter)
+    vectors = lambda d, name: table(spark, list(d.items()), f"{name} string, vector array<double>")
+    for hide in (True, False):
+        want = set()
+        for u, x in people.items():
+            scores = {i: round(float(np.dot(x, v)), 9) for i, v in items.items()} | dict.fromkeys(bare, 0.0)
+            pool = [i for i in scores if not hide or (u, i) not in seen]
+            want |= {(u, i, r + 1) for r, i in enumerate(sorted(pool, key=lambda i: (-scores[i], i))[:7])}
+        got = rec.dot_top_k(data, vectors(people, "user_id"), vectors({**items, "absent": [99.0, 99.0, 99.0]}, "item_id"), 7, hide)
+        assert {(r.user_id, r.item_id, r["rank"]) for r in got.collect()} == want
+
+
 def hits(spark, recs, relevant):
     lists = table(spark, [("u", i, n + 1) for n, i in enumerate(recs)], "user_id string, item_id string, rank int")
     return accuracy.hit_table(lists, table(spark, [("u", i) for i in relevant], PAIR))
