@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.functions.numeric import discount, ideal_gain, ratio
-from tastegrid.operators.ranking import rank_within
+from tastegrid.operators.ranking import dense_index, rank_within
 
 
 def hit_table(recs: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -129,3 +129,17 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
     r = ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return counts.select(ratio(F.col("tp") + F.col("tn"), total).alias("accuracy"), p.alias("precision"),
                          r.alias("recall"), ratio(F.lit(2.0) * F.col("tp"), F.lit(2) * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row: the chance that a positive scores above a negative, ties counting half; 0.5 without one of the two.
+
+    Rows are counted per score; the negatives below each score are running totals over range-partitioned scores, so no task
+    holds the order of all rows.
+    """
+    truth = (F.col(label) == 1).cast("bigint")
+    counts = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.sum(truth).alias("p"), F.sum(1 - truth).cast("double").alias("n"))
+    placed = dense_index(counts, [F.col("s")], "_", weight="n")
+    sums = placed.agg(F.sum(F.col("p") * (F.col("running") - F.col("n") / 2)).alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return sums.select(F.coalesce(ratio(F.col("wins"), F.col("p") * F.col("n"), 0.5), F.lit(0.5)).alias("auc"))

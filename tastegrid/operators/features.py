@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegrid.functions.hashing import hex_number
 from tastegrid.functions.numeric import to_number
-from tastegrid.functions.text import clean_text
+from tastegrid.functions.text import clean_text, words
 from tastegrid.functions.vectors import as_doubles
 from tastegrid.operators.encoding import encode, scale
 
@@ -46,10 +45,17 @@ def fuse(df: DataFrame, blocks: list[str], name: str = "features") -> DataFrame:
             .withColumn(name, F.concat(*[F.coalesce(as_doubles(F.col(b)), empty) for b in blocks])))
 
 
-def text_tfidf(df: DataFrame, text: str, dims: int = 1024, name: str = "tfidf") -> DataFrame:
-    """Hashed TF-IDF of the cleaned text as an array of ``dims`` numbers."""
-    cleaned = df.withColumn("_clean", clean_text(F.col(text)))
-    tokens = RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=r"\s+", toLowercase=False).transform(cleaned)
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(tokens)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts).transform(counts)
-    return weighted.withColumn(name, vector_to_array("_tfidf")).drop("_clean", "_words", "_tf", "_tfidf")
+def text_tfidf(df: DataFrame, key: str, text: str, dims: int = 1024, unicode: bool = True) -> DataFrame:
+    """Hashed TF-IDF of the cleaned texts in sparse form: (key, bucket, tf, weight), one row per bucket that a text has.
+
+    A word's bucket is its md5 modulo ``dims``, the weight tf * ln((texts + 1) / (texts with the bucket + 1)). Texts without
+    a word have no rows; keys are distinct. Counts are combined where a text is read, before anything is shuffled.
+    """
+    found = df.select(F.col(key).alias("key"), F.explode(words(clean_text(F.col(text), unicode=unicode))).alias("word"))
+    bucket = F.pmod(hex_number(F.md5(F.col("word")), 1, 8), F.lit(dims)).alias("bucket")
+    counts = found.select("key", bucket).groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("tf"))
+    texts = df.agg(F.count(F.lit(1))).scalar()
+    spread = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("_df"))  # dims rows at most
+    idf = F.log((texts + 1) / (F.col("_df") + 1))
+    return (counts.join(spread, "bucket")
+            .select(F.col("key").alias(key), "bucket", "tf", (F.col("tf") * idf).alias("weight")))

@@ -13,6 +13,9 @@ from tastegrid.functions.vectors import as_doubles
 from tastegrid.operators.ranking import rank_within
 
 
+BATCHES = 64  # batches whose ids one task ranks
+
+
 def bce_loss(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     p, y = clamp_probability(F.col(score)), F.col(label)
     return scored.agg(F.avg(-(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))).alias("bce"))
@@ -27,12 +30,14 @@ def contrastive_alignment(pairs: DataFrame, left: str, right: str, temperature:
                           batch_size: int = 256, id_column: str = "item_id", seed: int = 42) -> DataFrame:
     """(batch_id, rows, loss): symmetric cross-entropy of paired vectors inside seeded mini-batches.
 
-    Batches are cut here, in hash order of the id, so a task never sees more than ``batch_size`` rows.
+    Batches are cut here, by the rank of the id in hash order. Ids alone are ranked, in parts of a few batches; the vectors meet
+    their batch's number afterwards, so no task sees more than ``batch_size`` of them. Ids are distinct and not null.
     """
-    keyed = pairs.select(id_column, as_doubles(F.col(left)).alias("a"), as_doubles(F.col(right)).alias("b"),
-                         hash_key(id_column, seed=seed).alias("_key"))
-    batched = rank_within(keyed, [], "_key", [F.col("_key"), F.col(id_column)]).select(
-        F.floor((F.col("rn") - 1) / batch_size).cast("bigint").alias("batch_id"), "a", "b")
+    ids = pairs.select(F.col(id_column).alias("id"), hash_key(id_column, seed=seed).alias("_key"))
+    ranked = rank_within(ids, [], "_key", [F.col("_key"), F.col("id")], task_rows=BATCHES * batch_size)
+    numbered = ranked.select("id", F.floor((F.col("rn") - 1) / batch_size).cast("bigint").alias("batch_id"))
+    vectors = pairs.select(F.col(id_column).alias("id"), as_doubles(F.col(left)).alias("a"), as_doubles(F.col(right)).alias("b"))
+    batched = numbered.join(vectors, "id").select("batch_id", "a", "b")
 
     def loss(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         sides = []

@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tastegrid.functions.hashing import u01
 
-def assemble_samples(samples: DataFrame, vectors: list[str]) -> DataFrame:
-    """Array columns as ML vectors."""
-    return samples.withColumns({f"_{v}": array_to_vector(F.col(v)) for v in vectors})
 
+def assemble_samples(samples: DataFrame, hashed: Sequence[str], vectors: Sequence[str]) -> DataFrame:
+    """Array columns as ML vectors; hashed columns as text, so that every id is a category of its own."""
+    return samples.withColumns({f"_{v}": array_to_vector(F.col(v)) for v in vectors}
+                               | {f"_{c}": F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in hashed})
 
-def fit_scorer(samples: DataFrame, index_columns: list[str], vector_columns: list[str], kind: str = "fm",
+
+def fit_scorer(samples: DataFrame, hashed: Sequence[str], vectors: Sequence[str], kind: str = "fm", buckets: int = 1 << 14,
                factors: int = 8, iterations: int = 30, step: float = 0.05, reg: float = 1e-4) -> PipelineModel:
-    """Fit on (label, index columns, array columns) with log-loss: factorisation machine or logistic."""
-    hot = [f"_hot_{c}" for c in index_columns]
-    encoder = OneHotEncoder(inputCols=index_columns, outputCols=hot, handleInvalid="keep")
-    assembler = VectorAssembler(inputCols=hot + [f"_{v}" for v in vector_columns], outputCol="_features")
+    """Fit on (label, categories, array columns) with log-loss: factorisation machine or logistic.
+
+    Categories such as users, items and tags are hashed into ``buckets`` places: no dictionary of ids is built, the model's
+    size doesn't grow with them, and ids that come up later have a place too.
+    """
+    hasher = FeatureHasher(inputCols=[f"_{c}" for c in hashed], outputCol="_hashed", numFeatures=buckets)
+    assembler = VectorAssembler(inputCols=["_hashed"] + [f"_{v}" for v in vectors], outputCol="_features")
     if kind == "fm":
         model = FMClassifier(featuresCol="_features", labelCol="label", factorSize=factors, maxIter=iterations,
                              stepSize=step, regParam=reg, solver="adamW", seed=42)
@@ -32,15 +38,22 @@ def fit_scorer(samples: DataFrame, index_columns: list[str], vector_columns: lis
         model = LogisticRegression(featuresCol="_features", labelCol="label", maxIter=iterations, regParam=reg)
     else:
         raise ValueError(f"unknown scorer: {kind}")
-    return Pipeline(stages=[encoder, assembler, model]).fit(assemble_samples(samples, vector_columns))
+    return Pipeline(stages=[hasher, assembler, model]).fit(assemble_samples(samples, hashed, vectors))
 
 
-def apply_scorer(model: PipelineModel, pairs: DataFrame, vector_columns: list[str]) -> DataFrame:
+def apply_scorer(model: PipelineModel, pairs: DataFrame, hashed: Sequence[str], vectors: Sequence[str]) -> DataFrame:
     """Add the click probability as ``score``."""
-    scored = model.transform(assemble_samples(pairs, vector_columns))
+    scored = model.transform(assemble_samples(pairs, hashed, vectors))
     return scored.withColumn("score", vector_to_array("probability")[1]).select(*pairs.columns, "score")
 
 
+def split_samples(samples: DataFrame, share: float = 0.2, key: Sequence[str] = ("user_id", "item_id"), seed: int = 42
+                  ) -> tuple[DataFrame, DataFrame]:
+    """(training rows, held-out rows): a row's side follows from its key, so repeats of a pair stay on one side."""
+    held = u01(*key, seed=seed) < share
+    return samples.filter(~held), samples.filter(held)
+
+
 def batch_scorer(make: Callable[[], Callable[[np.ndarray], np.ndarray]], width: int, batch_size: int = 256
                  ) -> Callable[[Column], Column]:
     """Wrap a numpy model over feature arrays of ``width`` numbers; loaded once per Python worker."""

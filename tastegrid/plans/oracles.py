@@ -375,6 +375,34 @@ def _sampled_pool(**own: str) -> dict[str, str]:
 _KNN_POOL = """SELECT user_id, item_id, coalesce(round(knn.score, 9), 0) AS score FROM pool SEMI JOIN items USING (item_id)
     SEMI JOIN active USING (user_id) LEFT JOIN knn USING (user_id, item_id)"""
 
+_WORDS = r"list_filter(regexp_split_to_array(trim({0}, ' '), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')"
+
+
+def _swapped(rows: str, key: str, text: str, prob: float) -> str:
+    """One pass of neighbour swaps: a place holds the next word where it is swapped, else the word held since the last place that isn't."""
+    draw = _U01.format(f"({key} || '|' || i)")
+    return f"""WITH t AS ({rows}), w AS (SELECT {key}, {_WORDS.format(text)} AS w FROM t),
+        p AS (SELECT {key}, w, unnest(range(0, len(w))) AS i FROM w), s AS (SELECT *, i < len(w) - 1 AND {draw} < {prob} AS swap FROM p),
+        h AS (SELECT *, coalesce(max(CASE WHEN NOT swap THEN i + 1 END) OVER (PARTITION BY {key} ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM s)
+        SELECT {key}, coalesce(string_agg(CASE WHEN swap THEN w[i + 2] ELSE w[held + 1] END, ' ' ORDER BY i), '') AS augmented
+        FROM t LEFT JOIN h USING ({key}) GROUP BY {key}"""
+
+
+# Mini-batches of 64 vectors in hash order of their ids, each with a mixed copy: symmetric cross-entropy at temperature 0.1.
+_BATCHES = {
+    "pairs": "SELECT item_id, v AS a, list_transform(v, lambda x, i: x + v[i % len(v) + 1] * 0.5::DOUBLE) AS b FROM vectors",
+    "batched": f"""SELECT *, (row_number() OVER (ORDER BY {_KEY.format('item_id')}, item_id) - 1) // 64 AS batch_id,
+        greatest(sqrt(list_dot_product(a, a)), 1e-12) AS na, greatest(sqrt(list_dot_product(b, b)), 1e-12) AS nb FROM pairs""",
+    "logits": """SELECT x.batch_id, x.item_id AS i, y.item_id AS j, list_dot_product(x.a, y.b) / (x.na * y.nb) / 0.1::DOUBLE AS l
+        FROM batched x JOIN batched y USING (batch_id)""",
+    "sides": """SELECT batch_id, i, ln(sum(exp(l - 10))) + 10 - max(l) FILTER (i = j) AS loss FROM logits GROUP BY ALL UNION ALL
+        SELECT batch_id, j, ln(sum(exp(l - 10))) + 10 - max(l) FILTER (i = j) FROM logits GROUP BY ALL""",
+    "batches": "SELECT batch_id, count(*) // 2 AS rows, avg(loss) AS loss FROM sides GROUP BY 1",
+}
+_BCE = """SELECT avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS bce
+    FROM (SELECT label, least(greatest(score, 1e-7), 1 - 1e-7) AS p FROM labelled)"""
+
 _PER_USER = f"row_number() OVER (PARTITION BY user_id ORDER BY {_KEY.format('row_id')}, row_id)"
 _TRAIN_ROWS = "least(greatest(1, floor(count(*) OVER (PARTITION BY user_id) * 0.8::DOUBLE)), count(*) OVER (PARTITION BY user_id) - 1)"
 _RETRIEVAL = """SELECT round(avg(p), 6) AS avg_precision_at_k, round(avg(r), 6) AS avg_recall_at_k,
@@ -604,8 +632,28 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (score > 0.5 AND label = 1) AS tp, count(*) FILTER (score > 0.5 AND label <> 1) AS fp,
         count(*) FILTER (score <= 0.5 AND label = 1) AS fn, count(*) FILTER (score <= 0.5 AND label <> 1) AS tn FROM labelled)""",
         "labelled"),
-    "bce_loss": _sql("""SELECT round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS bce
-        FROM (SELECT label, least(greatest(score, 1e-7), 1 - 1e-7) AS p FROM labelled)""", "labelled"),
+    "roc_auc": _sql("""SELECT round((sum(r) FILTER (label = 1) - p * (p + 1) / 2) / (p * n), 6) AS auc FROM (SELECT label,
+        rank() OVER (ORDER BY round(score, 2)) + (count(*) OVER (PARTITION BY round(score, 2)) - 1) / 2 AS r FROM labelled),
+        (SELECT count(*) FILTER (label = 1)::DOUBLE AS p, count(*) FILTER (label <> 1)::DOUBLE AS n FROM labelled) GROUP BY p, n""",
+        "labelled"),
+    "bce_loss": _sql(f"SELECT round(bce, 6) AS bce FROM ({_BCE})", "labelled"),
+    "contrastive_alignment": _sql("SELECT batch_id, rows, round(loss, 6) AS loss FROM batches", "vectors", **_BATCHES),
+    "total_loss": _sql(f"""SELECT round(bce, 6) AS bce, round(contrastive, 6) AS contrastive, round(bce + contrastive * 0.1, 6) AS total
+        FROM ({_BCE}), (SELECT avg(loss) AS contrastive FROM batches)""", "labelled", "vectors", **_BATCHES),
+    "augment_delete": f"""SELECT doc_id, coalesce(array_to_string(list_filter({_WORDS.format("text")}, lambda w, i:
+        {_U01.format("(doc_id || '|' || (i - 1))")} > 0.2), ' '), '') AS augmented FROM documents""",
+    "augment_swap": _sql(_swapped("SELECT item_id, concat_ws(' ', title, tag, category) AS text FROM items", "item_id", "text", 0.5)
+                         .replace("WITH t", ", t", 1), "items"),
+    "augment_swap_documents": _swapped("SELECT doc_id, text FROM documents", "doc_id", "text", 0.2),
+    "text_tfidf": f"""WITH f AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 512 AS bucket FROM
+        (SELECT doc_id, unnest({_WORDS.format(_CLEAN_TEXT.format("text"))}) AS word FROM documents)),
+        c AS (SELECT doc_id, bucket, count(*) AS tf FROM f GROUP BY ALL), d AS (SELECT bucket, count(*) AS df FROM c GROUP BY 1),
+        w AS (SELECT doc_id, tf, tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS weight FROM c JOIN d USING (bucket))
+        SELECT doc_id, count(*) FILTER (weight <> 0) AS terms, coalesce(sum(tf), 0)::BIGINT AS words,
+        round(coalesce(sum(weight), 0), 6) AS weight FROM documents LEFT JOIN w USING (doc_id) GROUP BY doc_id""",
+    "unseen_candidates": _sql("SELECT user_id, item_id FROM drawn ANTI JOIN (SELECT DISTINCT user_id, item_id FROM history) "
+        "USING (user_id, item_id)", "test", "history", "items",
+        **_reordered(_walk("SELECT DISTINCT user_id, 50 AS m FROM test", "SELECT user_id, item_id FROM history WHERE false"))),
     "eval_ranking": _sql("SELECT " + ", ".join(f"round(avg({c}), 6) AS avg_{c}, round(stddev_pop({c}), 6) AS std_{c}" for c in (
         "avg_rank", "median_rank", "mrr", "hit_rate_at_k", "ndcg_at_k")) + ", count(*) AS num_users_evaluated FROM per", "clicks",
         h=f"""SELECT *, row_number() OVER (ORDER BY timestamp, {_KEY.format('row_id')}) > floor(count(*) OVER () * 0.8::DOUBLE)

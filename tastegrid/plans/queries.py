@@ -306,9 +306,10 @@ def _(v):
 
 @query("text_tfidf")
 def _(v):
-    out = features.text_tfidf(v.documents.select("doc_id", "text"), "text", 512)
-    return out.select("doc_id", F.size(F.filter("tfidf", lambda x: x != 0)).alias("terms"),
-                      F.aggregate("tfidf", F.lit(0.0), lambda a, x: a + x).alias("weight"))
+    docs = v.documents.select("doc_id", "text")
+    sums = features.text_tfidf(docs, "doc_id", "text", 512, unicode=False).groupBy("doc_id").agg(
+        F.count_if(F.col("weight") != 0).alias("terms"), F.sum("tf").alias("words"), F.sum("weight").alias("weight"))
+    return docs.select("doc_id").join(sums, "doc_id", "left").fillna(0, ["terms", "words", "weight"])
 
 
 @query("fused_features")
@@ -824,18 +825,23 @@ def _(v):
 
 @query("fit_scorer")
 def _(v):
-    """Click scorer on purchases and sampled negatives, judged on the same table."""
+    """Click scorer on clicks and sampled negatives, judged on held-out pairs."""
     items = v.items
     tags = encoding.fit_labels(items, "tag")
     table = features.item_features(items, items.withColumn("text", F.lit("")), NUMERIC, tags,
                                    encoding.fit_scaler(items, NUMERIC), "standardization")
-    samples = sampling.train_samples(v.clicks, v.items, 0.5).select("user_id", "item_id", F.col("label").cast("double").alias("label"))
-    users = encoding.fit_labels(v.clicks, "user_id")
-    rows = cut(encoding.encode(samples, "user_id", users, "user_idx").join(table.select("item_id", "numeric", "tag_idx"), "item_id")
-               .withColumns({c: F.col(c).cast("double") for c in ("user_idx", "tag_idx")}))
-    model = scorer.fit_scorer(rows, ["user_idx", "tag_idx"], ["numeric"], factors=4, iterations=10)
-    scored = scorer.apply_scorer(model, rows, ["numeric"])
-    return accuracy.binary_metrics(scored)
+    samples = sampling.train_samples(v.clicks, items, 0.5).select("user_id", "item_id", F.col("label").cast("double").alias("label"))
+    rows = cut(samples.join(table.select("item_id", "numeric", "tag_idx"), "item_id"))
+    hashed, vectors = ["user_id", "item_id", "tag_idx"], ["numeric"]
+    train, held = scorer.split_samples(rows)
+    scored = cut(scorer.apply_scorer(scorer.fit_scorer(train, hashed, vectors, factors=4, iterations=15), held, hashed, vectors))
+    return accuracy.binary_metrics(scored).withColumn("auc", accuracy.roc_auc(scored).scalar())
+
+
+@query("roc_auc")
+def _(v):
+    scores = v.labelled_scores
+    return accuracy.roc_auc(scores.withColumn("score", F.round("score", 2)))
 
 
 @query("binary_metrics")

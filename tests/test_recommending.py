@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastegrid.operators import accuracy, fairness, losses, novelty
+from tastegrid.operators import accuracy, fairness, losses, novelty, scorer
 from tastegrid.operators import recommend as rec
 from tastegrid.plans import evaluate
 
@@ -174,3 +174,39 @@ def test_losses(spark):
 def test_binary_metrics(spark):
     df = table(spark, [(1, 0.9), (1, 0.2), (0, 0.7), (0, 0.1)], "label int, score double")
     assert tuple(accuracy.binary_metrics(df).first()) == (0.5, 0.5, 0.5, 0.5)
+
+
+def test_auc_equals_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(y), round(float(x), 1)) for y, x in zip(rng.integers(0, 2, 90), rng.random(90))] + [(1, None)]
+    wins = [(a > b) + (a == b) / 2 for y, a in rows[:-1] if y for z, b in rows[:-1] if not z]
+    assert accuracy.roc_auc(table(spark, rows, "label int, score double")).first().auc == pytest.approx(sum(wins) / len(wins))
+    assert accuracy.roc_auc(table(spark, [(1, 0.5)], "label int, score double")).first().auc == 0.5
+    assert accuracy.roc_auc(table(spark, [], "label int, score double")).first().auc == 0.5
+
+
+def test_scorer_finds_a_planted_signal_in_held_out_pairs(spark):
+    """Users like items of their own colour: seen in held-out pairs, unknown users included."""
+    rows = [(f"u{u}", f"i{i}", float((u + i) % 2 == 0), [float(u % 2 * 2 - 1) * float(i % 2 * 2 - 1), 1.0]) for u in range(40) for i in range(30)]
+    samples = table(spark, rows, "user_id string, item_id string, label double, x array<double>")
+    train, held = scorer.split_samples(samples)
+    assert 150 < held.count() < 330 and train.count() + held.count() == 1_200
+    assert not held.join(train, ["user_id", "item_id"]).count()
+    for kind in ("fm", "logistic"):
+        model = scorer.fit_scorer(train, ["user_id", "item_id"], ["x"], kind, buckets=256, factors=2, iterations=25)
+        scored = scorer.apply_scorer(model, held.withColumn("user_id", F.when(F.col("user_id") == "u3", "new").otherwise(F.col("user_id"))),
+                                     ["user_id", "item_id"], ["x"])
+        assert accuracy.roc_auc(scored).first().auc > 0.9
+    with pytest.raises(ValueError):
+        scorer.fit_scorer(train, ["user_id"], ["x"], "absent")
+
+
+def test_batches_do_not_depend_on_the_parts_that_rank_them(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(f"i{n}", [float(x) for x in rng.normal(size=4)], [float(x) for x in rng.normal(size=4)]) for n in range(70)]
+    df = table(spark, rows, "item_id string, a array<double>, b array<double>")
+    run = lambda: {r.batch_id: (r.rows, round(r.loss, 9)) for r in losses.contrastive_alignment(df, "a", "b", 0.1, 8).collect()}
+    whole = run()
+    assert [n for n, _ in (whole[b] for b in sorted(whole))] == [8] * 8 + [6]
+    monkeypatch.setattr(losses, "BATCHES", 1)
+    assert run() == whole
