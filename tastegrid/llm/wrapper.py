@@ -1,20 +1,29 @@
 """Main text of web pages by wrapper induction.
 
-Every page becomes a DOM tree; neighbouring siblings of one label count as one repeated node. Trees of the same host are
-aligned by simple tree matching into one template per host, in every task first and then between tasks: a template node knows
-on which pages it occurred and whether its own text was the same on all of them. Nodes with constant text are template, and
-so is a block among like siblings whose text stands on at least half of the host's pages that have such blocks; in both cases
-on ``SUPPORT`` distinct pages or more. Varying slots are content, inside an article element or not, apart from those whose tag
-or class names them as something else (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). A class or id does so if all of its words are such names: ``cookie-notice``
-but not ``content-with-sidebar``. Never dropped by name are the body, an article or main element, what holds the page's main
+Every page becomes a DOM tree; neighbouring siblings of one label and kind count as one repeated node. A label is the tag with
+its class and id names, without those that hold a digit, as they number pages. Trees of the same host are aligned by simple
+tree matching into one template per host, in every task first and then between tasks. A template node knows on how many pages
+it occurred, whether its own text was the same on all of them, and how much text it had inside and outside links.
+
+The template decides, from ``SUPPORT`` distinct pages on:
+
+* Constant text is template, and so is a block among like siblings whose text stands on at least half of the host's pages with
+  such blocks. Headings of an article stay though they are constant, as their sections vary.
+* The way from the root to the node with most varying text outside links leads to the main content. Containers beside that way
+  go if most of their text is linked or if they hold little text, unless they have the main heading.
+
+Tags, roles and names of classes and ids that say menu, header, footer, sidebar, notice, advert, form or reader comments come
+before it, on hosts of few pages too: a part goes if all words of a name are listed, or if one is and it holds little of the
+page's text (``PARTLY_NAMED``). Never dropped by name are the body, an article or main element, what holds the page's main
 element, first heading or article (a form around the page), and headers inside an article.
 
 Copies of an article may stand on one host many times under other adverts and menus: pages count as one if they have the same
 text in their root, which is the article or main element that holds most of the text outside named parts, else the whole page.
 
-All pages take part in their host's template. A template is as large as the union of its pages' skeletons, whose repeated
-nodes count once; at most ``TEMPLATES`` are held by a task before they are handed on. Partial templates of a host are merged
-in two steps, so a host with most of all pages isn't merged in one task.
+All pages take part in their host's template; they are parsed twice, to build it and to apply it. A template holds ``NODES``
+nodes at most: beyond that those seen on the fewest pages go, and what they would have decided stays content. A task holds
+``TEMPLATES`` of them before they are handed on. Partial templates of a host are merged in two steps, so a host with most of
+all pages isn't merged in one task.
 
 Defined cases: a null html gives the empty text; a null or broken url is the host ``''``; a page without markup is one block;
 an unfinished tag at the end is dropped and an unfinished comment, script or style runs to the end; repeated rows are
@@ -39,6 +48,11 @@ from tastegrid.llm.common import column, finish, store, stored
 SUPPORT = 3           # pages on which a text must stand unchanged to be template
 TEMPLATES = 5_000     # hosts whose templates a task holds at a time
 SALT = 64
+NODES = 2_000         # nodes of a template; beyond that, those seen on the fewest pages go
+LABEL_NAMES = 4       # the tag and so many of a node's names make its label
+MAIN = 0.6            # share of a node's text that makes one of its children the way to the main content
+MINOR = 0.1           # parts beside that way with less than this share of the main content's text are none of it
+PARTLY_NAMED = 0.3    # parts with one listed word in a name go if they hold less than this share of the page's text
 DEPTH = 120           # elements nested deeper add their text to the one at this depth
 BROADCAST_HOSTS = 2_000
 BROADCAST_BYTES = 8 << 20
@@ -64,18 +78,24 @@ OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising banner
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+ARTICLE = re.compile(r"/(?:article|main)[./]")
+DIGIT = re.compile(r"\d")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption summary figcaption".split())
+PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 figure".split())
 HOST = r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Node:
-    __slots__ = ("tag", "label", "top", "other", "kids")
+    __slots__ = ("tag", "label", "top", "other", "maybe", "kids")
 
     def __init__(self, tag: str, attributes: str = ""):
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
         names = sorted({*found.get("class", "").split(), *found.get("id", "").split()})
         self.tag = tag
-        self.label = ".".join([tag, *names])
-        named = [words for n in names if (words := {*re.split(r"[-_\d]+", n.lower())} - {""}) and words <= OTHER_NAMES]
+        self.label = ".".join([tag, *(n for n in names if not DIGIT.search(n))][:LABEL_NAMES])  # numbered names differ by page
+        words_of = [{*re.split(r"[-_\d]+", n.lower())} - {""} for n in names]
+        named = [words for words in words_of if words and words <= OTHER_NAMES]
+        self.maybe = any(words & OTHER_NAMES for words in words_of)
         self.top = any(words <= HEADERS for words in named) or found.get("role", "") == "banner" or tag == "header"
         self.other = tag in OTHER_TAGS or bool(named) or found.get("role", "") in OTHER_ROLES
         self.kids: list = []
@@ -163,11 +183,12 @@ def _settle(root: Node) -> None:
                 walk(kid, above, inside, top)
 
     walk(root, [], False, False)
-    for tag in ("main", "h1", "article"):
-        if tag in found:
-            for node in found[tag]:
-                node.other = False
-            return
+    way: list[Node] = next((found[tag] for tag in ("main", "h1", "article") if tag in found), [])
+    for node in way:
+        node.other = False
+    _name_parts(root, {id(n) for n in way})
+    if way:
+        return
     node = root  # without any of them, a part that holds all text
     while True:
         kids = [k for k in node.kids if (k if isinstance(k, str) else "" if k.tag in ASIDE else _inner(k)).strip()]
@@ -178,14 +199,39 @@ def _settle(root: Node) -> None:
             node.other = False
 
 
+def _name_parts(root: Node, way: set[int]) -> None:
+    """Parts of which one word in a name is listed go too, if they hold little of the page's text and not its main part."""
+    sizes: dict[int, int] = {}
+
+    def measure(node: Node) -> int:
+        size = sum(len(k.strip()) if isinstance(k, str) else measure(k) for k in node.kids)
+        sizes[id(node)] = 0 if node.other else size
+        return sizes[id(node)]
+
+    whole = measure(root)
+
+    def walk(node: Node) -> None:
+        for kid in node.kids:
+            if not isinstance(kid, str) and not kid.other:
+                if (kid.maybe and kid.tag in BLOCK and kid.tag not in ("html", "body", "main", "article") and kid.tag not in HEADINGS
+                        and id(kid) not in way and not kid.top and sizes[id(kid)] < PARTLY_NAMED * whole):
+                    kid.other = True
+                else:
+                    walk(kid)
+
+    walk(root)
+
+
 class Shape:
-    """A node of a page's skeleton: one or more like siblings."""
+    """A node of a page's skeleton: one or more like siblings. ``free`` and ``linked`` count its own characters outside and
+    inside links, both zero in parts that are named as something else."""
 
-    __slots__ = ("label", "text", "kids", "nodes", "owns")
+    __slots__ = ("label", "text", "kids", "nodes", "owns", "free", "linked")
 
-    def __init__(self, nodes: list[Node]):
+    def __init__(self, nodes: list[Node], named: bool = False):
         self.nodes, self.label = nodes, nodes[0].label
-        self.text = 0
+        self.text = self.free = self.linked = 0
+        named = named or nodes[0].other
         self.owns: list[str] = []  # the own text of each node
         kids: list[list[Node]] = []
         for node in nodes:
@@ -194,16 +240,34 @@ class Shape:
                 if isinstance(kid, str):
                     own.append(kid)
                 elif kid.tag in BLOCK or kid.other:
-                    if kids and kids[-1][0].label == kid.label:
+                    if kids and kids[-1][0].label == kid.label and _alike(kids[-1][0], kid):
                         kids[-1].append(kid)
                     else:
                         kids.append([kid])
                 else:  # inline elements belong to the text around them
                     own.append(_inner(kid))
+                    self.linked += 0 if named else _linked(kid)
             self.owns.append(" ".join("".join(own).split()))
+            self.free += 0 if named else len(self.owns[-1])
             if self.owns[-1]:
                 self.text = zlib.crc32(self.owns[-1].encode("utf-8", "surrogatepass"), self.text)
-        self.kids = [Shape(k) for k in kids]
+        self.free = max(0, self.free - self.linked)
+        self.kids = [Shape(k, named) for k in kids]
+
+
+def _alike(a: Node, b: Node) -> bool:
+    """Whether neighbours of one label are the same kind of part: plain containers must hold the same kinds of children."""
+    if a.tag not in ("div", "section") or "." in a.label:
+        return True
+    kinds = lambda node: {k.tag for k in node.kids if not isinstance(k, str)}
+    return kinds(a) == kinds(b)
+
+
+def _linked(node: Node) -> int:
+    """Characters inside links."""
+    if node.tag == "a":
+        return len(_inner(node).strip())
+    return sum(_linked(k) for k in node.kids if not isinstance(k, str))
 
 
 def _inner(node: Node) -> str:
@@ -236,8 +300,10 @@ def identity(root: Node) -> int:
 
 
 def template(shape: Shape, page: int = 0) -> dict:
-    """A page's template; "n" are the least identities of the pages, at most ``SUPPORT``."""
-    return {"l": shape.label, "n": [page], "t": shape.text, "k": [template(k, page) for k in shape.kids]}
+    """A page's template: label, least identities of its pages ("n", at most ``SUPPORT``), number of pages, hash of the own text
+    (null once it varies), free and linked characters on all pages, children."""
+    return {"l": shape.label, "n": [page], "p": 1, "t": shape.text, "c": shape.free, "a": shape.linked,
+            "k": [template(k, page) for k in shape.kids]}
 
 
 def blocks_of(shape: Shape, path: str = "") -> Iterator[tuple[str, str, Node]]:
@@ -303,18 +369,84 @@ def merge(into: dict, other: dict) -> dict:
     for i, j in aligned(into["k"], other["k"]):
         kids.append(into["k"][i] if j is None else other["k"][j] if i is None else merge(into["k"][i], other["k"][j]))
     same = into["t"] if into["t"] == other["t"] else None
-    return {"l": into["l"], "n": sorted({*into["n"], *other["n"]})[:SUPPORT], "t": same, "k": kids}
-
-
-def constant(shape: Shape, known: dict | None, out: set[int]) -> None:
-    """Collect the nodes of a page that are template by its host's template."""
+    return {"l": into["l"], "n": sorted({*into["n"], *other["n"]})[:SUPPORT], "p": into["p"] + other["p"], "t": same,
+            "c": into["c"] + other["c"], "a": into["a"] + other["a"], "k": kids}
+
+
+def bounded(t: dict) -> dict:
+    """The template with ``NODES`` nodes at most: those on the fewest pages go first, with what is below them."""
+    support: list[int] = []
+
+    def walk(node: dict) -> None:
+        support.append(node["p"])
+        for kid in node["k"]:
+            walk(kid)
+
+    walk(t)
+    if len(support) <= NODES:
+        return t
+    least = sorted(support, reverse=True)[NODES // 2]  # half, so that pruning is rare
+
+    def prune(node: dict) -> dict:
+        return {**node, "k": [prune(k) for k in node["k"] if k["p"] > least]}
+
+    return prune(t)
+
+
+def judge(t: dict) -> dict:
+    """Mark ("x") the parts of a host's template that stand beside its main content.
+
+    The way to the main content leads from the root to the child with most of the varying text outside links, down to the
+    article or main element or the node that holds the prose. Containers beside the way are no part of it if most of their
+    text is linked or they hold little text, on the average page. Parts with a main heading stay, and so does all where no way
+    shows.
+    """
+    def weight(node: dict) -> tuple[int, int]:
+        fixed = len(node["n"]) >= SUPPORT and node["t"] is not None
+        free, linked = (0, 0) if fixed else (node["c"], node["a"])
+        for kid in node["k"]:
+            f, a = weight(kid)
+            free, linked = free + f, linked + a
+        node["w"] = free, linked
+        return free, linked
+
+    tag = lambda node: node["l"].split(".")[0]
+    headed = lambda node: tag(node) == "h1" or any(headed(k) for k in node["k"])
+    weight(t)
+    way, node = [], t
+    while tag(node) not in ("article", "main"):
+        prose = sum(k["w"][0] for k in node["k"] if tag(k) in PROSE)
+        best = max(node["k"], key=lambda k: k["w"][0], default=None)
+        if best is None or 2 * prose >= node["w"][0] or best["w"][0] < MAIN * node["w"][0]:
+            break
+        way.append((node, best))
+        node = best
+    if len(node["n"]) >= SUPPORT:
+        usual = node["w"][0] / node["p"]
+        for above, on in way:
+            for kid in above["k"]:
+                free, linked = kid["w"]
+                if (kid is not on and len(kid["n"]) >= SUPPORT and tag(kid) in BLOCK and tag(kid) not in PROSE and not headed(kid)
+                        and (linked > free or free / kid["p"] < MINOR * usual)):
+                    kid["x"] = 1
+    return t
+
+
+def constant(shape: Shape, known: dict | None, out: set[int], beside: set[int], inside: bool = False) -> None:
+    """Collect the nodes of a page that are template by its host's template, and those that stand beside its main content.
+
+    A constant heading inside an article isn't template: its section varies.
+    """
     if known is None:
         return
-    if len(known["n"]) >= SUPPORT and known["t"] is not None and shape.text:
+    inside = inside or shape.nodes[0].tag in ("article", "main")
+    if known.get("x"):
+        beside.update(map(id, shape.nodes))
+    if len(known["n"]) >= SUPPORT and known["t"] is not None and shape.text and not (inside and shape.nodes[0].tag in HEADINGS):
         out.update(map(id, shape.nodes))
     for i, j in aligned(shape.kids, known["k"]):
         if i is not None:
-            constant(shape.kids[i], known["k"][j] if j is not None else None, out)
+            constant(shape.kids[i], known["k"][j] if j is not None else None, out, beside, inside)
 
 
 def extract(page: str, known: dict | None, repeated: frozenset = frozenset()) -> str:
@@ -322,9 +454,11 @@ def extract(page: str, known: dict | None, repeated: frozenset = frozenset()) ->
     root = parse(page)
     shape = Shape([root])
     fixed: set[int] = set()
-    constant(shape, known, fixed)
+    beside: set[int] = set()
+    constant(shape, known, fixed, beside)
     if repeated:
-        fixed.update(id(node) for path, own, node in blocks_of(shape) if hashed(path, own) in repeated)
+        fixed.update(id(node) for path, own, node in blocks_of(shape)
+                     if hashed(path, own) in repeated and not (node.tag in HEADINGS and ARTICLE.search(path)))
     blocks: list[str] = []
     pieces: list[str] = []
 
@@ -336,7 +470,7 @@ def extract(page: str, known: dict | None, repeated: frozenset = frozenset()) ->
 
     def walk(node: Node, inside: bool, above: bool) -> None:
         inside = inside or node.tag in ("article", "main")
-        if node.other or node.tag == "header" and not inside:
+        if node.other or id(node) in beside or node.tag == "header" and not inside:
             close()
             return
         block = node.tag in BLOCK
@@ -364,43 +498,41 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, template) of a task's pages; a host may come more than once."""
+FIRST = "host string, template string, slot bigint, block bigint, page bigint"
+
+
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What one look at a task's pages yields: templates (host, template), a host perhaps several times, and of each page's text
+    blocks (host, slot, block, page); block is null once for each slot."""
     held: dict[str, dict] = {}
+    kinds = (pa.string(), pa.string(), *[pa.int64()] * 3)
+    names = ["host", "template", "slot", "block", "page"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], names=names)
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(t) for t in held.values()])],
-                                         names=["host", "template"])
+        out = batch_of([(host, json.dumps(t), None, None, None) for host, t in held.items()])
         held.clear()
         return out
 
     for batch in batches:
+        rows: dict[tuple, None] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             root = parse(page.as_py() or "")
-            new = template(Shape([root]), identity(root))
-            held[host] = merge(held[host], new) if host in held else new
+            shape, same = Shape([root]), identity(root)
+            new = template(shape, same)
+            held[host] = bounded(merge(held[host], new)) if host in held else bounded(new)
+            for path, own, _ in blocks_of(shape):
+                slot = hashed(path)
+                rows[host, None, slot, None, same] = rows[host, None, slot, hashed(path, own), same] = None
             if len(held) >= TEMPLATES:
                 yield flush()
+        yield batch_of(list(rows))
     if held:
         yield flush()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, slot, block, page) of each text block of a page; block is null once for each slot."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            root = parse(page.as_py() or "")
-            same, found = identity(root), set()
-            for path, own, _ in blocks_of(Shape([root])):
-                slot = hashed(path)
-                found |= {(slot, None), (slot, hashed(path, own))}
-            rows += [(host, slot, block, same) for slot, block in found]
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3))],
-                                         names=["host", "slot", "block", "page"])
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One template for each run of rows of one host."""
     host, held = None, None
@@ -409,7 +541,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             new = json.loads(text.as_py())
             if name == host:
-                held = merge(held, new)
+                held = bounded(merge(held, new))
             else:
                 if held is not None:
                     out.append((host, json.dumps(held)))
@@ -430,27 +562,31 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(known) >= TEMPLATES:
                     known.clear()
                     repeated.clear()
-                known[host] = json.loads(text.as_py()) if text.is_valid else None
+                known[host] = judge(json.loads(text.as_py())) if text.is_valid else None
                 repeated[host] = frozenset(texts_of.as_py() or ())
             texts.append(extract(page.as_py() or "", known[host], repeated[host]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                          names=["key", "url", "text"])
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def first_look(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Partial templates and hashed text blocks of all pages, parsed once and stored."""
+    rows = pages.select(host_of(column(url).cast("string")).alias("host"), column(html).cast("string").alias("html"))
+    return store(rows.mapInArrow(_first, FIRST), "looked")
+
+
+def templates(looked: DataFrame) -> DataFrame:
     """(host, template) with one row per host, from all of its pages."""
     kind = "host string, template string"
-    rows = pages.select(host_of(column(url).cast("string")).alias("host"), column(html).cast("string").alias("html"))
-    parts = rows.mapInArrow(_partial, kind).withColumn("salt", F.spark_partition_id() % SALT)
+    parts = looked.filter("template is not null").select("host", "template").withColumn("salt", F.spark_partition_id() % SALT)
     parts = parts.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "template")
     parts = store(parts.mapInArrow(_merged, kind), "parts")
     return parts.repartition("host").sortWithinPartitions("host").mapInArrow(_merged, kind)
 
 
-def repeated_blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def repeated_blocks(looked: DataFrame) -> DataFrame:
     """(host, repeated): texts, each with its path, on ``SUPPORT`` distinct pages and on half of those with that path."""
-    rows = pages.select(host_of(column(url).cast("string")).alias("host"), column(html).cast("string").alias("html"))
-    found = rows.mapInArrow(_blocks, "host string, slot bigint, block bigint, page bigint").dropDuplicates()
+    found = looked.filter("template is null").select("host", "slot", "block", "page").dropDuplicates()
     found = store(found.groupBy("host", "slot", "block").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT), "blocks")
     slots = found.filter("block is null").select("host", "slot", F.col("n").alias("whole"))
     often = found.filter("block is not null").join(slots, ["host", "slot"]).filter("2 * n >= whole")
@@ -460,7 +596,8 @@ def repeated_blocks(pages: DataFrame, url: str = "url", html: str = "html") -> D
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text) per row of ``pages``."""
     mark = stored()
-    known = templates(pages, url, html).join(repeated_blocks(pages, url, html), "host", "left")
+    looked = first_look(pages, url, html)
+    known = templates(looked).join(repeated_blocks(looked), "host", "left")
     known = finish(known, "templates", mark)
     size_of = F.octet_length("template") + F.coalesce(8 * F.size("repeated"), F.lit(0))
     hosts, size = known.agg(F.count("*"), F.coalesce(F.sum(size_of), F.lit(0))).first()

@@ -97,3 +97,52 @@ def test_names_do_not_drop_the_main_content():
 def test_formulas_and_object_texts_stay():
     page = "<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds</p><object data=x><p>instead</p></object>"
     assert wrapper.extract(page, None) == "So a=1 holds\ninstead"
+
+
+NAMED = ("nav-primary", "cookie-bar", "site-footer", "adsbygoogle-box ad", "related-posts", "user-comments", "comment-list", "disqus_thread")
+
+
+def test_parts_with_one_listed_word_in_a_name_go():
+    story = "<h1>Head</h1>" + "<p>A long enough paragraph of the story.</p>" * 9
+    for name in NAMED:
+        page = f'<body><div class="{name}"><p>Other words</p></div><div class="content-with-sidebar">{story}</div></body>'
+        assert wrapper.extract(page, None).split("\n") == ["Head"] + ["A long enough paragraph of the story."] * 9, name
+
+
+def site(i, extra=""):
+    """Nothing named: a menu of links, an advert and comments that vary, a story in plain divisions, per-page ids and classes."""
+    links = "".join(f'<li><a href="/{k}">Link {k * i}</a></li>' for k in range(6))
+    story = "".join(f"<p>Paragraph {k} of story {i} has a good many words in it, as stories have.</p>" for k in range(8 + i % 5))
+    return (f'<body class="postid-{i} b"><div id="m{i}"><ul>{links}</ul></div><div><h1>Title {i}</h1><div class="post-{i} x" id="post-{i}">'
+            f"<h2>Ingredients</h2>{story}</div></div><div>Buy {i} now</div><div><p>Reader {i} says hm</p></div>{extra}</body>")
+
+
+def test_the_template_decides_where_nothing_is_named(spark, monkeypatch):
+    for name in ("OTHER_TAGS", "OTHER_NAMES", "OTHER_ROLES", "HEADERS"):
+        monkeypatch.setattr(wrapper, name, frozenset())
+    for i, text in enumerate(extracted(spark, [site(i) for i in range(8)])):
+        lines = text.split("\n")
+        assert lines[0] == f"Title {i}" and len(lines) in (9 + i % 5, 10 + i % 5) and all("story" in x for x in lines[-(8 + i % 5):])
+
+
+def test_headings_of_articles_stay_though_they_are_the_same_on_all_pages(spark):
+    pages = [f"<body><nav>m</nav><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>Take {i} eggs</p><h2>Steps</h2><p>Boil {i} min</p>"
+             f"</article><div><h2>Contact</h2></div></body>" for i in range(6)]
+    assert extracted(spark, pages) == [f"Dish {i}\nIngredients\nTake {i} eggs\nSteps\nBoil {i} min" for i in range(6)]
+
+
+def test_templates_stay_small_and_the_time_linear():
+    import time
+
+    def build(n, slugs):
+        held, start = None, time.process_time()
+        for i in range(n):
+            extra = "".join(f'<div id="{"abcdefghij"[k]}{"".join("ghijklmnop"[int(c)] for c in str(i))}">t</div>' for k in range(3)) if slugs else ""
+            new = wrapper.template(wrapper.Shape([wrapper.parse(site(i, extra))]), i)
+            held = wrapper.bounded(wrapper.merge(held, new) if held else new)
+        return len(wrapper.json.dumps(held)), time.process_time() - start
+
+    (small, _), (large, took) = build(300, False), build(10_000, False)
+    assert large < 1.5 * small and took < 120
+    size, _ = build(1_500, True)  # ids without a digit, all different: pruned by support
+    assert size < 150 * wrapper.NODES
