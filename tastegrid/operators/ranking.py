@@ -3,18 +3,19 @@
 * ``top_k``          k best rows per group; Spark prunes to k rows per map task before the shuffle.
 * ``rank_within``    exact rank in a group of any size: a group above ``task_rows`` is cut into
                      buckets along its order, each ranked alone and shifted by the rows before it.
-* ``nth_key``        key of the n-th row in a global order by narrowing histograms: the rows
-                     themselves are never moved.
+* ``nth_key``        key of the n-th row in a global order in two looks at the rows, of which only a
+                     narrow bracket is moved.
 * ``bucketed_sum``   running total in a group of any size, bucket by bucket.
 * ``dense_index``    0..n-1 numbering by a global order, from one range-partitioned sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tastegrid.session import cut
@@ -95,35 +96,40 @@ def rank_within(df: DataFrame, group: Sequence[str], key: str, order: Sequence[C
             .drop("_bucket", "_size", "_digits", "_all"))
 
 
-def nth_key(df: DataFrame, levels: Sequence[Column], key: Sequence[Column], n: int,
-            final_rows: int | None = None) -> tuple | None:
-    """Values of ``key`` in the n-th row (1-based) of the order ``key``; None when n is 0 or less.
+SKETCH = 10_000  # relative accuracy of the sketch that brackets a position
 
-    Each of ``levels`` is a coarse, bounded-size view of the order (day, minute, hash prefix ...),
-    rising with ``key`` inside the level before it. A level is counted, the value holding position
-    n is kept, and the next level looks only at the rows with that value, until few enough rows
-    remain to sort. Only one row per level reaches the driver.
+
+def nth_key(df: DataFrame, x: Column, key: Sequence[Column], share: float, position: Callable[[int], int],
+            sketch: int = SKETCH) -> tuple[int, tuple | None]:
+    """(rows, key of the row at ``position(rows)``) in the order ``key``, counted from 1; no key where the position is 0 or less.
+
+    ``x`` is a number that never falls along the order, such as the time; ``share`` says about where the position lies. Two looks
+    at the rows: one for their count and a quantile sketch of ``x`` (mergeable, of bounded size), whose error gives a bracket
+    around the position; one that counts the rows below the bracket and stores the keys inside it, about 4 / ``sketch`` of all
+    and the ties at its ends. Those alone are sorted, over all tasks. Only a count, two numbers and one key reach the driver.
     """
-    if n <= 0:
-        return None
-    limit = final_rows or TASK_ROWS
-    rest, position = df, n
-    for level in levels:
-        histogram = rest.groupBy(level.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        running = histogram.withColumn("cum", F.sum("c").over(Window.orderBy("v")))
-        hit = running.filter(F.col("cum") >= position).orderBy("v").limit(1).collect()
-        if not hit:
-            raise ValueError("position beyond the last row")
-        value, count, cum = hit[0]["v"], hit[0]["c"], hit[0]["cum"]
-        rest = rest.filter(level == F.lit(value))
-        position -= cum - count
-        if count <= limit:
+    low, high = share - 2 / sketch, share + 2 / sketch
+    points = F.percentile_approx("x", [min(max(low, 0.0), 1.0), min(max(high, 0.0), 1.0)], sketch)
+    keyed = df.select(x.cast("double").alias("x"), *[k.alias(f"k{i}") for i, k in enumerate(key)])
+    names = keyed.columns[1:]
+    rows, ends = keyed.agg(F.count(F.lit(1)), points).first()
+    n = position(rows)
+    if n <= 0 or not rows:
+        return rows, None
+    first = -math.inf if low <= 0 or ends is None else ends[0]
+    last = math.inf if high >= 1 or ends is None else ends[1]
+    while True:
+        seen = Observation()
+        value = F.coalesce(F.col("x"), F.lit(-math.inf))  # nulls come first in the order
+        watched = keyed.withColumn("x", value).observe(seen, F.count_if(F.col("x") < first).alias("below"),
+                                                       F.count_if(F.col("x") <= last).alias("upto"))
+        inside = cut(watched.filter(F.col("x").between(first, last)).select(*names))
+        below, upto = seen.get["below"], seen.get["upto"]
+        if below < n <= upto:
             break
-    names = [f"k{i}" for i in range(len(key))]
-    keys = rest.select(*[k.alias(name) for k, name in zip(key, names)])
-    ranked = keys.withColumn("rn", F.row_number().over(Window.orderBy(*names)))
-    row = ranked.filter(F.col("rn") == position).select(*names).collect()[0]
-    return tuple(row)
+        first, last = (-math.inf, last) if n <= below else (first, math.inf)  # the sketch was off: look at all on that side
+    ranked = dense_index(inside, [F.col(c) for c in names], "at")
+    return rows, tuple(ranked.filter(F.col("at") == n - below - 1).select(*names).first())
 
 
 def not_after(key: Sequence[Column], boundary: tuple | None) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.functions.hashing import hash_key
+from tastegrid.functions.hashing import hash_key, hex_number
 from tastegrid.operators.ranking import not_after, nth_key, rank_within, small, top_k
 from tastegrid.session import cut
 
@@ -31,14 +31,10 @@ def _check_column(df: DataFrame, column: str | None, what: str) -> None:
         raise ValueError(f"{what} column '{column}' not found")
 
 
-def _hash_levels(key: Column) -> list[Column]:
-    return [F.substring(key, 1, 4), F.substring(key, 1, 8), key]
-
-
-def _cut_at(df: DataFrame, levels: Sequence[Column], key: Sequence[Column], n: int,
+def _cut_at(df: DataFrame, x: Column, key: Sequence[Column], share: float, position: Callable[[int], int],
             first: str, second: str) -> DataFrame:
-    """Label the first n rows of the order ``key`` without moving any row."""
-    boundary = nth_key(df, levels, key, n)
+    """Label the first ``position(rows)`` rows of the order ``key``, about ``share`` of them, without moving any row."""
+    _, boundary = nth_key(df, x, key, share, position)
     return df.withColumn("split", F.when(not_after(key, boundary), F.lit(first)).otherwise(F.lit(second)))
 
 
@@ -109,19 +105,20 @@ def column_stratified_split(df: DataFrame, train_ratio: float = 0.7, val_ratio:
     return quoted.withColumn("split", label).drop("rn", "n", "n_front", "n_middle", "stratum")
 
 
-def _time_order(timestamp: str, seed: int) -> tuple[list[Column], list[Column]]:
-    """Levels and key of the order (time, seeded hash). A minute has a bounded number of instants."""
-    key = hash_key("row_id", seed=seed)
+def _time_order(df: DataFrame, timestamp: str, seed: int) -> tuple[Column, list[Column]]:
+    """A number that rises with time, and the key of the order (time, seeded hash)."""
     t = F.col(timestamp)
-    return [F.to_date(t), F.date_trunc("minute", t), t, *_hash_levels(key)], [t, key]
+    kind = df.schema[timestamp].dataType.simpleString()
+    x = t if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") else F.unix_micros(t.cast("timestamp"))
+    return x, [t, hash_key("row_id", seed=seed)]
 
 
 def temporal_split(df: DataFrame, timestamp: str = "timestamp", train_ratio: float = 0.8,
                    seed: int = SEED) -> DataFrame:
     """The first int(n * ratio) rows in time are train, the rest val; equal times in hash order."""
     _check_column(df, timestamp, "timestamp")
-    levels, key = _time_order(timestamp, seed)
-    return _cut_at(df, levels, key, int(df.count() * train_ratio), "train", "val")
+    x, key = _time_order(df, timestamp, seed)
+    return _cut_at(df, x, key, train_ratio, lambda n: int(n * train_ratio), "train", "val")
 
 
 def stratified_temporal_split(df: DataFrame, train_ratio: float = 0.7, val_ratio: float = 0.15,
@@ -131,8 +128,8 @@ def stratified_temporal_split(df: DataFrame, train_ratio: float = 0.7, val_ratio
     _check_column(df, timestamp, "timestamp")
     if stratify_by:
         _check_column(df, stratify_by, "stratification")
-    levels, key = _time_order(timestamp, seed)
-    halves = _cut_at(df, levels, key, int(df.count() * train_ratio), "train", "later")
+    x, key = _time_order(df, timestamp, seed)
+    halves = _cut_at(df, x, key, train_ratio, lambda n: int(n * train_ratio), "train", "later")
     train = halves.filter(F.col("split") == "train")
     later = halves.filter(F.col("split") == "later").join(train.select("user_id").distinct(), "user_id", "left_semi")
     strata = _stratum(later, stratify_by) if stratify_by else later.withColumn("stratum", F.lit(""))
@@ -169,7 +166,7 @@ def item_based_split(df: DataFrame, train_ratio: float = 0.8, min_interactions:
 def simple_random_split(df: DataFrame, train_ratio: float = 0.8, seed: int = SEED) -> DataFrame:
     """Exactly round(ratio * n) random rows are train."""
     key = hash_key("row_id", seed=seed)
-    return _cut_at(df, _hash_levels(key), [key], round(df.count() * train_ratio), "train", "val")
+    return _cut_at(df, hex_number(key), [key], train_ratio, lambda n: round(n * train_ratio), "train", "val")
 
 
 def _per_user_label(minimum: int, train_ratio: float) -> Column:

@@ -58,7 +58,20 @@ def test_ranks_in_parts_equal_plain_ranks(rows):
     plain = {r.row_id: (r.rn, r.n) for r in ranking.rank_within(keyed, ["user_id"], "_key").collect()}
     parts = {r.row_id: (r.rn, r.n) for r in ranking.rank_within(keyed, ["user_id"], "_key", task_rows=2).collect()}
     assert plain == parts
-    assert ranking.nth_key(rows, [F.substring("row_id", 1, 3)], [F.col("row_id")], 37, final_rows=2) == ("r0036",)
+
+
+def test_key_at_a_position_equals_a_sort(rows, spark):
+    """Exact sketches and coarse ones, ties, shares that are far off, both ends, an empty table."""
+    x = F.substring("row_id", 2, 3).cast("int")  # ten rows share a number
+    key = [F.col("row_id")]
+    for n in (1, 37, 200, 399, 400):
+        for share, sketch in ((n / 400, 10_000), (n / 400, 3), (0.5, 10_000), (0.0, 50), (1.0, 50)):
+            got = ranking.nth_key(rows, x, key, share, lambda _: n, sketch)
+            assert got == (400, (f"r{n - 1:04}",)), (n, share, sketch)
+    assert ranking.nth_key(rows, x, key, 0.5, lambda n: 0) == (400, None)
+    assert ranking.nth_key(rows.limit(0), x, key, 0.5, lambda n: n) == (0, None)
+    gaps = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (2, "d")], "t int, r string")
+    assert [ranking.nth_key(gaps, F.col("t"), [F.col("t"), F.col("r")], 0.5, lambda _: n)[1][1] for n in (1, 2, 3, 4)] == list("abcd")
 
 
 def test_subsets_are_nested(rows):
