@@ -5,9 +5,10 @@ a small deterministic parser expands to the boundaries of one kind and validates
 
 * email, ip, card, phone: the base kinds, leftmost and non-overlapping within a kind; a failing match is dropped and the
   search goes on behind it;
-* login: a URL that carries a user and a password; secret: an access key or the value given to a token, key or password, of
-  any length from 8 on, the name in upper or lower case and alone or in a longer one (``AWS_SECRET_ACCESS_KEY``); account: an IBAN
-  (mod 97) or a social security number; address: a house number with a street name.
+* login: a URL that carries a user and a password; secret: an access key, a private-key block, a signed web token, what follows
+  ``Bearer``, or the value given to a token, key or password, of any length from 8 on, the name in upper or lower case and alone
+  or in a longer one (``AWS_SECRET_ACCESS_KEY``); account: an IBAN (mod 97) or a social security number; address: a house number
+  with a street name.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start and then kind as in ``KINDS``.
 
@@ -41,8 +42,10 @@ SECRET_CUES = ("token", "password", "passwd", "api_key", "apikey", "secret", "ac
 ACCOUNT_CUES = ("IBAN", "iban", "SSN", "ssn")
 STREET_CUES = (" Street", " Avenue", " Road", " Lane", " Boulevard", " Drive", " St.", " Ave.", " Rd.")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
-EXACT = {"key": ("AKIA",), "account": ACCOUNT_CUES, "street": STREET_CUES, "scheme": SCHEMES}
+BEARER, BLOCK, WEB_TOKEN = "bearer", "-----BEGIN ", "eyJ"
+EXACT = {"key": ("AKIA",), "block": (BLOCK,), "web": (WEB_TOKEN,), "account": ACCOUNT_CUES, "street": STREET_CUES, "scheme": SCHEMES}
 _NAME = DIGITS | _LETTERS | frozenset("_-")
+_TOKEN = _NAME | frozenset(".~+/=")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}  # keeps lengths, unlike str.lower
 
 
@@ -52,7 +55,7 @@ def anchors() -> ahocorasick.Automaton:
         found.add_word(d, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
-    for kind, words in {"secret": SECRET_CUES, **EXACT}.items():
+    for kind, words in {"secret": SECRET_CUES, "bearer": (BEARER,), **EXACT}.items():
         for word in words:
             found.add_word(word.translate(_LOWER), (kind, len(word)))
     found.make_automaton()
@@ -148,7 +151,8 @@ def login_at(text: str, start: int, behind: int) -> int | None:
 
 
 class Secrets:
-    """Values of ``cue = "value"`` or ``cue: value`` in one text: 8 characters or more, with a digit or assigned in quotes.
+    """Values of ``cue = "value"`` or ``cue: value`` in one text: 8 characters or more, and with a digit, in quotes, or behind an
+    equals sign and a name that is the cue alone.
 
     Cues come from left to right; a name and a run of value characters are read once, so that all of them take linear time.
     """
@@ -156,9 +160,23 @@ class Secrets:
     def __init__(self, text: str):
         self.text = text
         self.name_end = self.tried = self.run_end = self.digit = -1
+        self.no_block = len(text)
 
-    def at(self, behind: int) -> tuple[int, int] | None:
+    def block(self, start: int) -> tuple[int, int] | None:
+        """A private-key block from its first line to its last, or to the end of its characters if that is missing."""
+        head = self.text.find("-----", start + len(BLOCK), start + 80)
+        if head < 0 or not self.text[start:head].endswith("PRIVATE KEY"):
+            return None
+        end = -1 if start >= self.no_block else self.text.find("-----END ", head)
+        if end < 0:
+            self.no_block = min(self.no_block, start)
+            return start, _run(self.text, head + 5, _TOKEN - {"-"} | {"\n", "\r"})
+        last = self.text.find("-----", end + 9, end + 80)
+        return start, last + 5 if last >= 0 else end + 9
+
+    def at(self, start: int, behind: int) -> tuple[int, int] | None:
         text, at, size = self.text, behind, len(self.text)
+        alone = text[at:at + 1] not in _NAME and (start == 0 or text[start - 1] not in _NAME)
         if at < size and text[at] in _NAME:
             if not (text[at] in "_-" or text[at] in _CAPITALS and "a" <= text[at - 1] <= "z"):
                 return None
@@ -184,8 +202,26 @@ class Secrets:
                 end += 1
             self.run_end = end
         end = self.run_end
-        quoted = assigned and text[at - 1] in "\"'" and text[end:end + 1] == text[at - 1]
-        return (at, end) if end - at >= 8 and (self.digit >= at or quoted) else None
+        quoted = text[at - 1] in "\"'" and text[end:end + 1] == text[at - 1]
+        return (at, end) if end - at >= 8 and (self.digit >= at or quoted or assigned and alone) else None
+
+
+def bearer_at(text: str, behind: int) -> tuple[int, int] | None:
+    """The token behind ``Bearer``: 16 characters or more with a digit among them."""
+    at = behind
+    while at < len(text) and at < behind + 3 and text[at] == " ":
+        at += 1
+    end = _run(text, at, _TOKEN) if at > behind else at
+    return (at, end) if end - at >= 16 and any(c in DIGITS for c in text[at:end]) else None
+
+
+def web_token_at(text: str, at: int) -> tuple[int, int] | None:
+    """A signed web token: three parts of ten characters or more, parted by dots, with nothing of the kind before."""
+    if at and (text[at - 1] in _NAME or text[at - 1] == "."):
+        return None
+    end = _run(text, at, _NAME | {"."})
+    parts = text[at:end].split(".")
+    return (at, at + len(".".join(parts[:3]))) if len(parts) >= 3 and all(len(p) >= 10 for p in parts[:3]) else None
 
 
 def access_key_at(text: str, at: int) -> tuple[int, int] | None:
@@ -236,7 +272,8 @@ def address_at(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None
 
 
-_KIND_OF = {"scheme": "login", "street": "address", "secret": "secret", "key": "secret", "account": "account"}
+_KIND_OF = {"scheme": "login", "street": "address", "secret": "secret", "key": "secret", "bearer": "secret",
+            "block": "secret", "web": "secret", "account": "account"}
 
 
 def find(text: str, automaton) -> list[tuple[str, int, int]]:
@@ -275,13 +312,19 @@ def find(text: str, automaton) -> list[tuple[str, int, int]]:
             kind = _KIND_OF[anchor]
             if anchor == "key":
                 got = access_key_at(text, at)
+            elif anchor == "bearer":
+                got = bearer_at(text, last + 1)
+            elif anchor == "block":
+                got = secrets.block(at)
+            elif anchor == "web":
+                got = web_token_at(text, at)
             elif kind == "login":
                 end = login_at(text, at, last + 1)
                 got = (at, end) if end else None
             elif kind == "address":
                 got = address_at(text, at, last + 1)
             else:
-                got = secrets.at(last + 1) if kind == "secret" else account_at(text, last + 1)
+                got = secrets.at(at, last + 1) if kind == "secret" else account_at(text, last + 1)
             if got:
                 spans.append((kind, *got))
                 free[kind] = got[1]

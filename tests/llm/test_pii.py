@@ -52,8 +52,22 @@ def test_secrets_in_any_case_and_of_any_length():
     assert [text[a:b] for _, a, b in pii.find(text, pii.anchors())] == ["OnlyLettersHere"]
 
 
+def test_secrets_without_digits_and_of_other_forms():
+    web = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/IBAAKCAQ==\nabc\n-----END RSA PRIVATE KEY-----"
+    cases = {'{"password": "correcthorse"}': ["correcthorse"], "password=hunterhunter": ["hunterhunter"],
+             "'api_key': 'abcdefghijkl',": ["abcdefghijkl"], "Authorization: Bearer abcDEF123.ghi-JKL_456": ["abcDEF123.ghi-JKL_456"],
+             f"see {web}, ok": [web], f"x\n{block}\ny": [block], "-----BEGIN PRIVATE KEY-----\nMIIEabc\nxyz== and on": [
+                 "-----BEGIN PRIVATE KEY-----\nMIIEabc\nxyz=="],
+             "the bearer of good news 2024 came": [], "-----BEGIN CERTIFICATE-----\nMIIE\n-----END CERTIFICATE-----": [],
+             "eyJ.and.more": [], "a password: wonderful": [], "mytoken=wonderfully": [], "secret: 'no' and none": []}
+    for text, want in cases.items():
+        assert [text[a:b] for k, a, b in pii.find(text, pii.anchors()) if k == "secret"] == want, text
+
+
 def test_hostile_secrets_take_linear_time():
     for text in ("token=" * 100_000, "token_" * 100_000 + "=" + "x" * 100_000, "TOKEN='" * 100_000, "token:x1 " * 60_000,
+                 "-----BEGIN PRIVATE KEY-----" * 30_000, "eyJ" * 200_000, "eyJ." * 150_000, "bearer a1" * 60_000, "Bearer " * 90_000,
                  "token=" * 100_000 + "1"):
         start = time.perf_counter()
         pii.find(text, pii.anchors())
