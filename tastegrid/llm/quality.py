@@ -182,3 +182,15 @@ b AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed,
   failed_bits = 0 AS kept, failed_bits::INTEGER AS failed_bits FROM b
 """
+
+
+def ablation_query(spark, folder: str) -> DataFrame:
+    """What each rule of the production policy does over all documents."""
+    return ablations(ledger(spark.read.parquet(f"{folder}/documents.parquet")))
+
+
+ABLATIONS = ORACLE.rsplit("SELECT doc_id", 1)[0] + f"""
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only,
+  coalesce(bit_or(failed_bits) FILTER (failed_bits & bit <> 0), 0)::INTEGER AS fails_with
+FROM (VALUES {", ".join(f"('{r}', {1 << RULES.index(r)})" for r in POLICIES[PRODUCTION])}) v(rule, bit), b GROUP BY rule
+"""

@@ -18,12 +18,14 @@ QUERIES = {
     "op11_order_minhash": order_sketch.query,
     "op12_repair": repair.query,
     "op13_variants": variants.query,
+    "quality_ablations": quality.ablation_query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.oracle(),
     "op2_chat": chat.ORACLE,
     "op4_quality": quality.ORACLE,
+    "quality_ablations": quality.ABLATIONS,
     "op8_neighbours": neighbours.ORACLE,
     "op10_minhash": minhash.ORACLE,
     "op13_variants": variants.ORACLE,
