@@ -68,6 +68,14 @@ _TABLES = {
         FROM items LEFT JOIN (SELECT item_id, count(*) AS c FROM clicks GROUP BY 1) USING (item_id)""",
     "taste": """SELECT user_id, list(x ORDER BY i) AS t FROM (SELECT user_id, i, avg(v[i]) AS x FROM click_seen JOIN vectors
         USING (item_id), range(1, 65) r(i) GROUP BY ALL) GROUP BY 1""",
+    # one or two files per part; the first accepted ending of each item
+    "listing": """SELECT 'file:/images/' || p_partkey || e AS path, p_partkey::VARCHAR AS item_id, e AS ext,
+        (p_size * 40000)::BIGINT AS length, CASE WHEN p_size % 11 = 0 THEN -1 ELSE p_size * 60 END AS width,
+        CASE WHEN p_size % 11 = 0 THEN -1 ELSE p_size * 35 END AS height FROM (SELECT *, unnest(CASE WHEN p_size % 7 = 0
+        THEN ['.gif'] WHEN p_size % 3 = 0 THEN ['.png', '.jpg'] ELSE ['.jpeg'] END) AS e FROM part)""",
+    "found": """SELECT * FROM listing WHERE ext IN ('.jpg', '.jpeg', '.png') QUALIFY row_number() OVER (PARTITION BY item_id
+        ORDER BY list_position(['.jpg', '.jpeg', '.png'], ext), path) = 1""",
+    "valid": "SELECT item_id FROM found WHERE width >= 200 AND height >= 200",
     "matrix": "SELECT user_id, item_id, count(*) AS c FROM {source} GROUP BY ALL",
     "labelled": f"SELECT doc_id, quality AS label, {_U01.format('doc_id::VARCHAR')} AS score FROM labels",
 }
@@ -78,6 +86,7 @@ _NEEDS = {
     "click_halves": ("clicks",), "click_history": ("click_halves",), "click_test": ("click_halves",), "click_seen": ("click_history",),
     "click_model": ("click_history", "items"), "click_users": ("click_test",), "click_pairs": ("click_test",),
     "click_pop": ("items", "clicks"), "taste": ("click_seen", "vectors"),
+    "found": ("listing",), "valid": ("found",),
     "providers": ("purchases",), "exposed": ("recs", "providers"),
 }
 
@@ -419,6 +428,20 @@ ORACLES: dict[str, str] = {
                                  "round(ln(1 + p_retailprice), 6) AS log_price FROM part",
     "target_users_sample": _sql(f"SELECT user_id FROM (SELECT DISTINCT user_id FROM purchases) ORDER BY {_KEY.format('user_id')}, "
                                 "user_id LIMIT 20", "purchases"),
+    "image_lookup": _sql("SELECT item_id, path, ext FROM found", "found"),
+    "valid_images": _sql("SELECT item_id FROM valid", "valid"),
+    "image_manifest": _sql("""SELECT item_id, path, length, heavy AS compress,
+        CASE WHEN heavy AND edge > 1024 THEN floor(width * (1024.0::DOUBLE / edge)) ELSE width END::BIGINT AS target_width,
+        CASE WHEN heavy AND edge > 1024 THEN floor(height * (1024.0::DOUBLE / edge)) ELSE height END::BIGINT AS target_height
+        FROM (SELECT *, length / 1024.0 > 500 AS heavy, greatest(width, height) AS edge FROM found)""", "found"),
+    "items_with_images": _sql("SELECT item_id, title, tag, category, size, round(price, 6) AS price FROM items SEMI JOIN valid USING (item_id)",
+                              "items", "valid"),
+    "preprocess_summary": _sql("""SELECT count(*) AS interactions, count(DISTINCT user_id) AS users,
+        (SELECT count(*) FROM items SEMI JOIN valid USING (item_id) SEMI JOIN b USING (item_id)) AS items,
+        count(DISTINCT item_id) AS interacted_items FROM b""", "purchases", "items", "valid",
+        r="SELECT * FROM purchases SEMI JOIN valid USING (item_id)",
+        a="SELECT * FROM r WHERE item_id IN (SELECT item_id FROM r GROUP BY 1 HAVING count(*) >= 25)",
+        b="SELECT * FROM a WHERE user_id IN (SELECT user_id FROM a GROUP BY 1 HAVING count(*) >= 20)"),
     "valid_item_filter": _sql("SELECT row_id, user_id, item_id FROM purchases WHERE item_id IN (SELECT item_id FROM items "
                               "WHERE size >= 10)", "purchases", "items"),
     "activity_filter": _sql("SELECT row_id, user_id, item_id FROM active", "active"),
@@ -564,6 +587,12 @@ ORACLES: dict[str, str] = {
         ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, coalesce(round(list_dot_product(t, v), 9), 0) AS score
         FROM taste CROSS JOIN items LEFT JOIN vectors USING (item_id)) ANTI JOIN click_seen USING (user_id, item_id)
         QUALIFY rank <= 10""", "taste", "items", "vectors", "click_seen"),
+    "rec_model": _sql("""SELECT user_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id
+        ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, coalesce(round(tanh(list_dot_product(v,
+        list_transform(range(64), lambda i: -1 + i * (2 / 63)))), 9), 0) AS score FROM (SELECT user_id, item_id FROM positives UNION ALL
+        SELECT user_id, item_id FROM drawn) SEMI JOIN items USING (item_id) ANTI JOIN click_seen USING (user_id, item_id)
+        LEFT JOIN vectors USING (item_id)) QUALIFY rank <= 10""", "clicks", "items", "vectors", "click_seen", late=_LATE_CLICKS,
+        positives=_LATE_PAIRS, **_reordered(_walk(_CANDIDATE_NEED.replace("least(30", "least(50"), "SELECT * FROM positives"))),
     "score_pairs": _sql("SELECT user_id, item_id, round(coalesce(CASE WHEN item_id IN (SELECT item_id FROM items) THEN "
                         "list_dot_product(t, v) END, 0), 6) AS score FROM click_pairs LEFT JOIN taste USING (user_id) LEFT JOIN vectors "
                         "USING (item_id)", "click_pairs", "taste", "items", "vectors"),

@@ -134,3 +134,30 @@ def test_preprocess_run(spark, tmp_path):
                          min_user=2, min_item=2).first()
     assert (got.interactions, got.users, got["items"], got.interacted_items) == (6, 2, 2, 2)
     assert rows_of(spark.read.parquet(str(tmp_path / "out/items")), "item_id", "title", "tag") == [("item1", "t1", "x"), ("item2", "t2", "unknown")]
+
+
+def test_features_survive_killed_and_competing_runs(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "features")
+    items = spark.createDataFrame([(f"item{i}", float(i)) for i in range(9)], "item_id string, x double")
+    build = lambda df: df.withColumn("y", F.col("x") * 2)
+    stored = lambda df: sorted((r.item_id, r.y) for r in df.collect())
+    whole = [(f"item{i}", 2.0 * i) for i in range(9)]
+    assert len(stored(state.materialize_features(items.limit(3), build, path))) == 3
+    before = state.PartedTable(spark, path).version()
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:  # the rows are written, the manifest isn't
+        patch.setattr(state.PartedTable, "commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            state.materialize_features(items, build, path)
+    assert state.PartedTable(spark, path).version() == before
+
+    def competing(df):  # another run brings some of the same items in between
+        state.materialize_features(items.filter("x < 7"), build, path)
+        return build(df)
+
+    assert stored(state.materialize_features(items, competing, path)) == whole
+    assert stored(state.materialize_features(items, build, path)) == whole
+    assert stored(state.materialize_features(items.filter("x < 2"), build, path, force=True)) == whole[:2]
