@@ -15,7 +15,7 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.session import cut
@@ -119,17 +119,19 @@ def nth_key(df: DataFrame, x: Column, key: Sequence[Column], share: float, posit
     first = -math.inf if low <= 0 or ends is None else ends[0]
     last = math.inf if high >= 1 or ends is None else ends[1]
     while True:
-        seen = Observation()
         value = F.coalesce(F.col("x"), F.lit(-math.inf))  # nulls come first in the order
-        watched = keyed.withColumn("x", value).observe(seen, F.count_if(F.col("x") < first).alias("below"),
-                                                       F.count_if(F.col("x") <= last).alias("upto"))
-        inside = cut(watched.filter(F.col("x").between(first, last)).select(*names))
-        below, upto = seen.get["below"], seen.get["upto"]
+        side = F.when(value < first, 0).when(value <= last, 1).otherwise(2)
+        sided = keyed.withColumn("side", side).select("side", *[F.when(F.col("side") == 1, F.col(c)).alias(c) for c in names])
+        # rows outside the bracket fold into one row a task before they are shuffled
+        folded = cut(sided.groupBy("side", *names).agg(F.count(F.lit(1)).alias("c")))
+        below, upto = folded.agg(*[F.coalesce(F.sum(F.when(F.col("side") <= i, F.col("c"))), F.lit(0)) for i in (0, 1)]).first()
         if below < n <= upto:
             break
         first, last = (-math.inf, last) if n <= below else (first, math.inf)  # the sketch was off: look at all on that side
-    ranked = dense_index(inside, [F.col(c) for c in names], "at")
-    return rows, tuple(ranked.filter(F.col("at") == n - below - 1).select(*names).first())
+    ranked = dense_index(folded.filter(F.col("side") == 1).withColumn("w", F.col("c").cast("double")),
+                         [F.col(c) for c in names], "_", weight="w")
+    hit = (F.col("running") >= n - below) & (F.col("running") - F.col("w") < n - below)
+    return rows, tuple(ranked.filter(hit).select(*names).first())
 
 
 def not_after(key: Sequence[Column], boundary: tuple | None) -> Column:
