@@ -1,6 +1,7 @@
 """Order MinHash against a plain definition, the successor's edit against brute force, odd cases."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -61,7 +62,7 @@ def test_sketch_equals_the_definition():
 
 
 def test_likeness_falls_with_edits_and_with_moved_passages():
-    rng, sketcher = random.Random(6), order_sketch.Sketcher()
+    rng, sketcher = random.Random(6), order_sketch.Sketcher(128)
     parts = ["".join(rng.choice("abcdefgh ") for _ in range(250)) for _ in range(4)]
     text, of = "".join(parts), lambda t: order_sketch.likeness(sketcher.sketch(text), sketcher.sketch(t))
     one, many = text[:500] + "XY" + text[502:], "".join(c if i % 20 else "#" for i, c in enumerate(text))
@@ -69,6 +70,20 @@ def test_likeness_falls_with_edits_and_with_moved_passages():
     assert of(text) == 1 and of(one) > 0.9 > of(many) and of(moved) < 0.75 and of(text[::-1]) < 0.05
 
 
+def test_likeness_of_the_production_sketch_spreads_as_independent_draws_do():
+    """200 texts with two changed code points, and with a new half: mean as the shared k-mers say, spread as of 96 coin tosses."""
+    rng, sketcher = random.Random(1), order_sketch.Sketcher()
+    small, large = [], []
+    for _ in range(200):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(1_000))
+        own, other = sketcher.sketch(text), "".join(rng.choice("abcdefgh ") for _ in range(500))
+        small.append(order_sketch.likeness(own, sketcher.sketch(text[:500] + "XY" + text[502:])))
+        large.append(order_sketch.likeness(own, sketcher.sketch(text[:500] + other)))
+    for values, low, high in ((small, 0.955, 0.972), (large, 0.095, 0.120)):  # (991/1009)^2 and about (1/3)^2
+        mean = sum(values) / len(values)
+        assert low < mean < high and np.std(values) < 1.15 * math.sqrt(mean * (1 - mean) / order_sketch.COORDINATES)
+
+
 def test_rows_over_many_ranges(spark):
     rng = random.Random(7)
     rows = [(i * 7 % 1_009, "".join(rng.choice("abc dé\n") for _ in range(rng.choice((0, 1, 5, 60, 300))))) for i in range(200)]
