@@ -311,10 +311,11 @@ def training_subsets(df: DataFrame, fractions: Sequence[float] = (0.5, 0.4, 0.25
     Each fraction is taken of the subset before it. One random order per bin serves all levels,
     since the front of a random order is itself a random draw.
     """
-    edges = F.array(*[F.lit(e) for e in time_edges(df, bins, timestamp).first()["edges"]])
+    edges = time_edges(df, bins, timestamp).first()["edges"]
     micros = F.unix_micros(F.col(timestamp).cast("timestamp"))
-    binned = df.withColumn("_edges", edges).withColumn(
-        "stratum", F.lpad(F.size(F.filter("_edges", lambda e: e < micros)).cast("string"), 3, "0")).drop("_edges")
+    # one comparison per edge: grouping by an expression with a lambda fails in Spark once the rows are in several partitions
+    passed = sum((F.coalesce((F.lit(e) < micros).cast("int"), F.lit(0)) for e in edges), F.lit(0))
+    binned = df.withColumn("stratum", F.lpad(passed.cast("string"), 3, "0"))
     quotas = cut(binned.groupBy("stratum").agg(F.count(F.lit(1)).alias("q0")))
     size = quotas.agg(F.sum("q0")).first()[0] or 0
     for i, fraction in enumerate(fractions):

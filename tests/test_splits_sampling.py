@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.operators import ranking, sampling, splits
 from tastegrid.plans import split_job
+from tastegrid.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -180,3 +181,11 @@ def test_grid_is_tight_and_scatters_all_places(spark):
     wide = sampling.grid(2 ** 40)
     big = sampling.scattered(walked, F.lit(wide[0]), F.lit(wide[1]), "pos").select("pos").collect()
     assert len(big) == 924 and all(0 <= r.pos < wide[0] * wide[1] for r in big) and max(r.pos for r in big) > 2 ** 39
+def test_training_subsets_of_rows_in_several_partitions(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id AS event_id", "id % 30 AS user_id", "timestamp_seconds(id * 977 % 5003) AS ts")
+    rows.repartition(6).write.parquet(f"{tmp_path}/events")
+    df = spark.read.parquet(f"{tmp_path}/events").selectExpr("CAST(event_id AS string) AS row_id", "ts AS timestamp")
+    labelled = splits.training_subsets(df).select("timestamp", "level")
+    assert "lambda" not in labelled._jdf.queryExecution().optimizedPlan().toString()  # Spark loses a column under one in a grouping
+    subsets = cut(labelled).groupBy("level").count().collect()
+    assert {r["level"]: r["count"] for r in subsets} == {0: 2000, 1: 1200, 2: 600, 3: 200}
