@@ -210,3 +210,20 @@ def test_batches_do_not_depend_on_the_parts_that_rank_them(spark, monkeypatch):
     assert [n for n, _ in (whole[b] for b in sorted(whole))] == [8] * 8 + [6]
     monkeypatch.setattr(losses, "BATCHES", 1)
     assert run() == whole
+
+
+@pytest.mark.parametrize("front", [0, 3, 256])
+def test_popular_lists_move_only_what_lies_in_the_front(spark, monkeypatch, front):
+    rows = [(f"u{n % 9}", f"i{n % (5 + n % 9):02}") for n in range(200)] + [("long", f"i{n:02}") for n in range(12)] + [("odd", "i39")]
+    inter = spark.createDataFrame(rows, "user_id string, item_id string")
+    catalog = spark.createDataFrame([(f"i{n:02}",) for n in range(40)], "item_id string")
+    given = rec.RecommenderData(inter, catalog, inter)
+    walked = []
+    whole = rec.take_from_catalog
+    monkeypatch.setattr(rec, "FRONT", front)
+    monkeypatch.setattr(rec, "take_from_catalog", lambda need, *more: walked.append({r.user_id for r in need.collect()}) or whole(need, *more))
+    asked = [*(f"u{n}" for n in range(9)), "long", "odd", "nobody"]
+    got = listed(rec.recommend_popularity(given, users(spark, *asked), 4))
+    ranking = sorted((f"i{n:02}" for n in range(40)), key=lambda i: (-sum(r[1] == i for r in rows), i))
+    assert got == {u: [i for i in ranking if (u, i) not in rows][:4] for u in asked}
+    assert "nobody" not in walked[0] and "long" in walked[0]  # seen nothing: the first places, without a walk
