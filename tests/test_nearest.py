@@ -58,3 +58,25 @@ def test_similarity_of_asked_items_only(spark):
     rows, columns = inter.filter("item_id < 'i3'"), inter.filter("item_id > 'i2'")
     some = {(r.a, r.b): r.sim for r in similarity.item_similarity(inter, rows, columns).collect()}
     assert some == {(a, b): s for (a, b), s in whole.items() if a < "i3" and b > "i2"} and 0 < len(some) < len(whole)
+
+
+@pytest.mark.parametrize("budget,route", [(1 << 20, "_carried"), (0, "_cells"), (0, "sparse_product")])
+def test_routes_of_all_pairs(spark, monkeypatch, budget, route):
+    rng = random.Random(5)
+    wide = 12 if route == "_cells" else 400
+    rows = {(f"u{rng.randrange(60):02}", f"i{int(wide * rng.random()):03}"): rng.choice((1, 1, 2, 5)) for _ in range(700)}
+    taken = []
+    for name in ("_carried", "_cells", "sparse_product"):
+        whole = getattr(similarity, name)
+        monkeypatch.setattr(similarity, name, lambda *x, whole=whole, name=name: taken.append(name) or whole(*x))
+    monkeypatch.setattr(similarity, "PAIR_BUDGET", budget)
+    monkeypatch.setattr(similarity, "CELL_ROWS", 16)
+    monkeypatch.setattr(similarity, "CELL_COLUMNS", 5)
+    monkeypatch.setattr(similarity, "CELL_LEAST", 0)
+    if route == "sparse_product":
+        rows = {**{k: c for k, c in rows.items() if k[0] < "u08"}, **{(f"v{n}", f"j{n}"): 1 for n in range(60)}}
+    inter = spark.createDataFrame([k for k, c in rows.items() for _ in range(c)], "user_id string, item_id string")
+    got = {(r.a, r.b): round(r.sim, 9) for r in similarity.user_similarity(inter).collect()}
+    own = [(u, u, 0, 1.0) for u in {u for u, _ in rows}]
+    every = brute([(*k, c) for k, c in rows.items()], 10 ** 6, {u for u, _ in rows})
+    assert got == {(a, b): s for a, b, _, s in [*every, *own]} and taken == [route]
