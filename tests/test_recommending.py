@@ -227,3 +227,12 @@ def test_popular_lists_move_only_what_lies_in_the_front(spark, monkeypatch, fron
     ranking = sorted((f"i{n:02}" for n in range(40)), key=lambda i: (-sum(r[1] == i for r in rows), i))
     assert got == {u: [i for i in ranking if (u, i) not in rows][:4] for u in asked}
     assert "nobody" not in walked[0] and "long" in walked[0]  # seen nothing: the first places, without a walk
+
+
+def test_taste_vectors_are_not_shuffled(spark, folder):
+    from tastegrid.plans.bindings import Views
+    from tastegrid.plans.queries import _taste
+
+    v = Views(spark, folder)
+    plan = _taste(v, v.clicks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
