@@ -113,6 +113,7 @@ def take_from_catalog(need: DataFrame, catalog: DataFrame, excluded: DataFrame,
 # ---------------------------------------------------------------- weighted draws
 
 _WEIGHTLESS = -(1 << 20)  # class of the items that come last
+LEVELS = 4                # lengths of walks to a factor of two
 
 
 def weight_class(w: Column) -> Column:
@@ -134,7 +135,7 @@ def classed_catalog(items: DataFrame, weights: DataFrame) -> tuple[DataFrame, li
 
 
 def _levels(classes: list[dict]) -> list[tuple[float, list[int]]]:
-    """How far to walk: (items surely expected, steps per class) for times a factor of two apart; at the end everything."""
+    """How far to walk: (items surely expected, steps per class) for times LEVELS to a factor of two; at the end everything."""
     positive = [c for c in classes if c["c"] != _WEIGHTLESS]
     spans = [c["rows"] * c["columns"] for c in positive]
     out, everything = [], float(sum(c["n"] for c in positive))
@@ -146,7 +147,7 @@ def _levels(classes: list[dict]) -> list[tuple[float, list[int]]]:
             if lengths == spans or reach > 0.99 * everything:
                 break
             out.append((reach, lengths))
-            time *= 2
+            time *= 2 ** (1 / LEVELS)
     return [*out, (math.inf, spans)]
 
 
@@ -156,7 +157,8 @@ def weighted_from_catalog(need: DataFrame, items: DataFrame, weights: DataFrame,
 
     That is drawing one after another in proportion to weight; items without weight come last, in random order. A round walks
     each class as far as the user's m + #excluded make likely to be enough, and knows every arrival up to the first moment
-    that some class's walk ends at. Users with too few arrivals by then walk about four times as far in the next round.
+    that some class's walk ends at. Exclusions count with the share of the catalog that they are, and three deviations are added.
+    Users with too few arrivals by then, as those who bar many of the heavy items, walk about four times as far in the next round.
     """
     catalog, classes = classed_catalog(items, weights)
     if not classes:
@@ -168,7 +170,9 @@ def weighted_from_catalog(need: DataFrame, items: DataFrame, weights: DataFrame,
     users = (need.select("user_id", F.col("m").cast("bigint").alias("_m")).filter(F.col("_m") > 0)
              .join(barred, "user_id", "left").withColumn("_b", F.col("_m") + F.coalesce("_e", F.lit(0))))
     reach = F.array(*[F.lit(r) for r, _ in levels])
-    users = cut(users.withColumn("_level", F.size(F.filter(reach, lambda r: r < F.col("_b") * 1.3 + 4)))
+    open_share = F.greatest(1 - (F.col("_b") - F.col("_m")) / float(max(positive, 1)), F.lit(1e-3))
+    wanted = F.least((F.col("_m") + 3 * F.sqrt("_m") + 4) / open_share, F.col("_b") * 1.3 + 4)
+    users = cut(users.withColumn("_reach", wanted).withColumn("_level", F.size(F.filter(reach, lambda r: r < F.col("_reach"))))
                 .select("user_id", "_m", "_b", "_level"))
     drawn = []
     while not users.isEmpty():
@@ -185,7 +189,7 @@ def weighted_from_catalog(need: DataFrame, items: DataFrame, weights: DataFrame,
         users = users.join(got, "user_id", "left")
         short = (F.coalesce("_got", F.lit(0)) < F.col("_m")) & (F.col("_level") < final)
         drawn.append(best.join(users.filter(short).select("user_id"), "user_id", "left_anti"))
-        users = cut(users.filter(short).select("user_id", "_m", "_b", F.least(F.col("_level") + 2, F.lit(final)).alias("_level")))
+        users = cut(users.filter(short).select("user_id", "_m", "_b", F.least(F.col("_level") + 2 * LEVELS, F.lit(final)).alias("_level")))
     return reduce(DataFrame.unionByName, drawn, excluded.select("user_id", "item_id", F.lit(0).cast("bigint").alias("rank")).limit(0))
 
 

@@ -189,3 +189,16 @@ def test_training_subsets_of_rows_in_several_partitions(spark, tmp_path):
     assert "lambda" not in labelled._jdf.queryExecution().optimizedPlan().toString()  # Spark loses a column under one in a grouping
     subsets = cut(labelled).groupBy("level").count().collect()
     assert {r["level"]: r["count"] for r in subsets} == {0: 2000, 1: 1200, 2: 600, 3: 200}
+
+
+def test_walks_of_weighted_draws_end_soon_after_what_is_drawn(spark, monkeypatch):
+    items = spark.range(3000).selectExpr("CAST(id AS string) AS item_id", "1.0D / (1 + id % 40) AS w")
+    need = spark.range(30).selectExpr("CAST(id AS string) AS user_id", "40 AS m")
+    barred = spark.range(30 * 35).selectExpr("CAST(id % 30 AS string) AS user_id", "CAST(id * 71 % 3000 AS string) AS item_id")
+    rows, whole = [], sampling._arrivals
+    monkeypatch.setattr(sampling, "_arrivals", lambda *x: rows.append(whole(*x)) or rows[-1])
+    draw = lambda: {tuple(r) for r in sampling.weighted_from_catalog(need, items.select("item_id"), items, barred).collect()}
+    drawn = draw()
+    assert len(drawn) == 30 * 40 and sum(r.count() for r in rows) < 5 * len(drawn)
+    monkeypatch.setattr(sampling, "LEVELS", 1)
+    assert draw() == drawn
