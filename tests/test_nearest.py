@@ -44,6 +44,38 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, block, part, cells):
     assert {(r.user_id, r.neighbor, r["rank"], round(r.sim, 9)) for r in got} == brute(rows, 6, asked)
 
 
+@pytest.mark.parametrize("columns,tile", [(4096, (512, 4096)), (4096, (7, 5)), (0, (512, 4096))])
+def test_rows_of_one_direction_are_one_class(spark, monkeypatch, columns, tile):
+    rng = random.Random(11)
+    rows = {}
+    for n in range(24):
+        items = {rng.choice([f"i{m}" for m in range(9)]): rng.choice((1, 1, 2)) for _ in range(rng.randint(1, 5))}
+        for copy in range((1, 3, 12)[n % 3]):  # some classes have more members than neighbours are asked for
+            user = f"u{rng.randrange(10 ** 6):06}"
+            rows |= {(user, i): c * (1, 3)[copy % 2] for i, c in items.items()}
+    monkeypatch.setattr(near, "DENSE_COLUMNS", columns)
+    monkeypatch.setattr(near, "DENSE_ROWS", 8)
+    monkeypatch.setattr(near, "TILE", tile)
+    rows = [(*key, c) for key, c in rows.items()]
+    everyone = sorted({e for e, _, _ in rows})
+    matrix = spark.createDataFrame(rows, "user_id string, item_id string, c bigint")
+    got = near.nearest(matrix, "user_id", "item_id", None, 6).collect()
+    assert {(r.user_id, r.neighbor, r["rank"], round(r.sim, 9)) for r in got} == brute(rows, 6, everyone)
+    some = everyone[::3]
+    got = near.nearest(matrix, "user_id", "item_id", spark.createDataFrame([(a,) for a in some], "user_id string"), 6).collect()
+    assert {(r.user_id, r.neighbor, r["rank"], round(r.sim, 9)) for r in got} == brute(rows, 6, some)
+
+
+def test_members_of_a_large_class_are_not_compared(spark, monkeypatch):
+    searched = []
+    whole = near._search
+    monkeypatch.setattr(near, "_search", lambda rep, asked, *x: searched.append(asked.count()) or whole(rep, asked, *x))
+    rows = [(f"u{n:02}", f"i{m}", 1 + m) for n in range(9) for m in range(3)] + [("v", "i0", 1), ("w", None, 2), ("w", "i1", 1)]
+    got = near.nearest(spark.createDataFrame(rows, "user_id string, item_id string, c bigint"), "user_id", "item_id", None, 5).collect()
+    assert searched == [2] and len(got) == 11 * 5
+    assert {round(r.sim, 9) for r in got if r.user_id == "w"} == {round(2 / math.sqrt(5 * 14), 9)}  # a null item adds to the length
+
+
 def test_all_rows_and_no_rows(spark):
     inter = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("c", "z")], "user_id string, item_id string")
     matrix = similarity.count_matrix(inter)
