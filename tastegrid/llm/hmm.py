@@ -7,7 +7,8 @@ So the probability of a text is that of its symbols times those of its rarer wor
 
 Baum-Welch: every partition runs the scaled forward-backward recursion over the windows of its training texts and emits
 expected counts; Spark sums them; the driver turns sums of fixed size (symbols x states) into the next parameters. All
-training documents take part in each pass. The starting point comes from a mixture of unigrams on about ``SAMPLE`` documents.
+training documents take part in each pass, and in the starting point: their shares of letters are cut along the principal axes of all of
+them (moments of fixed size are counted with the words), and a state starts with the symbols of one of these groups of texts.
 Scoring runs the scaled forward recursion over each whole text, so the likelihood is exact. Rarer words are looked up by a
 join of (text, word) pairs with the counts; words that aren't rare don't take part in it, so no key of that join is hot.
 
@@ -31,7 +32,8 @@ from tastegrid.llm.common import Shared, column, finish, remainder, store, store
 
 HEAD, TAILS, STATES = 32_768, 1_024, 8
 PASSES, WINDOW, LANES = 2, 256, 512
-SAMPLE = 2_000
+LETTERS, AXES = 64, 3     # kinds of bytes whose shares describe a text; 2 ** AXES groups of texts, one for each state
+STEPS = 256               # shares are rounded, so that their sums are exact and don't depend on the order
 HEAD_BYTES, HEAD_COUNT = 64, 5
 END = b""
 FLUSH = 400_000
@@ -66,9 +68,34 @@ class Symbols:
         return out, tail
 
 
+def letters_of(texts: list[str | None]) -> np.ndarray:
+    """One row per text: roots of its shares of letters and other bytes, in whole steps; blank texts have none."""
+    out = np.zeros((len(texts), LETTERS))
+    for row, text in zip(out, texts):
+        b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        row[:] = np.bincount((b & 31) | (b >> 7 << 5), minlength=LETTERS)
+    out[:, 0] -= np.array([(text or "").count(" ") for text in texts])
+    return np.rint(STEPS * np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1)))
+
+
+def moment(i: int, j: int) -> bytes:
+    """Key of a sum among the words: no word has a space."""
+    return b" %d %d" % (i, j)
+
+
+def axes_of(moments: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and principal axes of the texts' letters from the sums over all of them; the first letter column is their number."""
+    sums = np.array([[moments.get(moment(i, j), 0) for j in range(LETTERS + 1)] for i in range(LETTERS + 1)], float)
+    n = max(sums[0, 0], 1.0)
+    mean = sums[0, 1:] / n
+    axes = np.linalg.eigh(sums[1:, 1:] / n - np.outer(mean, mean))[1][:, ::-1][:, :AXES]
+    return mean, axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(AXES)])
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of a partition's texts, ends included, in parts of bounded size."""
+    """(word, n) of a partition's texts, ends included, in parts of bounded size; and the moments of the texts' letters."""
     counts: Counter = Counter()
+    moments = np.zeros((LETTERS + 1, LETTERS + 1), np.int64)
 
     def flush() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
@@ -77,11 +104,15 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for x in batch.column(0):
-            counts.update(words_of(x.as_py()))
+        texts = batch.column(0).to_pylist()
+        for x in texts:
+            counts.update(words_of(x))
             counts[END] += 1
             if len(counts) >= FLUSH:
                 yield flush()
+        letters = np.hstack([np.ones((len(texts), 1)), letters_of(texts)])
+        moments += (letters.T @ letters).astype(np.int64)
+    counts.update({moment(i, j): int(moments[i, j]) for i, j in zip(*np.nonzero(moments))})
     if counts:
         yield flush()
 
@@ -194,42 +225,35 @@ def _expect(symbols, model):
     return run
 
 
-def _start(samples: list[tuple[np.ndarray, np.ndarray]], size: int, share: np.ndarray, seed: int = 7) -> Model:
-    """Parameters from a mixture of unigrams: a few documents far apart are its first components."""
-    rng = np.random.default_rng(seed)
-    emit = np.tile(share, (STATES, 1)) * rng.uniform(0.9, 1.1, (STATES, size))
-    emit /= emit.sum(axis=1, keepdims=True)
-    if samples:
-        docs = samples
-        smooth = lambda counts: (counts + SMOOTH * share) / (counts.sum(axis=-1, keepdims=True) + SMOOTH)
-
-        def fit(log_emit: np.ndarray) -> np.ndarray:
-            return np.stack([log_emit[:, i] @ n for i, n in docs])
-
-        def counts_of(belong: np.ndarray) -> np.ndarray:
-            out = np.zeros((belong.shape[1], size))
-            for (i, n), b in zip(docs, belong):
-                out[:, i] += b[:, None] * n
-            return out
-
-        mean = np.log(share)
-        chosen: list[np.ndarray] = []
-        worth = np.array([n.sum() for _, n in docs]) ** 0.5
-        best = np.array([mean[i] @ n for i, n in docs])
-        while len(chosen) < STATES:  # next: the text that the components so far explain worst against its own words
-            own = np.array([(n * np.log(smooth(np.bincount(i, n, size))[i])).sum() for i, n in docs]) if not chosen else own
-            pick = int(((own - best) / worth).argmax())
-            chosen.append(smooth(np.bincount(docs[pick][0], docs[pick][1], size)))
-            best = np.maximum(best, fit(np.log(chosen[-1])[None])[:, 0])
-        emit = np.stack(chosen)
-        for _ in range(8):
-            score = fit(np.log(emit))
-            score = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -700))
-            emit = smooth(counts_of(score / score.sum(axis=1, keepdims=True)))
+def _grouped(symbols, axes):
+    """Partition-wise symbol counts of the groups of texts: (symbol, s0, s1, ...)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, (mean, directions) = symbols.value, axes.value
+        counts = np.zeros(names.size * STATES)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if not texts:
+                continue
+            group = ((letters_of(texts) - mean) @ directions > 0) @ (1 << np.arange(AXES))
+            ids = [names.sequence(words_of(x))[0] for x in texts]
+            flat = np.concatenate(ids) * np.int64(STATES) + np.repeat(group, [len(i) for i in ids])
+            counts += np.bincount(flat, minlength=len(counts))
+        emit = counts.reshape(-1, STATES)
+        used = np.flatnonzero(emit.any(axis=1))
+        for at in range(0, len(used), 10_000):
+            part = used[at:at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(np.ascontiguousarray(c)) for c in emit[part].T]],
+                                             names=["symbol", *[f"s{i}" for i in range(STATES)]])
+    return run
+
+
+def _start(rows: list, size: int, share: np.ndarray) -> Model:
+    """Parameters from the summed symbol counts of the groups: one state each, which mostly stays."""
+    emit = _maximised(rows, size, share).emit[:-1]
     move = np.full((STATES, STATES), 0.02 / (STATES - 1))
     np.fill_diagonal(move, 0.98)
     even = np.full(STATES, 1 / STATES)
-    return Model(even, move, emit.T, even)
+    return Model(even, move, emit, even)
 
 
 def _maximised(rows: list, size: int, share: np.ndarray) -> Model:
@@ -255,6 +279,8 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text") -> Data
     training = df.filter(train).select(whole)
     counts = training.mapInArrow(count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = store(counts, "words")
+    moments = {bytes(r["word"]): r["n"] for r in counts.filter(F.substring("word", 1, 1) == F.lit(b" ")).collect()}  # of fixed number
+    counts = counts.filter((F.length("word") == 0) | (F.substring("word", 1, 1) != F.lit(b" ")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     eligible = counts.filter(F.length("word").between(1, HEAD_BYTES) & (F.col("n") >= HEAD_COUNT))
     least, room = 0, HEAD  # the smallest count such that HEAD words at most have it or a larger one
@@ -284,13 +310,15 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text") -> Data
     share = (share + 0.5) / (share + 0.5).sum()
 
     shared = Shared(spark, symbols)
-    samples = _sampled(df.filter(train).select(column(key).alias("key"), whole), ends, shared)
-    model = _start(samples, symbols.size, share)
     states = ", ".join(f"s{i} double" for i in range(STATES))
+
+    def summed(run) -> list:  # symbols + states + 1 rows at most
+        parts = training.mapInArrow(run, f"symbol bigint, {states}")
+        return parts.groupBy("symbol").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(STATES)]).collect()
+
+    model = _start(summed(_grouped(shared, Shared(spark, axes_of(moments)))), symbols.size, share)
     for _ in range(PASSES):
-        expected = training.mapInArrow(_expect(shared, Shared(spark, model)), f"symbol bigint, {states}")
-        summed = expected.groupBy("symbol").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(STATES)])
-        model = _maximised(summed.collect(), symbols.size, share)  # symbols + states + 1 rows at most
+        model = _maximised(summed(_expect(shared, Shared(spark, model))), symbols.size, share)
 
     base = {"n": np.array([r["n"] for r in top], float), "total": total + 0.5 * (distinct + 1), "ends": ends}
     rows = df.select(column(key).alias("key"), whole)
@@ -319,25 +347,6 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text") -> Data
     return finish(out, "scores", mark)
 
 
-def _sampled(texts: DataFrame, total: int, symbols) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The symbols, with their counts, of about SAMPLE texts, in an order of their own: SAMPLE * HEAD pairs at most."""
-    place = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")))
-    uniform = F.conv(F.substring(place, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    picked = texts.filter(uniform < SAMPLE / max(total, 1)).select("text", F.substring(place, 9, 16).alias("place"))
-    rows = picked.mapInArrow(_counted(symbols), "place string, ids binary, times binary").collect()
-    return [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int64)) for r in sorted(tuple(r) for r in rows)]
-
-
-def _counted(symbols):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(symbols.value.sequence(words_of(x.as_py()))[0], return_counts=True) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()),
-                 pa.array([n.astype(np.int64).tobytes() for _, n in found], pa.binary())], names=["place", "ids", "times"])
-    return run
-
-
 def _score(symbols, model, base):
     """Per text: what the frequent words and the end add to the base score, the model's likelihood, and the other words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

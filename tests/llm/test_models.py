@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tastegrid.llm import hmm, langid
@@ -62,6 +63,31 @@ def test_scores(spark, folder):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_start_counts_every_training_text():
+    texts = [None, "", *("ab ba abba " * (n % 3 + 1) for n in range(9)), *("xyz zy\u00e9 " * (n % 4 + 1) for n in range(9))]
+    batches = lambda: iter(pa.RecordBatch.from_arrays([pa.array(texts[at:at + 7], pa.string())], names=["text"]) for at in range(0, 20, 7))
+    counted = {}
+    for batch in hmm.count_words(batches()):
+        for w, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counted[w] = counted.get(w, 0) + n
+    letters = hmm.letters_of(texts)
+    assert counted[hmm.moment(0, 0)] == len(texts) and counted[b"ab"] == 18
+    assert all(counted.get(hmm.moment(i + 1, j + 1), 0) == letters[:, i] @ letters[:, j] for i in range(64) for j in range(64))
+    axes = hmm.axes_of(counted)
+    symbols = hmm.Symbols([b"ab", b"ba", b"abba", b"xyz"])
+    grouped = np.zeros((symbols.size, hmm.STATES))
+    for batch in hmm._grouped(Held(symbols), Held(axes))(batches()):
+        columns = [np.array(c) for c in batch.columns]
+        grouped[columns[0]] += np.stack(columns[1:], axis=1)
+    assert grouped.sum() == sum(len(hmm.words_of(t)) + 1 for t in texts) and grouped[symbols.end].sum() == len(texts)
+    assert not (grouped[0] * grouped[3]).any() and grouped[0].sum() == 18 and grouped[3].sum() == counted[b"xyz"]
+
+
 def test_hmm_odd_cases(spark):
     docs = documents(spark)
     out = hmm.score(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0).collect()
