@@ -22,6 +22,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ LETTERS, AXES = 64, 3     # kinds of bytes whose shares describe a text; 2 ** AX
 STEPS = 256               # shares are rounded, so that their sums are exact and don't depend on the order
 HEAD_BYTES, HEAD_COUNT = 64, 5
 END = b""
+STORED = "<u2"            # HEAD + TAILS + 1 symbols
 FLUSH = 400_000
 SMOOTH = 50.0  # pseudo-counts of the overall symbol shares in each state
 
@@ -44,8 +46,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % TAILS
+def tail_classes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, [w[-3:] for w in words]), np.int64, len(words)) % TAILS
 
 
 class Symbols:
@@ -59,12 +61,12 @@ class Symbols:
 
     def sequence(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Symbols of the words and the end, and the words that aren't frequent."""
-        of = self.of
-        ids = [of.get(w, -1) for w in words]
-        out = np.array([*ids, self.end], np.int32)
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.of.get, words, repeat(-1)), np.int32, len(words))
+        out[-1] = self.end
         rare = np.flatnonzero(out < 0)
         tail = [words[i] for i in rare.tolist()]
-        out[rare] = [self.first_tail + tail_class(w) for w in tail]
+        out[rare] = self.first_tail + tail_classes(tail)
         return out, tail
 
 
@@ -187,12 +189,33 @@ def _windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[order], fresh[order]
 
 
-def _expect(symbols, model):
+def _numbered(symbols):
+    """Per text: its symbols, and the other words with how often they occur; the first two columns pass through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = symbols.value
+        for batch in batches:
+            sequences, offsets, words, times = [], [0], [], []
+            for x in batch.column(2).to_pylist():
+                ids, tail = names.sequence(words_of(x))
+                sequences.append(ids.astype(STORED).tobytes())
+                rare = Counter(tail)
+                words += rare
+                times += rare.values()
+                offsets.append(len(words))
+            tails = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequences, pa.binary()), tails],
+                                             names=["key", "train", "symbols", "tail"])
+    return run
+
+
+def _expect(model):
     """Partition-wise expected counts: one row per symbol that occurred, and rows -1 (start) and -2 - k (moves from k)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, hmm = symbols.value, model.value
+        hmm = model.value
         k = len(hmm.start)
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((names.size, k))
+        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(hmm.emit) - 1, k))
         pending: list[np.ndarray] = []
         held = 0
 
@@ -208,8 +231,8 @@ def _expect(symbols, model):
             held = 0
 
         for batch in batches:
-            for x in batch.column(0):
-                pending.append(names.sequence(words_of(x.as_py()))[0])
+            for x in batch.column(0).to_pylist():
+                pending.append(np.frombuffer(x, STORED))
                 held += len(pending[-1])
                 if held >= 4 * WINDOW * LANES:
                     work()
@@ -312,25 +335,28 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text") -> Data
     shared = Shared(spark, symbols)
     states = ", ".join(f"s{i} double" for i in range(STATES))
 
-    def summed(run) -> list:  # symbols + states + 1 rows at most
-        parts = training.mapInArrow(run, f"symbol bigint, {states}")
+    def summed(texts: DataFrame, run) -> list:  # symbols + states + 1 rows at most
+        parts = texts.mapInArrow(run, f"symbol bigint, {states}")
         return parts.groupBy("symbol").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(STATES)]).collect()
 
-    model = _start(summed(_grouped(shared, Shared(spark, axes_of(moments)))), symbols.size, share)
+    # words are looked up once: every further step takes the stored numbers
+    rows = df.select(column(key).alias("key"), train.alias("train"), whole)
+    kind = rows.schema["key"].dataType.simpleString()
+    numbered = rows.mapInArrow(_numbered(shared), f"key {kind}, train boolean, symbols binary, tail array<struct<word:binary,n:bigint>>")
+    numbered = store(numbered.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    sequences = numbered.filter("train").select("symbols")
+    model = _start(summed(training, _grouped(shared, Shared(spark, axes_of(moments)))), symbols.size, share)
     for _ in range(PASSES):
-        model = _maximised(summed(_expect(shared, Shared(spark, model))), symbols.size, share)
+        model = _maximised(summed(sequences, _expect(Shared(spark, model))), symbols.size, share)
 
     base = {"n": np.array([r["n"] for r in top], float), "total": total + 0.5 * (distinct + 1), "ends": ends}
-    rows = df.select(column(key).alias("key"), whole)
-    kind = rows.schema["key"].dataType.simpleString()
-    schema = (f"key {kind}, n_tokens bigint, n_known bigint, base double, score double, "
-              "tail array<struct<word:binary,n:bigint>>")
-    done = rows.mapInArrow(_score(shared, Shared(spark, model), Shared(spark, base)), schema)
-    done = store(done.withColumn("row", F.monotonically_increasing_id()), "scored")
+    done = numbered.select("key", "row", "symbols").mapInArrow(
+        _score(Shared(spark, model), Shared(spark, base)),
+        f"key {kind}, row bigint, n_tokens bigint, n_known bigint, base double, score double")
 
     held = spark.createDataFrame([(c, int(n), int(v)) for c, (n, v) in sizes.items()] or [(-1, 0, 0)],
                                  "class int, c bigint, v bigint")
-    asked = done.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
+    asked = numbered.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
     found = asked.join(tails.select("word", "n"), "word", "left").withColumn("class", class_of.cast("int"))
     found = found.join(F.broadcast(held), "class", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -339,7 +365,7 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text") -> Data
     sums = found.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * overall).alias("base_tail"), F.sum(F.col("times") * inside).alias("score_tail"))
-    out = done.drop("tail").join(sums, "row", "left")
+    out = done.join(sums, "row", "left")
     out = out.select(
         F.col("key").alias(key), "n_tokens", (F.col("n_known") + none("more")).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("base") + none("base_tail")).alias("base_score"),
@@ -347,35 +373,25 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text") -> Data
     return finish(out, "scores", mark)
 
 
-def _score(symbols, model, base):
-    """Per text: what the frequent words and the end add to the base score, the model's likelihood, and the other words."""
+def _score(model, base):
+    """Per text: what the frequent words and the end add to the base score, and the model's likelihood of its symbols."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, hmm, counts = symbols.value, model.value, base.value
-        logs = np.zeros(names.size)
-        logs[:names.first_tail] = np.log10((counts["n"] + 0.5) / counts["total"])
-        logs[names.end] = math.log10((counts["ends"] + 0.5) / counts["total"])
-        frequent = np.zeros(names.size, np.int64)
-        frequent[:names.first_tail] = 1
-        frequent[names.end] = counts["ends"] > 0
+        hmm, counts = model.value, base.value
+        head, end = len(counts["n"]), len(hmm.emit) - 2  # the last row of ``emit`` is for padding
+        logs = np.zeros(end + 1)
+        logs[:head] = np.log10((counts["n"] + 0.5) / counts["total"])
+        logs[end] = math.log10((counts["ends"] + 0.5) / counts["total"])
+        frequent = np.zeros(end + 1, np.int64)
+        frequent[:head] = 1
+        frequent[end] = counts["ends"] > 0
         for batch in batches:
-            sequences, base_sums, known, offsets, words, times = [], [], [], [0], [], []
-            for x in batch.column(1):
-                ids, tail = names.sequence(words_of(x.as_py()))
-                sequences.append(ids)
-                base_sums.append(logs[ids].sum())
-                known.append(int(frequent[ids].sum()))
-                rare = Counter(tail)
-                words += rare
-                times += rare.values()
-                offsets.append(len(words))
+            sequences = [np.frombuffer(x, STORED) for x in batch.column(2).to_pylist()]
             likelihood = hmm.forward(sequences) / math.log(10) if sequences else np.empty(0)
-            tails = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sequences], pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base_sums, pa.float64()), pa.array(likelihood, pa.float64()), tails],
-                names=["key", "n_tokens", "n_known", "base", "score", "tail"])
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sequences], pa.int64()),
+                 pa.array([int(frequent[s].sum()) for s in sequences], pa.int64()),
+                 pa.array([logs[s].sum() for s in sequences], pa.float64()), pa.array(likelihood, pa.float64())],
+                names=["key", "row", "n_tokens", "n_known", "base", "score"])
     return run
 
 

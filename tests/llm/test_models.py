@@ -122,3 +122,22 @@ def test_temperature_finds_the_scale():
     logits = rng.normal(size=(4_000, 4)) * 2
     labels = np.array([rng.choice(4, p=p) for p in langid.softmax(logits)])
     assert abs(langid.temperature(logits * 5, labels) - 5) < 0.7
+
+
+def test_words_are_looked_up_once():
+    symbols = hmm.Symbols([b"ab", b"ba"])
+    texts = [None, "ab rare ba rare other ab", "Ab é"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([True, None, False]), pa.array(texts, pa.string())],
+                                       names=["key", "train", "text"])
+    rows = next(hmm._numbered(Held(symbols))(iter([batch]))).to_pylist()
+    assert [(r["key"], r["train"]) for r in rows] == [(1, True), (2, None), (3, False)]
+    for r, text in zip(rows, texts):
+        words = hmm.words_of(text)
+        expected = [symbols.of.get(w, 2 + zlib.crc32(w[-3:]) % hmm.TAILS) for w in words] + [symbols.end]
+        assert np.frombuffer(r["symbols"], hmm.STORED).tolist() == expected
+        assert {t["word"]: t["n"] for t in r["tail"]} == Counter(w for w in words if w not in symbols.of)
+    # later steps take the numbers, not the texts
+    model = hmm.Model(np.full(2, 0.5), np.full((2, 2), 0.5), np.full((symbols.size, 2), 1 / symbols.size), np.full(2, 0.5))
+    numbers = pa.RecordBatch.from_arrays([pa.array([r["symbols"] for r in rows], pa.binary())], names=["symbols"])
+    counted = next(hmm._expect(Held(model))(iter([numbers]))).to_pylist()
+    assert math.isclose(sum(r["s0"] + r["s1"] for r in counted if r["symbol"] >= 0), sum(len(hmm.words_of(t)) + 1 for t in texts))
