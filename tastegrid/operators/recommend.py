@@ -23,7 +23,7 @@ from tastegrid.operators.product import sparse_product
 from tastegrid.operators.ranking import dense_index, small, top_k
 from tastegrid.operators.sampling import index_catalog, steps, take_from_catalog
 from tastegrid.operators.similarity import count_matrix, item_similarity, user_neighbors
-from tastegrid.session import cut
+from tastegrid.session import cut, stored
 
 SEED = 42
 PAIR_BUDGET = 1 << 20
@@ -228,44 +228,55 @@ def recommend_user_knn(data: RecommenderData, users: DataFrame, k: int = 10, fil
                        candidates: DataFrame | None = None, k_neighbors: int = 50,
                        similarity: DataFrame | None = None) -> DataFrame:
     """Counts of the nearest users weighted by similarity; a user without neighbours gets none."""
-    near = cut(_neighbors(data, users, k_neighbors, similarity))
-    weights = near.groupBy("user_id").agg(F.sum("sim").alias("_w"))
-    active = weights.select("user_id")
-    if candidates is not None:
-        pairs = candidates.select("user_id", "item_id").distinct().join(active, "user_id", "left_semi")
-        scored = _user_knn_pairs(near, count_matrix(data.model_rows), pairs)
-    else:
-        left = near.select(F.col("user_id").alias("i"), F.col("neighbor").alias("k"), F.col("sim").alias("x"))
-        right = count_matrix(data.model_rows).select(
-            F.col("user_id").alias("k"), F.col("item_id").alias("j"), F.col("c").alias("y"))
-        sums = sparse_product(left, right).select(F.col("i").alias("user_id"), F.col("j").alias("item_id"), "v")
-        scored = sums.join(weights, "user_id").select("user_id", "item_id", (F.col("v") / F.col("_w")).alias("score"))
+    matrix = stored(count_matrix(data.model_rows))
+    near = cut(_neighbors(matrix, users, k_neighbors, similarity))
+    active = near.select("user_id").distinct()
+    pairs = None if candidates is None else candidates.select("user_id", "item_id").distinct()
+    scored = _user_knn_scores(near, matrix, pairs)
     known = _fill_pool(data, scored, active, k, filter_seen, candidates)
     return _with_unknown(data, users, known, k, filter_seen, candidates)
 
 
-def _neighbors(data: RecommenderData, users: DataFrame, k: int, similarity: DataFrame | None) -> DataFrame:
+def _neighbors(matrix: DataFrame, users: DataFrame, k: int, similarity: DataFrame | None) -> DataFrame:
     """(user_id, neighbor, sim, rank) of the asked users, from a given similarity or searched for them alone."""
     asked = users.select("user_id").distinct()
     if similarity is not None:
         return user_neighbors(similarity, k).join(asked, "user_id", "left_semi")
-    return nearest(count_matrix(data.model_rows), "user_id", "item_id", asked, k)
+    return nearest(matrix, "user_id", "item_id", asked, k)
 
 
-def _user_knn_pairs(near: DataFrame, matrix: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each pair meets at most k_neighbors neighbours."""
-    counts = matrix.select(F.col("user_id").alias("neighbor"), "item_id", "c")
-    return (pairs.join(near.select("user_id", "neighbor", "sim"), "user_id")
-            .join(counts, ["neighbor", "item_id"], "left")
-            .groupBy("user_id", "item_id")
-            .agg((F.sum(F.col("sim") * F.coalesce(F.col("c"), F.lit(0))) / F.sum("sim")).alias("score")))
+def _user_knn_scores(near: DataFrame, matrix: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(user_id, item_id, score): counts of the neighbours weighted by similarity, of all their items or of the given pairs.
+
+    Neighbours with equal rows are one, their similarities summed. A row travels to the users it is near to packed, and users
+    are dealt out once, pairs beside the rows; so a product is made where it is summed and none is shuffled.
+    """
+    packed = (matrix.filter(F.col("user_id").isNotNull()).groupBy("user_id")
+              .agg(F.array_sort(F.collect_list(F.struct("item_id", "c"))).alias("v")))
+    packed = stored(packed.withColumn("r", F.sha2(F.to_json("v"), 256)))
+    rows = packed.groupBy("r").agg(F.min("user_id").alias("user_id")).join(packed.select("user_id", "v"), "user_id").select("r", "v")
+    merged = (near.join(packed.select(F.col("user_id").alias("neighbor"), "r"), "neighbor")
+              .groupBy("user_id", "r").agg(F.sum("sim").alias("w")))
+    dealt = merged.join(rows, "r").select("user_id", "w", F.col("v.item_id").alias("items"), F.col("v.c").alias("counts"))
+    if pairs is not None:
+        asked = pairs.join(near.select("user_id").distinct(), "user_id", "left_semi")
+        dealt = dealt.unionByName(asked.select("user_id", F.lit(None).cast("double").alias("w"), F.array("item_id").alias("items"),
+                                               F.array(F.lit(0).cast("bigint")).alias("counts")))
+    dealt = dealt.repartition("user_id")
+    entries = dealt.select("user_id", "w", F.inline(F.arrays_zip("items", "counts")).alias("item_id", "c"))
+    sums = entries.groupBy("user_id", "item_id").agg(
+        F.coalesce(F.sum(F.col("w") * F.col("c")), F.lit(0.0)).alias("v"), F.bool_or(F.col("w").isNull()).alias("asked"))
+    if pairs is not None:
+        sums = sums.filter("asked")
+    weights = near.groupBy("user_id").agg(F.sum("sim").alias("_w"))
+    return sums.join(weights, "user_id").select("user_id", "item_id", (F.col("v") / F.col("_w")).alias("score"))
 
 
 def score_user_knn(data: RecommenderData, pairs: DataFrame, k_neighbors: int = 50,
                    similarity: DataFrame | None = None) -> DataFrame:
-    near = _neighbors(data, pairs, k_neighbors, similarity)
-    wanted = pairs.select("user_id", "item_id").distinct()
-    scored = _user_knn_pairs(near, count_matrix(data.model_rows), wanted)
+    matrix = stored(count_matrix(data.model_rows))
+    near = cut(_neighbors(matrix, pairs, k_neighbors, similarity))
+    scored = _user_knn_scores(near, matrix, pairs.select("user_id", "item_id").distinct())
     return pairs.join(scored, ["user_id", "item_id"], "left").fillna(0.0, ["score"])
 
 

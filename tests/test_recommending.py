@@ -1,6 +1,7 @@
 """Recommenders, metrics, novelty, fairness and losses with hand-computed values."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -236,3 +237,19 @@ def test_taste_vectors_are_not_shuffled(spark, folder):
     v = Views(spark, folder)
     plan = _taste(v, v.clicks)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_user_knn_products_stay_with_their_user(spark):
+    counts = {"a": {"i1": 2, "i2": 1}, "b": {"i1": 2, "i2": 1}, "c": {"i2": 3, "i3": 1}, "d": {"i4": 5}}  # a and b have equal rows
+    near = {"u": {"a": 0.5, "b": 0.25, "c": 0.25}, "v": {"c": 1.0}, "w": {"a": 0.125, "d": 0.375}}
+    pairs = [("u", "i1"), ("u", "i4"), ("v", "none"), ("v", "i3"), ("stranger", "i1")]
+    score = lambda u, i: sum(s * counts[n].get(i, 0) for n, s in near[u].items()) / sum(near[u].values())
+    matrix = table(spark, [(u, i, c) for u, row in counts.items() for i, c in row.items()], "user_id string, item_id string, c bigint")
+    lists = table(spark, [(u, n, s) for u, row in near.items() for n, s in row.items()], "user_id string, neighbor string, sim double")
+    every = {(u, i): score(u, i) for u in near for i in {i for n in near[u] for i in counts[n]}}
+    got = rec._user_knn_scores(lists, matrix, None)
+    assert {(r.user_id, r.item_id): r.score for r in got.collect()} == every
+    asked = rec._user_knn_scores(lists, matrix, table(spark, pairs, PAIR))
+    assert {(r.user_id, r.item_id): r.score for r in asked.collect()} == {(u, i): score(u, i) for u, i in pairs if u in near}
+    for df in (got, asked):  # no (user, item) product is shuffled
+        assert "hashpartitioning(user_id, item_id" not in re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
