@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def u01(*cols, seed: int = 42) -> Column:
     return hex_number(hash_key(*cols, seed=seed)) / F.lit(_SPAN)
 
 
+def below(share: float, *cols, seed: int = 42) -> Column:
+    """u01(*cols) < share, decided by the hex digits as they are."""
+    bound = max(math.ceil(share * _SPAN), 0)
+    return F.lit(True) if bound >= _SPAN else F.substring(hash_key(*cols, seed=seed), 1, _DIGITS) < F.lit(f"{bound:0{_DIGITS}x}")
+
+
 def unit_of(key: Column, start: int = 1) -> Column:
     """Uniform double in [0, 1) from 13 digits of a hex key."""
     return hex_number(key, start) / F.lit(_SPAN)

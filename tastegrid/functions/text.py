@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tastegrid.functions.hashing import u01
+from tastegrid.functions.hashing import below, u01
 
 
 def strip_html(text: Column) -> Column:
@@ -64,18 +64,15 @@ def augment_delete(text: Column, key: Column, prob: float = 0.1, seed: int = 42)
 def augment_swap(text: Column, key: Column, prob: float = 0.1, seed: int = 42) -> Column:
     """One pass of neighbour swaps over the changing list, so that a word may travel right.
 
-    The pass only ever holds one word back, so it is a fold over (emitted words, held word):
-    a swap emits the newcomer and keeps holding, no swap emits the held word.
+    A word is held back while its right neighbours swap with it. So the list falls into runs, one from each word that didn't
+    swap to the next such word, and every run is turned left by one: the work is linear in the words, however long the text.
     """
-    tokens = words(text)
-    swap = lambda i: u01(key, i, seed=seed) < F.lit(float(prob))
-    pairs = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-                        lambda w, i: F.struct(w.alias("word"), swap(i).alias("swap")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.get(tokens, F.lit(0)).alias("held"))
-    folded = F.aggregate(
-        pairs, start,
-        lambda acc, p: F.struct(
-            F.array_append(acc["out"], F.when(p["swap"], p["word"]).otherwise(acc["held"])).alias("out"),
-            F.when(p["swap"], acc["held"]).otherwise(p["word"]).alias("held")),
-        lambda acc: F.array_join(F.array_append(acc["out"], acc["held"]), " "))
-    return F.coalesce(folded, F.lit(""))
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # evaluated once, not once per element of the body
+    stays = lambda i: (i == 0) | ~below(prob, key, i - 1, seed=seed)
+
+    def turned(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), stays)
+        run = lambda first, after: F.concat(F.slice(t, first + 2, after - first - 1), F.slice(t, first + 1, F.lit(1)))
+        return bound(starts, lambda s: F.flatten(F.transform(s, lambda first, i: run(first, F.coalesce(F.get(s, i + 1), F.size(t))))))
+
+    return F.coalesce(bound(words(text), lambda t: F.when(F.size(t) > 0, F.array_join(turned(t), " "))), F.lit(""))

@@ -161,3 +161,21 @@ def test_features_survive_killed_and_competing_runs(spark, tmp_path, monkeypatch
     assert stored(state.materialize_features(items, competing, path)) == whole
     assert stored(state.materialize_features(items, build, path)) == whole
     assert stored(state.materialize_features(items.filter("x < 2"), build, path, force=True)) == whole[:2]
+
+
+def test_swapped_words_of_long_texts(spark):
+    """Against the pass itself; the text is not copied once per word."""
+    texts = {n: " ".join(f"w{i}" for i in range(n)) for n in (1, 2, 3, 50, 3_000)} | {-1: None, 0: "  ", -2: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    for prob in (0.0, 0.3, 1.0):
+        out = df.select("doc_id", tx.augment_swap(F.col("text"), F.col("doc_id"), prob).alias("out"))
+        draws = df.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3_000))).alias("i")).select(
+            "doc_id", "i", (tx.u01("doc_id", "i") < prob).alias("swap"))
+        swaps = {(r.doc_id, r.i) for r in draws.filter("swap").collect()}
+        for r in out.collect():
+            words = (texts[r.doc_id] or "").split()
+            for i in range(len(words) - 1):
+                if (r.doc_id, i) in swaps:
+                    words[i], words[i + 1] = words[i + 1], words[i]
+            assert r.out == " ".join(words), (r.doc_id, prob)
+        assert "array_append" not in out._jdf.queryExecution().optimizedPlan().toString()
