@@ -71,12 +71,13 @@ def bucketed_sum(df: DataFrame, group: Sequence[str], bucket: str, order: str, v
 
 
 def rank_within(df: DataFrame, group: Sequence[str], key: str, order: Sequence[Column] | None = None,
-                rank: str = "rn", size: str = "n", task_rows: int | None = None) -> DataFrame:
+                rank: str = "rn", size: str = "n", task_rows: int | None = None, largest: int | None = None) -> DataFrame:
     """Rank and group size by ``order`` (default: ``key``), for groups of any size.
 
     ``key`` is a hex column, spread evenly and rising with ``order``: its leading digits cut a
     large group into buckets of about ``task_rows`` rows. At most rows/task_rows groups are large,
-    which bounds the broadcast table of large groups. Group columns must not be null.
+    which bounds the broadcast table of large groups. Group columns must not be null. Without a large group
+    (``largest``, where it is known, says so) the rows move once, by group alone.
     """
     limit = task_rows or TASK_ROWS
     order = list(order) if order is not None else [F.col(key)]
@@ -84,8 +85,13 @@ def rank_within(df: DataFrame, group: Sequence[str], key: str, order: Sequence[C
     if not group:
         df = df.withColumn("_all", F.lit(0))
     by = group or ["_all"]
-    large = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > limit)
-             .withColumn("_digits", F.ceil(F.log(F.col("_size") / F.lit(float(limit))) / F.log(F.lit(16.0))).cast("int")))
+    if largest is None or largest > limit:
+        large = cut(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > limit)
+                    .withColumn("_digits", F.ceil(F.log(F.col("_size") / F.lit(float(limit))) / F.log(F.lit(16.0))).cast("int")))
+    if (largest is not None and largest <= limit) or large.isEmpty():
+        w = Window.partitionBy(*by)
+        return (df.withColumn(rank, F.row_number().over(w.orderBy(*order)).cast("bigint"))
+                .withColumn(size, F.count(F.lit(1)).over(w)).drop("_all"))
     marked = (df.join(F.broadcast(large), by, "left")
               .withColumn("_bucket", F.when(F.col("_size").isNotNull(),
                                             F.substring(F.col(key), F.lit(1), F.greatest(F.col("_digits"), F.lit(1))))

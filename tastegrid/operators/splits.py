@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.functions.hashing import hash_key, hex_number
-from tastegrid.operators.ranking import not_after, nth_key, rank_within, small, top_k
-from tastegrid.session import cut
+from tastegrid.operators.ranking import TASK_ROWS, not_after, nth_key, rank_within, small, top_k
+from tastegrid.session import cut, stored
 
 SEED = 42
+WARM_ROWS = 3  # rows of the most active warm user, from which on warm rows are split per user
 _BIG = "decimal(19,0)"
 
 
@@ -123,16 +124,24 @@ def temporal_split(df: DataFrame, timestamp: str = "timestamp", train_ratio: flo
 
 def stratified_temporal_split(df: DataFrame, train_ratio: float = 0.7, val_ratio: float = 0.15,
                               test_ratio: float = 0.15, timestamp: str = "timestamp",
-                              stratify_by: str | None = None, seed: int = SEED) -> DataFrame:
-    """Oldest rows are train; later rows of train users are shared between val and test by stratum."""
+                              stratify_by: str | None = None, seed: int = SEED, items: DataFrame | None = None) -> DataFrame:
+    """Oldest rows are train; later rows of train users are shared between val and test by stratum.
+
+    The rows are stored once, as they are read several times. With ``items`` the stratify column is taken from that table, for the
+    later rows alone, and isn't returned.
+    """
     _check_column(df, timestamp, "timestamp")
     if stratify_by:
-        _check_column(df, stratify_by, "stratification")
+        _check_column(df if items is None else items, stratify_by, "stratification")
+    df = stored(df)
     x, key = _time_order(df, timestamp, seed)
     halves = _cut_at(df, x, key, train_ratio, lambda n: int(n * train_ratio), "train", "later")
     train = halves.filter(F.col("split") == "train")
     later = halves.filter(F.col("split") == "later").join(train.select("user_id").distinct(), "user_id", "left_semi")
+    if stratify_by and items is not None:
+        later = later.drop(stratify_by).join(items.select("item_id", stratify_by), "item_id", "left")
     strata = _stratum(later, stratify_by) if stratify_by else later.withColumn("stratum", F.lit(""))
+    strata = stored(strata.select("stratum", *train.columns))
     smallest, count = _strata_shape(strata)
     if smallest == 0:
         raise ValueError("no later interactions are left for users of the training period")

@@ -383,6 +383,15 @@ def _(v):
 
 # ---------------------------------------------------------------- splits
 
+def _keys(v: Views) -> DataFrame:
+    """Purchases with what a split looks at."""
+    return v.purchases.select("row_id", "user_id", "item_id", "timestamp")
+
+
+def _temporal_by_tag(v: Views) -> DataFrame:
+    return splits.stratified_temporal_split(_keys(v), 0.7, 0.15, 0.15, stratify_by="tag", items=v.items)
+
+
 def _labels(df: DataFrame) -> DataFrame:
     return df.select("row_id", "split")
 
@@ -395,8 +404,7 @@ def _(v):
 
 @query("split_stratified_temporal")
 def _(v):
-    rows, column = splits.attach_stratum(v.purchases, v.items, "tag")
-    return _labels(splits.stratified_temporal_split(rows, 0.7, 0.15, 0.15, stratify_by=column))
+    return _labels(_temporal_by_tag(v))
 
 
 @query("split_user")
@@ -431,14 +439,12 @@ def _(v):
 
 @query("split_cold_start")
 def _(v):
-    return _labels(splits.cold_start_split(v.purchases))
+    return _labels(splits.cold_start_split(_keys(v)))
 
 
 @query("split_statistics")
 def _(v):
-    rows, column = splits.attach_stratum(v.purchases, v.items, "tag")
-    done = splits.stratified_temporal_split(rows, 0.7, 0.15, 0.15, stratify_by=column)
-    return splits.split_statistics(cut(done.select("user_id", "item_id", "split")))
+    return splits.split_statistics(stored(_temporal_by_tag(v).select("user_id", "item_id", "split")))
 
 
 @query("training_subsets")
@@ -467,9 +473,7 @@ def _(v):
 
 @query("leakage_check")
 def _(v):
-    rows, column = splits.attach_stratum(v.purchases, v.items, "tag")
-    done = splits.stratified_temporal_split(rows, 0.7, 0.15, 0.15, stratify_by=column)
-    return splits.leakage_check(cut(done.select("user_id", "timestamp", "split")))
+    return splits.leakage_check(stored(_temporal_by_tag(v).select("user_id", "timestamp", "split")))
 
 
 # ---------------------------------------------------------------- sampling
