@@ -217,23 +217,32 @@ def cold_start_split(df: DataFrame, cold_user_ratio: float = 0.1, cold_item_rati
     about sqrt(2 n).
     """
 
-    def cold(column: str, ratio: float, flag: str) -> DataFrame:
-        counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
-        threshold = counts.agg(F.percentile("_c", F.lit(ratio))).scalar()
-        return counts.filter(F.col("_c") <= threshold).select(column, F.lit(True).alias(flag))
-
-    marked = (df.join(cold("user_id", cold_user_ratio, "cold_user"), "user_id", "left")
-              .join(cold("item_id", cold_item_ratio, "cold_item"), "item_id", "left")
+    df = stored(df)  # read for the counts, for the warm users and for the labels
+
+    def cold(column: str, ratio: float, flag: str) -> tuple[DataFrame, int]:
+        counts = stored(df.groupBy(column).agg(F.count(F.lit(1)).alias("_c")))
+        threshold, largest = counts.agg(F.percentile("_c", F.lit(ratio)), F.max("_c")).first()
+        found = counts.filter((F.col("_c") <= F.lit(threshold).cast("double")) & F.col(column).isNotNull())
+        return small(found.select(column, F.lit(True).alias(flag)), found.count()), largest
+
+    (users, largest), (items, _) = cold("user_id", cold_user_ratio, "cold_user"), cold("item_id", cold_item_ratio, "cold_item")
+    known = df.join(items, "item_id", "left")
+    warm_rows = known.filter(F.col("cold_item").isNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("_c"))
+    most = warm_rows.join(users, "user_id", "left_anti").agg(F.max("_c")).first()[0] or 0
+    marked = (known.join(users, "user_id", "left")
               .withColumn("_quadrant", F.when(F.col("cold_user") & F.col("cold_item"), "val_cold_both")
                           .when(F.col("cold_user"), "val_cold_user")
                           .when(F.col("cold_item"), "val_cold_item").otherwise("warm"))
-              .drop("cold_user", "cold_item"))
-    warm = marked.filter(F.col("_quadrant") == "warm")
+              .select(*df.columns, "_quadrant"))
+    if most >= WARM_ROWS:
+        # all in one pass: a user's warm rows are ranked beside the others, where the join with the cold users dealt them
+        keyed = marked.withColumn("_warm", F.col("_quadrant") == "warm").withColumn("_key", hash_key("row_id", seed=seed))
+        ranked = rank_within(keyed, ["user_id", "_warm"], "_key", [F.col("_key"), F.col("row_id")], largest=largest)
+        label = _per_user_label(WARM_ROWS, train_ratio)
+        warm = F.when(label == "val", "val_warm").otherwise("train")
+        return ranked.withColumn("split", F.when(F.col("_warm"), warm).otherwise(F.col("_quadrant"))).select(*df.columns, "split")
     rest = marked.filter(F.col("_quadrant") != "warm").withColumn("split", F.col("_quadrant"))
-    if warm.isEmpty():
-        inner = simple_random_split(df, train_ratio, seed)
-    else:
-        inner = per_user_split(warm.drop("_quadrant"), train_ratio, seed=seed)
+    inner = simple_random_split(marked.filter(F.col("_quadrant") == "warm").drop("_quadrant") if most else df, train_ratio, seed)
     inner = inner.withColumn("split", F.when(F.col("split") == "val", "val_warm").otherwise(F.col("split")))
     return inner.unionByName(rest.select(*inner.columns))
 
