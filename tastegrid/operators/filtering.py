@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegrid.operators.ranking import BROADCAST_ROWS
+from tastegrid.session import cut
+
 
 def keep_valid_items(df: DataFrame, valid: DataFrame) -> DataFrame:
     """Rows of ``df`` whose item is in ``valid``; ids are compared as strings."""
@@ -15,8 +18,11 @@ def keep_valid_items(df: DataFrame, valid: DataFrame) -> DataFrame:
 def _at_least(df: DataFrame, column: str, minimum: int) -> DataFrame:
     if minimum <= 0:
         return df
-    kept = df.groupBy(column).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= minimum).select(column)
-    return df.join(kept, column, "left_semi")
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
+    rare = cut(counts.filter((F.col("_c") < minimum) & F.col(column).isNotNull()).select(column))
+    if rare.count() <= BROADCAST_ROWS:  # few go: they travel, the rows stay
+        return df.filter(F.col(column).isNotNull()).join(F.broadcast(rare), column, "left_anti")
+    return df.join(counts.filter(F.col("_c") >= minimum).select(column), column, "left_semi")
 
 
 def filter_by_activity(df: DataFrame, min_user: int = 5, min_item: int = 3) -> DataFrame:

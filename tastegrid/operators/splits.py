@@ -197,12 +197,19 @@ def leave_one_out_split(df: DataFrame, min_interactions: int = 3, timestamp: str
     """Latest row per user is test, the one before val, the rest train.
 
     Only the two latest rows of each user are ranked (pruned before the shuffle); the labels come
-    back by ``row_id``, which spreads evenly however active a user is.
+    back by ``row_id``, which spreads evenly however active a user is. Where no user is too active
+    for a task, the rows are dealt out by user instead and move once.
     """
     _check_column(df, timestamp, "timestamp")
-    active = (df.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c"))
-              .filter(F.col("_c") >= min_interactions).select("user_id"))
+    counts = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c"))
     order = [F.col(timestamp).desc(), F.col("item_id").desc(), F.col("row_id").desc()]
+    if (counts.agg(F.max("_c")).first()[0] or 0) <= TASK_ROWS:
+        mine = Window.partitionBy("user_id")
+        held = F.col("user_id").isNotNull() & (F.count(F.lit(1)).over(mine) >= min_interactions)
+        place = F.when(held, F.row_number().over(mine.orderBy(*order)))
+        return df.withColumn("_place", place).withColumn("split", F.when(F.col("_place") == 1, "test").when(
+            F.col("_place") == 2, "val").otherwise("train")).drop("_place")
+    active = counts.filter(F.col("_c") >= min_interactions).select("user_id")
     last = top_k(df.select("user_id", "item_id", timestamp, "row_id"), ["user_id"], order, 2)
     held = (last.join(active, "user_id", "left_semi")
             .select("row_id", F.when(F.col("rank") == 1, "test").otherwise("val").alias("split")))

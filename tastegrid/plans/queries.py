@@ -881,8 +881,8 @@ def _(v):
 @query("leave_one_out_popularity")
 def _(v):
     """Activity filter, leave-one-out, popular unseen items, accuracy of the held-out item."""
-    rows = filtering.filter_by_activity(v.purchases, 5, 3)
-    labelled = cut(splits.leave_one_out_split(rows))
+    rows = filtering.filter_by_activity(stored(_keys(v)), 5, 3)
+    labelled = stored(splits.leave_one_out_split(rows).select("user_id", "item_id", "split"))
     history = labelled.filter(F.col("split") == "train").drop("split")
     test = labelled.filter(F.col("split") == "test").drop("split")
     data = rec.RecommenderData(rows, v.items, history)

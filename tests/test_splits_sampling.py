@@ -202,3 +202,46 @@ def test_walks_of_weighted_draws_end_soon_after_what_is_drawn(spark, monkeypatch
     assert len(drawn) == 30 * 40 and sum(r.count() for r in rows) < 5 * len(drawn)
     monkeypatch.setattr(sampling, "LEVELS", 1)
     assert draw() == drawn
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def by_row(df):
+    return {r.row_id: r.split for r in df.select("row_id", "split").collect()}
+
+
+def test_stratum_is_joined_to_later_rows_only(spark, rows):
+    """The column of the item table comes to the rows that are shared out by it; the rows are read from one stored table."""
+    items = spark.createDataFrame([(f"i{n}", f"t{n % 3}") for n in range(40) if n % 7], "item_id string, tag string")
+    with_tag, column = splits.attach_stratum(rows.drop("tag"), items, "tag")
+    want = by_row(splits.stratified_temporal_split(with_tag, 0.6, 0.2, 0.2, stratify_by=column))
+    got = splits.stratified_temporal_split(rows.drop("tag"), 0.6, 0.2, 0.2, stratify_by="tag", items=items)
+    assert by_row(got) == want and Counter(want.values())["train"] == 240
+    assert "Join" not in plan_of(got.filter(F.col("split") == "train").select("row_id"))
+
+
+def test_cold_start_labels_all_rows_in_one_pass(rows):
+    done = splits.cold_start_split(rows.withColumn("user_id", F.when(F.col("row_id") < "r0003", F.lit("rare")).otherwise(F.col("user_id"))))
+    got = by_row(done)
+    assert len(got) == 400 and done.count() == 400 and "Union" not in plan_of(done)
+    assert all(got[f"r{n:04}"] in ("val_cold_user", "val_cold_both") for n in range(3))
+    warm = Counter((r.user_id, r.split) for r in done.filter(F.col("split").isin("train", "val_warm")).collect())
+    for u in {u for u, _ in warm}:
+        n = warm[u, "train"] + warm[u, "val_warm"]
+        assert n < 3 or warm[u, "train"] == min(max(1, int(n * 0.8)), n - 1)
+
+
+def test_rows_of_leave_one_out_move_once(rows, monkeypatch):
+    from tastegrid.operators import filtering
+
+    done = splits.leave_one_out_split(rows)
+    want = by_row(done)
+    assert "Join" not in plan_of(done)
+    monkeypatch.setattr(splits, "TASK_ROWS", 5)
+    assert by_row(splits.leave_one_out_split(rows)) == want
+    kept = filtering.filter_by_activity(rows, 20, 3)
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(filtering, "BROADCAST_ROWS", -1)
+    assert sorted(kept.collect()) == sorted(filtering.filter_by_activity(rows, 20, 3).select(*kept.columns).collect())
