@@ -112,3 +112,23 @@ def test_routes_of_all_pairs(spark, monkeypatch, budget, route):
     own = [(u, u, 0, 1.0) for u in {u for u, _ in rows}]
     every = brute([(*k, c) for k, c in rows.items()], 10 ** 6, {u for u, _ in rows})
     assert got == {(a, b): s for a, b, _, s in [*every, *own]} and taken == [route]
+
+
+@pytest.mark.parametrize("name,plain", [("{}", True), ("{:03}", False), ("i{}", False), ("{}000000000", False)])
+def test_what_item_similarity_carries_is_narrow(spark, name, plain):
+    """Decimal ids go as integers and come back as the same text; all others, large counts too, go as they are."""
+    rng = random.Random(5)
+    rows = {(f"u{n % 60}", name.format(rng.randrange(90))): rng.choice((1, 2, 300)) for n in range(500)}
+    vectors = {}
+    for (u, i), c in rows.items():
+        vectors.setdefault(i, {})[u] = c
+    size = {i: math.sqrt(sum(c * c for c in v.values())) for i, v in vectors.items()}
+    want = {}
+    for a, x in vectors.items():
+        for b, y in vectors.items():
+            if dot := sum(c * y.get(u, 0) for u, c in x.items()):
+                want[a, b] = round(dot / (size[a] * size[b]), 9)
+    matrix = spark.createDataFrame([(*k, c) for k, c in rows.items()], "user_id string, item_id string, c bigint")
+    got = similarity._carried(matrix, "item_id", "user_id", 5_000.0)
+    assert {(r.a, r.b): round(r.sim, 9) for r in got.collect()} == want and got.dtypes[:2] == [("a", "string"), ("b", "string")]
+    assert ("try_cast" in got._jdf.queryExecution().optimizedPlan().toString()) == plain
