@@ -132,3 +132,14 @@ def test_what_item_similarity_carries_is_narrow(spark, name, plain):
     got = similarity._carried(matrix, "item_id", "user_id", 5_000.0)
     assert {(r.a, r.b): round(r.sim, 9) for r in got.collect()} == want and got.dtypes[:2] == [("a", "string"), ("b", "string")]
     assert ("try_cast" in got._jdf.queryExecution().optimizedPlan().toString()) == plain
+
+
+def test_blocks_are_not_shuffled_for_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CELL_ROWS", 4)
+    monkeypatch.setattr(similarity, "CELL_OUT", 3)
+    rows = [(f"u{n:02}", f"i{m}", 1 + (n * m) % 3) for n in range(30) for m in range(n % 4, 8)]
+    got = similarity._cells(spark.createDataFrame(rows, "user_id string, item_id string, c bigint"), "user_id", "item_id", 30)
+    users = {u for u, _, _ in rows}
+    own = [(u, u, 0, 1.0) for u in users]
+    assert {(r.a, r.b): round(r.sim, 9) for r in got.collect()} == {(a, b): s for a, b, _, s in [*brute(rows, 10 ** 6, users), *own]}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
