@@ -16,13 +16,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.functions.hashing import exponential_of, hash_key, hex_number, unit_of
 from tastegrid.operators.filtering import item_popularity, user_history
-from tastegrid.operators.ranking import TASK_ROWS, bucketed_rank, bucketed_sum, dense_index
-from tastegrid.session import cut
+from tastegrid.operators.ranking import TASK_ROWS, bucketed_rank, bucketed_sum, dense_index, small
+from tastegrid.session import cut, stored
 
 SEED = 42
 _CHUNK = 1024
@@ -114,6 +114,7 @@ def take_from_catalog(need: DataFrame, catalog: DataFrame, excluded: DataFrame,
 
 _WEIGHTLESS = -(1 << 20)  # class of the items that come last
 LEVELS = 4                # lengths of walks to a factor of two
+TASK_STEPS = 2_000_000    # steps that a task walks
 
 
 def weight_class(w: Column) -> Column:
@@ -122,16 +123,16 @@ def weight_class(w: Column) -> Column:
 
 
 def classed_catalog(items: DataFrame, weights: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """(item_id, w, place): items numbered by class and id; and the classes, of which doubles allow about 2,100."""
+    """(item_id, w, top, place): items numbered by class and id; and the classes, of which doubles allow about 2,100."""
     weighed = items.select("item_id").distinct().join(weights, "item_id", "left").select(
         "item_id", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"))
     placed = dense_index(weighed.withColumn("_c", weight_class(F.col("w"))), [F.col("_c"), F.col("item_id")], "place")
-    found = placed.groupBy("_c").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"), F.max("w").alias("top"))
+    found = cut(placed.groupBy("_c").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"), F.max("w").alias("top")))
     classes = []
     for r in sorted(found.collect()):
         rows, columns = grid(r["n"])
         classes.append({"c": r["_c"], "start": r["start"], "n": r["n"], "top": r["top"], "rows": rows, "columns": columns})
-    return placed.select("item_id", "w", "place"), classes
+    return placed.join(F.broadcast(found.select("_c", "top")), "_c").select("item_id", "w", "top", "place"), classes
 
 
 def _levels(classes: list[dict]) -> list[tuple[float, list[int]]]:
@@ -152,50 +153,58 @@ def _levels(classes: list[dict]) -> list[tuple[float, list[int]]]:
 
 
 def weighted_from_catalog(need: DataFrame, items: DataFrame, weights: DataFrame, excluded: DataFrame,
-                          seed: int = SEED) -> DataFrame:
+                          seed: int = SEED, inside: bool = False) -> DataFrame:
     """Per (user_id, m) the m first arrivals among the items outside the exclusions: (user_id, item_id, rank).
 
     That is drawing one after another in proportion to weight; items without weight come last, in random order. A round walks
     each class as far as the user's m + #excluded make likely to be enough, and knows every arrival up to the first moment
     that some class's walk ends at. Exclusions count with the share of the catalog that they are, and three deviations are added.
     Users with too few arrivals by then, as those who bar many of the heavy items, walk about four times as far in the next round.
+
+    Users are dealt out once for the walk and once for the draw; in between a step goes to its item's place, with nothing but the
+    user and the wait. Only users who may have over TASK_ROWS rows are walked and ranked in parts. ``inside`` says that all
+    exclusions are items of the catalog.
     """
     catalog, classes = classed_catalog(items, weights)
     if not classes:
         return excluded.select("user_id", "item_id", F.lit(0).cast("bigint").alias("rank")).limit(0)
     levels = _levels(classes)
     positive = sum(c["n"] for c in classes if c["c"] != _WEIGHTLESS)
-    barred = excluded.join(catalog.select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("_e"))
-    users = (need.select("user_id", F.col("m").cast("bigint").alias("_m")).filter(F.col("_m") > 0)
+    if not inside:
+        excluded = stored(excluded.select("user_id", "item_id").join(catalog.select("item_id"), "item_id", "left_semi"))
+    barred = excluded.groupBy("user_id").agg(F.count(F.lit(1)).alias("_e"))
+    users = (need.select("user_id", F.col("m").cast("bigint").alias("_m")).filter((F.col("_m") > 0) & F.col("user_id").isNotNull())
              .join(barred, "user_id", "left").withColumn("_b", F.col("_m") + F.coalesce("_e", F.lit(0))))
     reach = F.array(*[F.lit(r) for r, _ in levels])
     open_share = F.greatest(1 - (F.col("_b") - F.col("_m")) / float(max(positive, 1)), F.lit(1e-3))
     wanted = F.least((F.col("_m") + 3 * F.sqrt("_m") + 4) / open_share, F.col("_b") * 1.3 + 4)
-    users = cut(users.withColumn("_reach", wanted).withColumn("_level", F.size(F.filter(reach, lambda r: r < F.col("_reach"))))
-                .select("user_id", "_m", "_b", "_level"))
-    drawn = []
-    while not users.isEmpty():
-        arrived = _arrivals(users, catalog, classes, [x for _, x in levels], positive, seed)
-        horizon = arrived.groupBy("user_id", "_c").agg(
-            F.max("_done").alias("_done"), F.max(F.struct("_tier", "_wait")).alias("_last")).groupBy("user_id").agg(
-            F.min(F.when(~F.col("_done"), F.col("_last"))).alias("_end"))
-        known = (arrived.filter(F.col("item_id").isNotNull()).join(horizon, "user_id")
-                 .filter(F.col("_end").isNull() | (F.struct("_tier", "_arrival") <= F.struct("_end._tier", "_end._wait")))
-                 .join(excluded, ["user_id", "item_id"], "left_anti"))
-        best = cut(_earliest(known).select("user_id", "item_id", "rank"))
+    users = stored(users.withColumn("_reach", wanted).withColumn("_level", F.size(F.filter(reach, lambda r: r < F.col("_reach"))))
+                   .select("user_id", "_m", "_b", "_level"))
+    drawn, final, hidden = [], len(levels) - 1, excluded
+    while True:
+        sizes = users.groupBy("_level").agg(F.count(F.lit(1)), F.max("_b"), F.sum("_b")).collect()  # one row per length of walk
+        if not sizes:
+            break
+        large = max(most for _, _, most, _ in sizes) > TASK_ROWS
+        steps_made = sum(n * sum(levels[level][1]) + (whole if level == final else 0) for level, n, _, whole in sizes)
+        tasks = max(int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")), steps_made // TASK_STEPS + 1)
+        arrived = _arrivals(users, catalog, classes, [x for _, x in levels], positive, seed, None if large else tasks)
+        best = stored(_drawn(arrived, hidden, users, None if large else tasks).select("user_id", "item_id", "rank"))
         got = best.groupBy("user_id").agg(F.count(F.lit(1)).alias("_got"))
-        final = len(levels) - 1
-        users = users.join(got, "user_id", "left")
-        short = (F.coalesce("_got", F.lit(0)) < F.col("_m")) & (F.col("_level") < final)
-        drawn.append(best.join(users.filter(short).select("user_id"), "user_id", "left_anti"))
-        users = cut(users.filter(short).select("user_id", "_m", "_b", F.least(F.col("_level") + 2 * LEVELS, F.lit(final)).alias("_level")))
+        missing = (F.coalesce("_got", F.lit(0)) < F.col("_m")) & (F.col("_level") < final)
+        users = stored(users.join(got, "user_id", "left").filter(missing).select(
+            "user_id", "_m", "_b", F.least(F.col("_level") + 2 * LEVELS, F.lit(final)).alias("_level")))
+        short = users.count()
+        again = small(users.select("user_id"), short)
+        drawn.append(best.join(again, "user_id", "left_anti") if short else best)
+        hidden = excluded.join(again, "user_id", "left_semi")
     return reduce(DataFrame.unionByName, drawn, excluded.select("user_id", "item_id", F.lit(0).cast("bigint").alias("rank")).limit(0))
 
 
 def _arrivals(users: DataFrame, catalog: DataFrame, classes: list[dict], lengths: list[list[int]], positive: int,
-              seed: int) -> DataFrame:
-    """One row per user, class and step: the wait at the top rate, and the item there (null beyond the class) with its arrival."""
+              seed: int, tasks: int | None) -> DataFrame:
+    """(user_id, item_id, _tier, _arrival, _m): the items whose wait at the top rate is over by the user's end, the first moment that
+    a class's walk ends at, and when they arrive; and per user one row without item that holds the end and ``_m``."""
     entries, i = [], 0
     for c in classes:
         span = c["rows"] * c["columns"]
@@ -206,8 +215,9 @@ def _arrivals(users: DataFrame, catalog: DataFrame, classes: list[dict], lengths
             wanted, i = F.element_at(F.array(*[F.lit(x[i]) for x in lengths]), F.col("_level") + 1), i + 1
         entries.append(F.struct(*[F.lit(c[k]).cast("bigint").alias(f"_{k}") for k in ("c", "start", "n", "rows", "columns")],
                                 F.lit(c["top"]).alias("_top"), wanted.cast("bigint").alias("_len")))
-    large = not users.filter(F.col("_b") > TASK_ROWS).isEmpty()
-    walk = users.withColumn("_class", F.explode(F.array(*entries))).select("user_id", "_m", "_b", "_class.*")
+    large = tasks is None
+    dealt = users if large else users.repartition(tasks, "user_id")  # a user's steps are made and added up where the user is
+    walk = dealt.withColumn("_class", F.explode(F.array(*entries))).select("user_id", "_m", "_b", "_class.*")
     keys = turn_keys("user_id", "_c", seed=seed)
     walk = steps(walk.withColumn("_k1", keys[0]).withColumn("_k2", keys[1]), "_len", "step")
     walk = scattered(walk, F.col("_rows"), F.col("_columns"), "_at").drop("_k1", "_k2")
@@ -218,14 +228,56 @@ def _arrivals(users: DataFrame, catalog: DataFrame, classes: list[dict], lengths
     left = (F.col("_n") - F.col("_j") + 1) * F.col("_top")  # _j counts this item too
     gap = F.when(F.col("_tier") == 1, F.lit(1.0)).otherwise(exponential_of(hash_key("user_id", "_c", "step", seed=seed)) / left)
     walk = bucketed_sum(walk, group, "_bucket", "step", F.when(F.col("_in"), gap).otherwise(0.0), split, large, "_wait")
-    here = catalog.select(F.col("place").alias("_place"), "item_id", "w")
-    place = F.when(F.col("_in"), F.col("_start") + F.col("_at")).otherwise(-1 - F.col("step"))  # no item, but no common key
-    walk = walk.withColumn("_place", place).join(here, "_place", "left")
+    moment, done = F.struct("_tier", "_wait"), F.col("_j") == F.col("_n")
+    if large:
+        walk = cut(walk)
+        ends = walk.groupBy(*group).agg(F.max(done).alias("_done"), F.max(moment).alias("_last")).groupBy("user_id").agg(
+            F.min(F.when(~F.col("_done"), F.col("_last"))).alias("_end"), F.min("_c").alias("_least"))
+        walk = walk.join(ends, "user_id")
+    else:
+        own, mine = Window.partitionBy(*group), Window.partitionBy("user_id")
+        walk = walk.withColumn("_done", F.max(done).over(own)).withColumn("_last", F.max(moment).over(own)).withColumn(
+            "_end", F.min(F.when(~F.col("_done"), F.col("_last"))).over(mine)).withColumn("_least", F.min("_c").over(mine))
+    end = F.coalesce(F.col("_end"), F.struct(F.lit(1).alias("_tier"), F.lit(math.inf).alias("_wait")))
+    reached = F.col("_in") & (moment <= end)
+    sent = F.struct((F.col("_start") + F.col("_at")).alias("_place"), "_tier", "_wait", F.lit(None).cast("bigint").alias("_m"))
+    # the end goes to no item, but not to one task either
+    mark = F.struct((-1 - F.pmod(F.xxhash64("user_id"), F.lit(1 << 40))).alias("_place"), end["_tier"].alias("_tier"), end["_wait"].alias("_wait"),
+                    F.col("_m"))
+    marks = (F.col("_c") == F.col("_least")) & (F.col("step") == 0)
+    some = F.filter(F.array(F.when(reached, sent), F.when(marks, mark)), lambda x: x.isNotNull())
+    met = walk.select("user_id", F.inline(some)).join(
+        catalog.select(F.col("place").alias("_place"), "item_id", "w", "top"), "_place", "left")
     pair = hash_key("user_id", "item_id", seed=seed)
-    on = F.when((F.col("_tier") == 1) | (unit_of(pair) < F.col("w") / F.col("_top")), F.lit(0.0)).otherwise(
+    on = F.when((F.col("_tier") == 1) | F.col("item_id").isNull() | (unit_of(pair) < F.col("w") / F.col("top")), F.lit(0.0)).otherwise(
         exponential_of(pair, 14) / F.col("w"))
-    return cut(walk.select("user_id", "_m", "_b", "_c", "_tier", "_wait", "item_id", (F.col("_wait") + on).alias("_arrival"),
-                           (F.col("_j") == F.col("_n")).alias("_done")))
+    return met.select("user_id", "item_id", "_tier", (F.col("_wait") + on).alias("_arrival"), "_m")
+
+
+def _drawn(arrived: DataFrame, excluded: DataFrame, users: DataFrame, tasks: int | None) -> DataFrame:
+    """The first ``_m`` arrivals per user up to the user's end that aren't excluded, with their rank."""
+    none = F.lit(None)
+    barred = excluded.filter(F.col("item_id").isNotNull()).select(
+        "user_id", "item_id", none.cast("int").alias("_tier"), none.cast("double").alias("_arrival"), none.cast("bigint").alias("_m"))
+    both = arrived.unionByName(barred)
+    both = both.repartition(tasks, "user_id") if tasks else both
+    moment = F.struct("_tier", "_arrival")
+    merged = both.groupBy("user_id", "item_id").agg(
+        F.min(F.when(F.col("_tier").isNotNull(), moment)).alias("_at"), F.bool_or(F.col("_tier").isNull()).alias("_barred"), F.max("_m").alias("_m"))
+    told = F.col("item_id").isNull()
+    if not tasks:
+        merged = cut(merged)
+        ends = merged.filter(told).select("user_id", F.col("_at").alias("_end"), "_m").join(users.select("user_id", "_b"), "user_id")
+        known = merged.filter(~told).drop("_m").join(ends, "user_id")
+    else:
+        mine = Window.partitionBy("user_id")
+        known = merged.withColumn("_end", F.max(F.when(told, F.col("_at"))).over(mine)).withColumn(
+            "_m", F.max("_m").over(mine)).filter(~told)
+    known = known.filter(~F.col("_barred") & (F.col("_at") <= F.col("_end")))
+    if not tasks:
+        return _earliest(known.select("user_id", "item_id", "_at.*", "_m", "_b"))
+    order = [F.col("_at._tier"), F.col("_at._arrival"), F.col("item_id")]
+    return known.withColumn("rank", F.row_number().over(mine.orderBy(*order)).cast("bigint")).filter(F.col("rank") <= F.col("_m"))
 
 
 def _earliest(known: DataFrame) -> DataFrame:
@@ -254,12 +306,13 @@ def training_negatives(interactions: DataFrame, items: DataFrame, ratio: float =
     """Unseen items per user, min(#unseen, int(#distinct positives * ratio)) of them."""
     catalog = index_catalog(items)
     n = catalog.count()
-    seen = user_history(interactions).join(catalog.select("item_id"), "item_id", "left_semi")
+    interactions = stored(interactions.select("user_id", "item_id"))
+    seen = stored(user_history(interactions).join(small(catalog.select("item_id"), n), "item_id", "left_semi"))
     need = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_p")).select(
         "user_id", F.least(F.lit(n) - F.col("_p"), F.floor(F.col("_p") * F.lit(float(ratio)))).alias("m"))
     if strategy == "random":
         return take_from_catalog(need, catalog, seen, random=True, seed=seed).select("user_id", "item_id", "rank")
-    return weighted_from_catalog(need, catalog, item_weights(interactions, strategy), seen, seed)
+    return weighted_from_catalog(need, catalog, item_weights(interactions, strategy), seen, seed, inside=True)
 
 
 def train_samples(interactions: DataFrame, items: DataFrame, ratio: float = 1.0, strategy: str = "random",

@@ -245,3 +245,22 @@ def test_rows_of_leave_one_out_move_once(rows, monkeypatch):
     assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(filtering, "BROADCAST_ROWS", -1)
     assert sorted(kept.collect()) == sorted(filtering.filter_by_activity(rows, 20, 3).select(*kept.columns).collect())
+
+
+def test_weighted_draws_move_a_step_there_and_back_only(spark):
+    """Users are dealt out once for the walk and once for the draw, a step goes to its item; no other exchange holds steps."""
+    items = spark.range(300).selectExpr("CAST(id AS string) AS item_id", "1.0D / (1 + id % 7) AS w")
+    need = spark.range(20).selectExpr("CAST(id AS string) AS user_id", "9 AS m", "9L AS _m", "12L AS _b", "0 AS _level")
+    barred = spark.range(60).selectExpr("CAST(id % 20 AS string) AS user_id", "CAST(id * 7 % 300 AS string) AS item_id")
+    catalog, classes = sampling.classed_catalog(items.select("item_id"), items)
+    lengths = [x for _, x in sampling._levels(classes)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arrived = sampling._arrivals(need, catalog, classes, lengths, 300, 42, 3)
+        plan = sampling._drawn(arrived, barred, need, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_part#" not in line]
+    assert len(moved) == 4 and sum("_place" in line for line in moved) == 2, moved  # the walk, steps to items (both sides), the draw
+    got = {(r.user_id, r.item_id) for r in sampling.weighted_from_catalog(need.select("user_id", "m"), items, items, barred).collect()}
+    assert len(got) == 20 * 9 and not got & {(r.user_id, r.item_id) for r in barred.collect()}
