@@ -253,3 +253,26 @@ def test_user_knn_products_stay_with_their_user(spark):
     assert {(r.user_id, r.item_id): r.score for r in asked.collect()} == {(u, i): score(u, i) for u, i in pairs if u in near}
     for df in (got, asked):  # no (user, item) product is shuffled
         assert "hashpartitioning(user_id, item_id" not in re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_blocks_of_dot_products_are_dealt_without_a_join_by_block(spark):
+    """All visits of a block would meet in one task. Ties with the k-th score go by item, seen items and short blocks too."""
+    vectors = {f"i{n:02}": [float(n % 4), 1.0] for n in range(30)}
+    people = {f"u{n}": [float(n % 3), 0.5] for n in range(9)}
+    visits = table(spark, [(u, x, 0) for u, x in people.items()], "user_id string, u array<double>, block bigint")
+    items = lambda count: table(spark, [(i, v, 0) for i, v in list(vectors.items())[:count]], "item_id string, v array<double>, block bigint")
+    seen = {(f"u{n}", f"i{m:02}") for n in range(9) for m in range(n, 30, 5)}
+    hidden = lambda count: table(spark, [(u, i, 0) for u, i in seen if i < f"i{count:02}"], "user_id string, item_id string, block bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rec._visited(visits, items(30), hidden(30), 3, 6)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(block" not in plan
+    for count in (30, 6, 4):
+        want = set()
+        for u, x in people.items():
+            open_items = [i for i in list(vectors)[:count] if (u, i) not in seen]
+            score = lambda i: round(float(np.dot(x, vectors[i])), 9)
+            want |= {(u, i, score(i)) for i in sorted(open_items, key=lambda i: (-score(i), i))[:6]}
+        assert {tuple(r) for r in rec._visited(visits, items(count), hidden(count), 3, 6).collect()} == want
